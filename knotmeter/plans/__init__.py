@@ -1 +1 @@
-"""See the package README."""
+"""Compositions: corpora over the driver tables, the six tiers, registered queries."""
