@@ -1,13 +1,27 @@
-"""Compiling rule patterns to native column expressions."""
+"""Compiling rule tables to Spark SQL expressions.
+
+Rule sets expand to dozens of predicates, so they are written as SQL text and
+parsed once, instead of being assembled operator by operator from Python.  The
+functions take and return SQL text; callers wrap the outermost one in ``F.expr``.
+"""
 
 from __future__ import annotations
 
-import functools
-import operator
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+def quoted(value: str) -> str:
+    """A Spark SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return "'" + escaped.replace("\t", "\\t") + "'"
+
+
+def quoted_list(values: list[str]) -> str:
+    return ", ".join(quoted(v) for v in values)
+
+
+def text_array(values: list[str]) -> str:
+    return f"array({quoted_list(values)})" if values else "cast(array() as array<string>)"
 
 
 def literal_of(pattern: str) -> str | None:
@@ -17,57 +31,71 @@ def literal_of(pattern: str) -> str | None:
     return re.sub(r"\\(.)", r"\1", pattern)
 
 
-def occurrence_count(text: Column, literal: str) -> Column:
+def occurrence_count(text: str, literal: str) -> str:
     """Non-overlapping occurrences of a literal (byte lengths are O(1) in Spark)."""
-    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(literal), F.lit("")))
-    return (removed / F.lit(len(literal.encode()))).cast("bigint")
+    removed = f"octet_length({text}) - octet_length(replace({text}, {quoted(literal)}, ''))"
+    return f"(({removed}) div {len(literal.encode())})"
 
 
-def count_matches(text: Column, pattern: str) -> Column:
+def count_matches(text: str, pattern: str) -> str:
     literal = literal_of(pattern)
     if literal is None:
-        return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+        return f"cast(regexp_count({text}, {quoted(pattern)}) as bigint)"
     return occurrence_count(text, literal)
 
 
-def has_match(text: Column, pattern: str) -> Column:
+def has_match(text: str, pattern: str) -> str:
     literal = literal_of(pattern)
-    return text.rlike(pattern) if literal is None else text.contains(literal)
+    if literal is None:
+        return f"rlike({text}, {quoted(pattern)})"
+    return f"contains({text}, {quoted(literal)})"
+
+
+def any_of(conditions: list[str]) -> str:
+    return "(" + " OR ".join(conditions) + ")" if conditions else "false"
 
 
-def any_column(conditions: list[Column]) -> Column:
-    return functools.reduce(operator.or_, conditions) if conditions else F.lit(False)
+def sum_of(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")" if terms else "0L"
 
 
-def sum_columns(columns: list[Column]) -> Column:
-    return functools.reduce(operator.add, columns) if columns else F.lit(0).cast("bigint")
+def any_match(text: str, patterns: list[str]) -> str:
+    return any_of([has_match(text, p) for p in patterns])
 
 
-def any_match(text: Column, patterns: list[str]) -> Column:
-    return any_column([has_match(text, p) for p in patterns])
+def any_literal(text: str, words: list[str]) -> str:
+    return any_of([f"contains({text}, {quoted(w)})" for w in words])
 
 
-def any_literal(text: Column, words: list[str]) -> Column:
-    return any_column([text.contains(w) for w in words])
+def count_literals(text: str, words: list[str]) -> str:
+    """How many of the words occur in the text."""
+    return sum_of([f"int(contains({text}, {quoted(w)}))" for w in words])
 
 
-def all_matches(text: Column, patterns: list[str]) -> Column:
+def all_matches(text: str, patterns: list[str]) -> str:
     """Total matches, each pattern counted on its own (overlaps between them count)."""
-    return sum_columns([count_matches(text, p) for p in patterns])
+    return sum_of([count_matches(text, p) for p in patterns])
 
 
 def alternation(patterns: list[str]) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-def matching_lines(text: Column, patterns: list[str]) -> Column:
+def matching_lines(text: str, patterns: list[str]) -> str:
     """Number of lines holding at least one match, case-insensitively, in one scan.
 
     ``d`` makes '\\n' the only line terminator, ``m`` anchors at line borders.
     """
-    return F.regexp_count(text, F.lit("(?imd)^.*?" + alternation(patterns) + ".*$")).cast("bigint")
+    pattern = "(?imd)^.*?" + alternation(patterns) + ".*$"
+    return f"cast(regexp_count({text}, {quoted(pattern)}) as bigint)"
+
+
+def lookup(key: str, table: dict[str, str], default: str = "NULL") -> str:
+    pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items())
+    return f"coalesce(map({pairs})[{key}], {default})"
 
 
-def literal_lookup(key: Column, table: dict[str, str], default: str | None = None) -> Column:
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.coalesce(F.create_map(*pairs)[key], F.lit(default))
+def labels_where(flags: list[tuple[str, str]]) -> str:
+    """Array of the labels whose condition holds, in order."""
+    items = ", ".join(f"CASE WHEN {c} THEN {quoted(label)} END" for c, label in flags)
+    return f"filter(array({items}), x -> x IS NOT NULL)"

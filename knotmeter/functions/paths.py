@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+EXTENSION_PATTERN = r"(?s)^\.*[^.].*(\.[^.]*)$"
+
 
 def glob_regex(glob: str) -> str:
     """Regex for a file-name glob; ``*`` and ``?`` stay inside one path segment."""
@@ -38,23 +40,22 @@ def dir_of(path: Column) -> Column:
 
 def extension_of(name: Column) -> Column:
     """Lower-cased last extension with its dot; '' for names such as '.env'."""
-    return F.lower(F.regexp_extract(name, r"(?s)^\.*[^.].*(\.[^.]*)$", 1))
+    return F.lower(F.regexp_extract(name, EXTENSION_PATTERN, 1))
 
 
-def ancestor_dirs(directory: Column) -> Column:
+def ancestor_dirs(column: str) -> Column:
     """The directory itself and every directory above it, from the root '.' down."""
-    parts = F.split(directory, "/")
-    return F.when(directory == ".", F.array(F.lit("."))).otherwise(
-        F.concat(
-            F.array(F.lit(".")),
-            F.transform(
-                F.sequence(F.lit(1), F.size(parts)),
-                lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
-            ),
-        )
+    parts = f"split({column}, '/')"
+    return F.expr(
+        f"CASE WHEN {column} = '.' THEN array('.') ELSE concat(array('.'), transform("
+        f"sequence(1, size({parts})), i -> array_join(slice({parts}, 1, i), '/'))) END"
     )
 
 
 def has_extension(name: Column, extensions: list[str]) -> Column:
     """Case-sensitive suffix test, as in ``str.endswith``."""
-    return name.rlike("(?:" + "|".join(re.escape(e) for e in extensions) + ")$")
+    return name.rlike(suffix_pattern(extensions))
+
+
+def suffix_pattern(extensions: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(e) for e in extensions) + ")$"

@@ -2,49 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotmeter import rules
 from knotmeter.functions import paths
+from knotmeter.functions.matching import quoted
 from knotmeter.operators.mentions import contains_pairs
 from knotmeter.operators.services import relative_path, with_owners
 
 
 def endpoint_hits(inventory: DataFrame, catalogue: dict = rules.ENDPOINT_PATTERNS) -> DataFrame:
     """Endpoint matches of every language's rules per code file, content dropped."""
-    content = F.col("content")
     users: dict[str, list[tuple[str, str]]] = {}
     for language, frameworks in catalogue.items():
         for framework, patterns in frameworks.items():
             for pattern in patterns:
                 users.setdefault(pattern, []).append((language, framework))
 
-    def hits(pattern: str) -> Column:
+    def hits(pattern: str) -> str:
         groups = pattern.count("(") - pattern.count(r"\(")
-        matches = F.regexp_extract_all(content, F.lit(pattern), 0)
-        owners = F.array(
-            *[
-                F.struct(F.lit(lang).alias("rule_language"), F.lit(fw).alias("framework"))
-                for lang, fw in users[pattern]
-            ]
+        p = quoted(pattern)
+        owners = ", ".join(
+            f"struct('{lang}' AS rule_language, '{fw}' AS framework)" for lang, fw in users[pattern]
         )
-        return F.transform(
-            matches,
-            lambda m: F.struct(
-                owners.alias("owners"),
-                (
-                    F.upper(F.regexp_extract(m, pattern, 1)) if groups == 2 else F.lit("GET")
-                ).alias("method"),
-                F.regexp_extract(m, pattern, groups).alias("endpoint"),
-            ),
+        method = f"upper(regexp_extract(m, {p}, 1))" if groups == 2 else "'GET'"
+        return (
+            f"transform(regexp_extract_all(content, {p}, 0), m -> struct(array({owners}) AS owners, "
+            f"{method} AS method, regexp_extract(m, {p}, {groups}) AS endpoint))"
         )
 
     capturing = [p for p in users if p.count("(") > p.count(r"\(")]
-    found = F.concat(*[hits(p) for p in capturing])
+    found = F.expr("explode(concat(" + ", ".join(hits(p) for p in capturing) + "))")
     return (
         inventory.where(paths.has_extension(F.col("name"), rules.ENDPOINT_CODE))
-        .select("project_id", "dir", "path", F.explode(found).alias("e"))
+        .select("project_id", "dir", "path", found.alias("e"))
         .select("project_id", "dir", "path", "e.method", "e.endpoint", F.inline("e.owners"))
     )
 

@@ -8,78 +8,77 @@ shuffled.  Catalyst drops the columns a query does not use.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from knotmeter import rules
-from knotmeter.functions import paths, text
 from knotmeter.functions.matching import (
     all_matches,
     any_literal,
     any_match,
     matching_lines,
     occurrence_count,
-    sum_columns,
+    quoted,
+    sum_of,
 )
+from knotmeter.functions.paths import suffix_pattern
 
+# \w of the definition covers all letters and digits, Java's only ASCII
 IMPORT_PATTERN = r"(?md)^(?:from|import)\s+([\p{L}\p{N}_.]+)"
 
 
 def file_features(inventory: DataFrame, glue_mode: str = "intended") -> DataFrame:
     """Narrow per-file facts; ``glue_mode='reference'`` matches the glue patterns
     as literal text, 'intended' as regular expressions."""
-    content = F.coalesce(F.col("content"), F.lit(""))
-    lower = F.lower(content)
-    name = F.col("name")
-    lower_name = F.lower(name)
+    text, lower = "coalesce(content, '')", "lower(coalesce(content, ''))"
 
-    def in_code(extensions, value, default=0):
-        return F.when(paths.has_extension(name, extensions), value).otherwise(F.lit(default))
+    def code(extensions: list[str]) -> str:
+        return f"rlike(name, {quoted(suffix_pattern(extensions))})"
 
-    python = name.endswith(".py")
-    consumer_code = paths.has_extension(name, rules.CONSUMER_CODE)
-    gate = any_literal(content, rules.PREDICTION_GATE)
-    if glue_mode == "intended":
-        groups = list(rules.GLUE_PATTERNS.values())
-    else:
-        groups = [[r"\Q" + p + r"\E" for p in g] for g in rules.GLUE_PATTERNS.values()]
-    words = {w: occurrence_count(content, w) for w in (
-        "if ", "elif ", "case ", "else:", "for ", "while ", "def ", "TODO", "FIXME")}
-    has_prediction = any_match(content, rules.PREDICTION_PATTERNS)
-    has_storage = any_literal(lower, rules.STORAGE_WORDS)
-    is_training = name.contains("train") | content.contains("fit")
-    has_db_read = any_literal(lower, rules.DB_READ_WORDS)
-    trains = ~F.col("ignored") & lower_name.contains("train")
-    return inventory.select(
-        "project_id", "path", "dir", "name", "extension", "size", "ignored",
-        python.alias("is_python"),
-        in_code(rules.MODEL_CALL_CODE, all_matches(content, rules.LOADING_PATTERNS)).alias(
-            "loading_hits"
+    def where(condition: str, value: str) -> str:
+        return f"CASE WHEN {condition} THEN {value} ELSE 0L END"
+
+    def words(*literals: str) -> str:
+        return sum_of([occurrence_count(text, w) for w in literals])
+
+    python, consumer = "endswith(name, '.py')", code(rules.CONSUMER_CODE)
+    gate = any_literal(text, rules.PREDICTION_GATE)
+    groups = list(rules.GLUE_PATTERNS.values())
+    if glue_mode == "reference":
+        groups = [[r"\Q" + p + r"\E" for p in g] for g in groups]
+    newlines = f"octet_length({text}) - octet_length(replace({text}, '\\n', ''))"
+    lines = f"{newlines} + CASE WHEN {text} <> '' AND NOT endswith({text}, '\\n') THEN 1L ELSE 0L END"
+    trains = "NOT ignored AND contains(lower(name), 'train')"
+    columns = {
+        "is_python": python,
+        "loading_hits": where(
+            code(rules.MODEL_CALL_CODE), all_matches(text, rules.LOADING_PATTERNS)
+        ),
+        "prediction_hits": where(
+            f"{code(rules.MODEL_CALL_CODE)} AND {gate}",
+            all_matches(text, rules.PREDICTION_PATTERNS),
         ),
-        in_code(
-            rules.MODEL_CALL_CODE,
-            F.when(gate, all_matches(content, rules.PREDICTION_PATTERNS)).otherwise(F.lit(0)),
-        ).alias("prediction_hits"),
-        in_code(rules.GLUE_CODE, text.line_count(content)).alias("code_lines"),
-        in_code(
-            rules.GLUE_CODE, sum_columns([matching_lines(content, g) for g in groups])
-        ).alias("glue_lines"),
-        F.when(python, words["if "] + words["elif "] + words["case "])
-        .otherwise(F.lit(0)).alias("branches"),
-        F.when(
-            python,
-            words["if "] + words["elif "] + words["else:"] + words["for "] + words["while "],
-        ).otherwise(F.lit(0)).alias("flow_words"),
-        F.when(python, words["def "]).otherwise(F.lit(0)).alias("defs"),
-        (python & any_literal(content, ["branch", "case"])).alias("mentions_branching"),
-        (python & has_prediction).alias("has_prediction"),
-        (python & has_storage).alias("has_storage"),
-        (python & is_training).alias("is_training"),
-        (python & has_db_read).alias("has_db_read"),
-        F.when(python, F.array_distinct(F.regexp_extract_all(content, F.lit(IMPORT_PATTERN), 1)))
-        .alias("imports"),
-        (trains & any_literal(lower, rules.SCHEDULE_WORDS)).alias("has_schedule"),
-        (trains & any_literal(lower, rules.TRIGGER_WORDS)).alias("has_trigger"),
-        (lower_name.contains("bug") | lower_name.contains("fix")).alias("bug_name"),
-        F.when(consumer_code, words["TODO"] + words["FIXME"]).otherwise(F.lit(0)).alias("todos"),
-        (consumer_code & any_literal(content, ["TODO", "FIXME", "BUG"])).alias("bug_marker"),
+        "code_lines": where(code(rules.GLUE_CODE), lines),
+        "glue_lines": where(
+            code(rules.GLUE_CODE), sum_of([matching_lines(text, g) for g in groups])
+        ),
+        "branches": where(python, words("if ", "elif ", "case ")),
+        "flow_words": where(python, words("if ", "elif ", "else:", "for ", "while ")),
+        "defs": where(python, words("def ")),
+        "mentions_branching": f"{python} AND {any_literal(text, ['branch', 'case'])}",
+        "has_prediction": f"{python} AND {any_match(text, rules.PREDICTION_PATTERNS)}",
+        "has_storage": f"{python} AND {any_literal(lower, rules.STORAGE_WORDS)}",
+        "is_training": f"{python} AND (contains(name, 'train') OR contains({text}, 'fit'))",
+        "has_db_read": f"{python} AND {any_literal(lower, rules.DB_READ_WORDS)}",
+        "imports": (
+            f"CASE WHEN {python} THEN array_distinct("
+            f"regexp_extract_all({text}, {quoted(IMPORT_PATTERN)}, 1)) END"
+        ),
+        "has_schedule": f"{trains} AND {any_literal(lower, rules.SCHEDULE_WORDS)}",
+        "has_trigger": f"{trains} AND {any_literal(lower, rules.TRIGGER_WORDS)}",
+        "bug_name": "contains(lower(name), 'bug') OR contains(lower(name), 'fix')",
+        "todos": where(consumer, words("TODO", "FIXME")),
+        "bug_marker": f"{consumer} AND {any_literal(text, ['TODO', 'FIXME', 'BUG'])}",
+    }
+    return inventory.selectExpr(
+        "project_id", "path", "dir", "name", "extension", "size", "ignored",
+        *[f"{expression} AS {name}" for name, expression in columns.items()],
     )

@@ -2,49 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotmeter import rules
 from knotmeter.functions import paths
-from knotmeter.functions.matching import any_column, any_literal
+from knotmeter.functions.matching import any_literal, any_of, labels_where, lookup, quoted
 from knotmeter.operators.inventory import kept
 
 
-def _present(flags: list[tuple[Column, str]]) -> Column:
-    return F.filter(
-        F.array(*[F.when(c, F.lit(name)) for c, name in flags]), lambda x: x.isNotNull()
-    )
-
-
-def _any_case(text: Column, patterns: list[str]) -> Column:
-    return any_column([text.rlike("(?i)" + p) for p in patterns])
+def _any_case(text: str, patterns: list[str]) -> str:
+    return any_of([f"rlike({text}, {quoted('(?i)' + p)})" for p in patterns])
 
 
 def manifest_frameworks(inventory: DataFrame) -> DataFrame:
     """Frameworks named in a dependency manifest of the project."""
-    content = F.col("content")
-    found = _present(
-        [(any_literal(content, words), fw) for fw, words in rules.MANIFEST_FRAMEWORKS.items()]
+    found = labels_where(
+        [(any_literal("content", words), fw) for fw, words in rules.MANIFEST_FRAMEWORKS.items()]
     )
     return (
         kept(inventory).where(F.col("name").isin(rules.MANIFEST_NAMES))
-        .select("project_id", F.explode(found).alias("framework"))
+        .select("project_id", F.expr(f"explode({found})").alias("framework"))
         .distinct()
     )
 
 
 def code_frameworks(inventory: DataFrame) -> DataFrame:
     """Frameworks with a code pattern anywhere in the project."""
-    content = F.col("content")
-    found = _present(
-        [(_any_case(content, pats), fw) for fw, pats in rules.CODE_FRAMEWORKS.items()]
+    found = labels_where(
+        [(_any_case("content", pats), fw) for fw, pats in rules.CODE_FRAMEWORKS.items()]
     )
     return (
         inventory.where(
-            paths.has_extension(F.col("name"), rules.CODE_FRAMEWORK_CODE) & content.isNotNull()
+            paths.has_extension(F.col("name"), rules.CODE_FRAMEWORK_CODE) & F.col("content").isNotNull()
         )
-        .select("project_id", F.explode(found).alias("framework"))
+        .select("project_id", F.expr(f"explode({found})").alias("framework"))
         .distinct()
     )
 
@@ -52,29 +44,27 @@ def code_frameworks(inventory: DataFrame) -> DataFrame:
 def framework_evidence(inventory: DataFrame, catalogue: dict = rules.FRAMEWORKS) -> DataFrame:
     """One row per piece of evidence: a path fragment (weight 1) or the first code
     pattern found in a file (weight 2)."""
-    path, content = F.col("path"), F.col("content")
-    code = paths.has_extension(F.col("name"), rules.FRAMEWORK_CODE) & content.isNotNull()
-    rows = []
+    code = f"rlike(name, {quoted(paths.suffix_pattern(rules.FRAMEWORK_CODE))})"
+    cells = []
     for framework, (category, patterns, fragments, _) in catalogue.items():
-        def evidence(kind, value, weight, fw=framework, cat=category):
-            return F.struct(
-                F.lit(fw).alias("framework"), F.lit(cat).alias("category"),
-                F.lit(kind).alias("kind"), F.lit(value).alias("value"),
-                F.lit(weight).cast("bigint").alias("weight"),
+
+        def evidence(kind: str, value: str, weight: int) -> str:
+            return (
+                f"struct({quoted(framework)} AS framework, {quoted(category)} AS category, "
+                f"'{kind}' AS kind, {quoted(value)} AS value, {weight}L AS weight)"
             )
 
-        rows += [F.when(path.contains(f), evidence("file", f, 1)) for f in fragments]
+        cells += [
+            f"CASE WHEN contains(path, {quoted(f)}) THEN {evidence('file', f, 1)} END"
+            for f in fragments
+        ]
+        first = " ".join(
+            f"WHEN {_any_case('content', [p])} THEN {evidence('code', p, 2)}" for p in patterns
+        )
         if patterns:
-            first = None
-            for p in patterns:
-                hit = content.rlike("(?i)" + p)
-                first = (
-                    F.when(hit, evidence("code", p, 2)) if first is None
-                    else first.when(hit, evidence("code", p, 2))
-                )
-            rows.append(F.when(code, first))
-    found = F.filter(F.array(*rows), lambda e: e.isNotNull())
-    return inventory.select("project_id", "path", F.inline(found))
+            cells.append(f"CASE WHEN {code} THEN CASE {first} END END")
+    found = f"inline(filter(array({', '.join(cells)}), e -> e IS NOT NULL))"
+    return inventory.select("project_id", "path", F.expr(found))
 
 
 def detect_frameworks_from_files(evidence: DataFrame) -> DataFrame:
@@ -90,32 +80,27 @@ def detect_frameworks_from_dependencies(
 ) -> DataFrame:
     """Evidence in the manifests at the project root: an exact package key, a part
     of a requirement name, or a part of the pom text."""
-    root = F.col("dir") == "."
-
-    def owners(test) -> Column:
-        return F.filter(
-            F.array(
-                *[
-                    F.when(test(dep), F.struct(F.lit(fw).alias("framework"), F.lit(dep).alias("rule")))
-                    for fw, (_, _, _, deps) in catalogue.items()
-                    for dep in deps
-                ]
-            ),
-            lambda x: x.isNotNull(),
+    pairs = [(dep, fw) for fw, (_, _, _, deps) in catalogue.items() for dep in deps]
+
+    def owners(test: str) -> str:
+        cells = ", ".join(
+            f"CASE WHEN {test.format(quoted(dep))} THEN struct({quoted(fw)} AS framework, "
+            f"{quoted(dep)} AS rule) END"
+            for dep, fw in pairs
         )
+        return f"inline(filter(array({cells}), x -> x IS NOT NULL))"
 
-    npm = packages.where(root).select(
-        "project_id", F.lit("package.json").alias("file"), F.col("package").alias("dependency"),
-        "version", F.inline(owners(lambda d: F.col("package") == d)),
+    npm = packages.where("dir = '.'").selectExpr(
+        "project_id", "'package.json' AS file", "package AS dependency", "version",
+        owners("package = {}"),
     )
-    pip = requirements.where(root).select(
-        "project_id", F.lit("requirements.txt").alias("file"),
-        F.col("package").alias("dependency"), F.lit(None).cast("string").alias("version"),
-        F.inline(owners(lambda d: F.col("package").contains(d))),
+    pip = requirements.where("dir = '.'").selectExpr(
+        "project_id", "'requirements.txt' AS file", "package AS dependency",
+        "string(NULL) AS version", owners("contains(package, {})"),
     )
-    maven = poms.where(root).select(
-        "project_id", F.lit("pom.xml").alias("file"), F.lit(None).cast("string").alias("version"),
-        F.inline(owners(lambda d: F.col("content").contains(d))),
+    maven = poms.where("dir = '.'").selectExpr(
+        "project_id", "'pom.xml' AS file", "string(NULL) AS version",
+        owners("contains(content, {})"),
     ).withColumn("dependency", F.col("rule"))
     return npm.unionByName(pip).unionByName(maven)
 
@@ -127,7 +112,7 @@ def detect_frameworks_all(
     deps = from_dependencies.groupBy("project_id", "framework").agg(
         F.count("*").alias("dependency_evidence")
     )
-    names = [F.lit(x) for fw, (cat, *_) in catalogue.items() for x in (fw, cat)]
+    category = lookup("framework", {fw: cat for fw, (cat, *_) in catalogue.items()}, "'Unknown'")
     n_file = F.coalesce("file_evidence", F.lit(0))
     n_dep = F.coalesce("dependency_evidence", F.lit(0))
     return (
@@ -135,7 +120,7 @@ def detect_frameworks_all(
         .join(deps, ["project_id", "framework"], "full_outer")
         .select(
             "project_id", "framework",
-            F.coalesce(F.create_map(*names)[F.col("framework")], F.lit("Unknown")).alias("category"),
+            F.expr(category).alias("category"),
             n_file.cast("bigint").alias("file_evidence"),
             n_dep.cast("bigint").alias("dependency_evidence"),
             F.least(F.lit(10), n_file * 2 + n_dep * 3).cast("bigint").alias("confidence"),

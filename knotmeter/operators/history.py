@@ -19,8 +19,8 @@ def since(as_of: str, months: int = 0, days: int = 0) -> Column:
     return end - F.make_interval(months=F.lit(months), days=F.lit(days))
 
 
-def is_bug_fix(message: Column, keywords: list[str] = rules.BUG_KEYWORDS) -> Column:
-    return any_literal(F.lower(message), keywords)
+def is_bug_fix(message: str = "message", keywords: list[str] = rules.BUG_KEYWORDS) -> Column:
+    return F.expr(any_literal(f"lower({message})", keywords))
 
 
 def recent_commits(
@@ -36,7 +36,7 @@ def recent_commits(
 
 
 def bug_fix_commits(commits: DataFrame, keywords: list[str] = rules.BUG_KEYWORDS) -> DataFrame:
-    return commits.where(is_bug_fix(F.col("message"), keywords))
+    return commits.where(is_bug_fix("message", keywords))
 
 
 def file_history(commits: DataFrame, commit_files: DataFrame, path: str) -> DataFrame:
@@ -145,7 +145,7 @@ def bug_rate(commits: DataFrame, as_of: str | None = None, months: int = 6) -> D
     rows = commits if as_of is None else commits.where(
         F.col("committed_at") >= since(as_of, months=months)
     )
-    bugs = F.count_if(is_bug_fix(F.col("message")))
+    bugs = F.count_if(is_bug_fix())
     return rows.groupBy("project_id").agg(
         F.count("*").alias("commits"), bugs.alias("bug_count"),
         (bugs / F.count("*")).alias("bug_rate"),

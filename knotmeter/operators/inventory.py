@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from knotmeter import rules
 from knotmeter.functions import paths, text
-from knotmeter.functions.matching import any_column, literal_lookup, sum_columns
+from knotmeter.functions.matching import (
+    any_literal, count_literals, labels_where, lookup, quoted, sum_of, text_array,
+)
 
 
 def file_inventory(files: DataFrame, ignore: list[str] = rules.IGNORE_GLOBS) -> DataFrame:
@@ -38,22 +40,16 @@ def kept(inventory: DataFrame) -> DataFrame:
     return inventory.where(~F.col("ignored"))
 
 
-def _first_language(catalogue: dict[str, list[str]], need_extension: bool) -> Column:
+def _first_language(catalogue: dict[str, list[str]], by_name: bool = True) -> str:
     """Language whose list holds the extension or exact name; the first one wins."""
-    order = {lang: i for i, lang in enumerate(catalogue)}
-    owner: dict[str, str] = {}
-    for lang, entries in catalogue.items():
+    rank_of: dict[str, str] = {}
+    for i, entries in enumerate(catalogue.values()):
         for entry in entries:
-            owner.setdefault(entry, lang)
-    names = list(catalogue)
-    rank_of = {entry: str(order[lang]) for entry, lang in owner.items()}
-    rank = F.least(
-        literal_lookup(F.col("extension"), rank_of).cast("int"),
-        literal_lookup(F.col("name"), rank_of).cast("int"),
-    )
-    language = F.element_at(F.array(*[F.lit(n) for n in names]), rank + 1)
-    gate = F.col("extension") != "" if need_extension else F.lit(True)
-    return F.when(gate & rank.isNotNull(), language)
+            rank_of.setdefault(entry, str(i))
+    keys = ["extension", "name"] if by_name else ["extension"]
+    ranks = ", ".join(f"int({lookup(k, rank_of)})" for k in keys)
+    rank = f"least({ranks})" if by_name else ranks
+    return f"CASE WHEN extension <> '' THEN get({text_array(list(catalogue))}, {rank}) END"
 
 
 def file_language(
@@ -62,7 +58,7 @@ def file_language(
     """One row per kept file with a known language (first match in catalogue order)."""
     return (
         kept(inventory)
-        .select("project_id", "path", _first_language(catalogue, True).alias("language"))
+        .select("project_id", "path", F.expr(_first_language(catalogue)).alias("language"))
         .where(F.col("language").isNotNull())
     )
 
@@ -78,9 +74,9 @@ def language_counts(
 
 
 def _language_order(catalogue) -> Column:
-    return literal_lookup(
-        F.col("language"), {lang: str(i) for i, lang in enumerate(catalogue)}
-    ).cast("int")
+    return F.expr(
+        f"int({lookup('language', {lang: str(i) for i, lang in enumerate(catalogue)})})"
+    )
 
 
 def primary_language(
@@ -108,15 +104,13 @@ def language_hits(
     """A row per (file, language) credit: one for the extension (first language
     only) and one for each language with an indicator inside the file name."""
     by_extension = _first_language({lang: ext for lang, (ext, _) in catalogue.items()}, False)
-    # the extension list must not match whole names here
-    by_extension = F.when(F.col("extension") != "", by_extension)
     by_name = [
-        F.when(any_column([F.col("name").contains(i) for i in indicators]), F.lit(lang))
+        f"CASE WHEN {any_literal('name', indicators)} THEN {quoted(lang)} END"
         for lang, (_, indicators) in catalogue.items()
         if indicators
     ]
-    credits = F.filter(F.array(by_extension, *by_name), lambda x: x.isNotNull())
-    return inventory.select("project_id", "path", F.explode(credits).alias("language"))
+    credits = f"filter(array({', '.join([by_extension, *by_name])}), x -> x IS NOT NULL)"
+    return inventory.select("project_id", "path", F.expr(f"explode({credits})").alias("language"))
 
 
 def language_stats(inventory: DataFrame, catalogue: dict = rules.DETECTOR_LANGUAGES) -> DataFrame:
@@ -149,15 +143,11 @@ def primary_language_share(
 
 
 def _long_scores(wide: DataFrame, names: list[str]) -> DataFrame:
-    pairs = F.array(
-        *[
-            F.struct(F.lit(n).alias("project_type"), F.lit(i).alias("ordinal"), F.col(f"s{i}").alias("score"))
-            for i, n in enumerate(names)
-        ]
-    )
-    return (
-        wide.select("project_id", F.inline(pairs)).where(F.col("score") > 0)
+    cells = ", ".join(
+        f"struct({quoted(n)} AS project_type, {i} AS ordinal, s{i} AS score)"
+        for i, n in enumerate(names)
     )
+    return wide.select("project_id", F.expr(f"inline(array({cells}))")).where("score > 0")
 
 
 def project_type_scores(
@@ -165,19 +155,18 @@ def project_type_scores(
 ) -> DataFrame:
     """Score per type: one per (pattern, kept file) whose path holds the pattern,
     two more for each pattern that exists as a path from the project root."""
-    path = F.col("path")
-    seen = F.when(~F.col("ignored"), F.lit(1)).otherwise(F.lit(0))
 
-    def exists(pattern: str) -> Column:
-        as_dir = path.startswith(pattern.rstrip("/") + "/")
-        found = as_dir if pattern.endswith("/") else (path == pattern) | as_dir
-        return F.bool_or(found).cast("int") * 2
+    def exists(pattern: str) -> str:
+        found = f"startswith(path, {quoted(pattern.rstrip('/') + '/')})"
+        if not pattern.endswith("/"):
+            found += f" OR path = {quoted(pattern)}"
+        return f"2 * int(bool_or({found}))"
 
     wide = inventory.groupBy("project_id").agg(
         *[
-            (
-                F.sum(seen * sum_columns([path.contains(p).cast("int") for p in patterns]))
-                + sum_columns([exists(p) for p in patterns])
+            F.expr(
+                f"sum(CASE WHEN ignored THEN 0 ELSE {count_literals('path', patterns)} END)"
+                f" + {sum_of([exists(p) for p in patterns])}"
             ).alias(f"s{i}")
             for i, patterns in enumerate(catalogue.values())
         ]
@@ -209,10 +198,9 @@ def detector_project_type_scores(
     inventory: DataFrame, catalogue: dict[str, list[str]] = rules.DETECTOR_PROJECT_TYPES
 ) -> DataFrame:
     """One per (indicator, file) hit; 'Full Stack' gets 2 for Python plus JavaScript."""
-    path = F.col("path")
     wide = inventory.groupBy("project_id").agg(
         *[
-            F.sum(sum_columns([path.contains(p).cast("int") for p in patterns])).alias(f"s{i}")
+            F.expr(f"sum({count_literals('path', patterns)})").alias(f"s{i}")
             for i, patterns in enumerate(catalogue.values())
         ]
     )
@@ -253,30 +241,25 @@ def project_types(
         flags = flags.join(
             df.groupBy("project_id").agg(F.count("*").alias(label)), "project_id", "left"
         )
-    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("services", "models", "pipelines")}
     labels = [
-        (n["services"] > 1, "Microservices"),
-        (F.col("pkg") & F.col("html"), "Web Application"),
-        ((n["models"] > 0) | F.col("train"), "Machine Learning"),
-        ((n["pipelines"] > 0) | F.col("pipe"), "Data Pipeline"),
-        (F.col("api"), "API Service"),
-        (F.col("lib"), "Library/Package"),
+        ("services > 1", "Microservices"),
+        ("pkg AND html", "Web Application"),
+        ("models > 0 OR train", "Machine Learning"),
+        ("pipelines > 0 OR pipe", "Data Pipeline"),
+        ("api", "API Service"),
+        ("lib", "Library/Package"),
     ]
-    return flags.select(
-        "project_id",
-        F.filter(
-            F.array(*[F.when(c, F.lit(t)) for c, t in labels]), lambda x: x.isNotNull()
-        ).alias("project_types"),
+    return flags.fillna(0, ["services", "models", "pipelines"]).select(
+        "project_id", F.expr(labels_where(labels)).alias("project_types")
     )
 
 
 def build_systems(
     inventory: DataFrame, catalogue: dict[str, list[str]] = rules.BUILD_SYSTEMS
 ) -> DataFrame:
-    path = F.col("path")
     wide = inventory.groupBy("project_id").agg(
         *[
-            F.bool_or(any_column([path.contains(i) for i in indicators])).cast("int").alias(f"s{i}")
+            F.expr(f"int(bool_or({any_literal('path', indicators)}))").alias(f"s{i}")
             for i, indicators in enumerate(catalogue.values())
         ]
     )
@@ -342,7 +325,7 @@ def directory_stats(inventory: DataFrame) -> DataFrame:
     """Files, directories and bytes of the whole tree (nothing pruned)."""
     dirs = (
         inventory.select("project_id", "dir").distinct()
-        .select("project_id", F.explode(paths.ancestor_dirs(F.col("dir"))).alias("d"))
+        .select("project_id", F.explode(paths.ancestor_dirs("dir")).alias("d"))
         .where(F.col("d") != ".")
         .distinct()
         .groupBy("project_id")
@@ -388,7 +371,7 @@ def directory_size(
 def directory_tree(inventory: DataFrame, max_depth: int = 3) -> DataFrame:
     """Directories and files down to ``max_depth``, each once, with kind and depth."""
     dirs = inventory.select("project_id", "dir").distinct().select(
-        "project_id", F.explode(paths.ancestor_dirs(F.col("dir"))).alias("path")
+        "project_id", F.explode(paths.ancestor_dirs("dir")).alias("path")
     ).where(F.col("path") != ".").distinct().withColumn("kind", F.lit("dir"))
     leaves = inventory.select("project_id", "path").withColumn("kind", F.lit("file"))
     return (

@@ -68,7 +68,8 @@ def _by_broadcast(texts: DataFrame, needles: DataFrame, text: str, group: str) -
     joined = texts.join(
         F.broadcast(needles), (texts[group] == needles[group]) & hit
     ).drop(needles[group])
-    tail = F.substring_index(F.col(text), F.col("needle"), -1)
+    # what follows the last occurrence of the needle
+    tail = F.call_function("substring_index", F.col(text), F.col("needle"), F.lit(-1))
     head = F.substring(
         F.col(text), F.lit(1), F.length(text) - F.length(tail) - F.length("needle")
     )

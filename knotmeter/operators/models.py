@@ -6,13 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotmeter import rules
-from knotmeter.functions import paths, text
+from knotmeter.functions import paths
 from knotmeter.functions.matching import (
-    alternation,
-    any_match,
-    count_matches,
-    has_match,
-    literal_lookup,
+    alternation, any_match, count_matches, has_match, lookup, quoted,
 )
 from knotmeter.operators.inventory import kept
 from knotmeter.operators.mentions import contains_pairs
@@ -50,7 +46,7 @@ def detect_model_files(
         .where(F.col("extension").isin(extensions))
         .select(
             "project_id", "name", "path",
-            literal_lookup(F.col("extension"), types, "Unknown").alias("type"),
+            F.expr(lookup("extension", types, "'Unknown'")).alias("type"),
             "size", "modified", F.lit("file_extension").alias("detected_by"),
         )
         .dropDuplicates(["project_id", "path", "size"])
@@ -69,13 +65,13 @@ def model_file_facts(inventory: DataFrame) -> DataFrame:
     for framework, extensions in rules.DETECTOR_MODEL_EXTENSIONS.items():
         for extension in extensions:
             owner.setdefault(extension, framework)
-    lower = F.lower("name")
-    architecture = F.coalesce(
-        *[F.when(lower.contains(a), F.lit(a)) for a in rules.MODEL_ARCHITECTURES]
+    cases = " ".join(
+        f"WHEN contains(lower(name), {quoted(a)}) THEN {quoted(a)}" for a in rules.MODEL_ARCHITECTURES
     )
+    architecture = F.expr(f"CASE {cases} END")
     size = F.col("size")
     return (
-        inventory.withColumn("framework", literal_lookup(F.col("extension"), owner))
+        inventory.withColumn("framework", F.expr(lookup("extension", owner)))
         .where(F.col("framework").isNotNull())
         .select(
             "project_id", "name", "path", "extension", "framework", "size",
@@ -96,29 +92,23 @@ def detect_model_code_refs(
     The 50 characters either side come from look-arounds, so neighbouring
     matches keep their own windows.
     """
-    content = F.col("content")
-
-    def hits(ordinal: int, pattern: str) -> Column:
-        wide = rf"(?s)(?<=(\A.{{0,49}}|.{{50}}))({pattern})(?=(.{{0,50}}))"
-        left, hit, right = (F.regexp_extract_all(content, F.lit(wide), g) for g in (1, 2, 3))
-        windows = F.zip_with(F.zip_with(left, hit, F.concat), right, F.concat)
-        rows = F.transform(
-            windows,
-            lambda w, i: F.struct(
-                F.lit(ordinal).alias("ordinal"), i.alias("i"), w.alias("context")
-            ),
-        )
-        return F.when(has_match(content, pattern), rows)
 
-    found = F.flatten(
-        F.filter(
-            F.array(*[hits(i, p) for i, p in enumerate(patterns)]), lambda a: a.isNotNull()
+    def hits(ordinal: int, pattern: str) -> str:
+        # the first look-ahead fails fast, before the costlier look-behind
+        wide = rf"(?s)(?={pattern})(?<=(\A.{{0,49}}|.{{50}}))({pattern})(?=(.{{0,50}}))"
+        left, hit, right = (
+            f"regexp_extract_all(content, {quoted(wide)}, {g})" for g in (1, 2, 3)
         )
-    )
+        windows = f"zip_with(zip_with({left}, {hit}, (a, b) -> a || b), {right}, (a, b) -> a || b)"
+        rows = f"transform({windows}, (w, i) -> struct({ordinal} AS ordinal, i, w AS context))"
+        return f"CASE WHEN {has_match('content', pattern)} THEN {rows} END"
+
+    tables = ", ".join(hits(i, p) for i, p in enumerate(patterns))
+    found = F.expr(f"inline(flatten(filter(array({tables}), a -> a IS NOT NULL)))")
     code = F.col("extension").isin(".py", ".js", ".java", ".r", ".ipynb")
     return (
-        kept(inventory).where(code & any_match(content, patterns))
-        .select("project_id", "path", F.inline(found))
+        kept(inventory).where(code & F.expr(any_match("content", patterns)))
+        .select("project_id", "path", found)
         .withColumn("name", model_reference(F.col("context")))
         .where(F.col("name").isNotNull())
         .groupBy("project_id", "path", "name")
@@ -163,33 +153,25 @@ def model_references(inventory: DataFrame) -> DataFrame:
     by_language: dict[str, list] = {}
     for lang, kind, framework, pattern in _reference_rules():
         by_language.setdefault(lang, []).append((kind, framework, pattern))
-    numbered = F.transform(
-        F.split("content", "\n"),
-        lambda line, i: F.struct((i + 1).cast("bigint").alias("line"), line.alias("code")),
-    )
-    lines = hits = None
+    lines, hits = "CASE language", "CASE language"
     for lang, table in by_language.items():
-        any_rule = alternation([p for _, _, p in table])
-        chosen = F.filter(numbered, lambda s, rx=any_rule: s["code"].rlike(rx))
-        counted = F.array(
-            *[
-                F.struct(
-                    F.lit(kind).alias("kind"), F.lit(framework).alias("framework"),
-                    F.lit(pattern).alias("pattern"),
-                    count_matches(F.col("l.code"), pattern).alias("n"),
-                )
-                for kind, framework, pattern in table
-            ]
+        any_rule = quoted(alternation([p for _, _, p in table]))
+        lines += (
+            f" WHEN '{lang}' THEN filter(transform(split(content, '\\n'), (code, i) -> "
+            f"struct(bigint(i + 1) AS line, code)), s -> rlike(s.code, {any_rule}))"
+        )
+        counted = ", ".join(
+            f"struct('{kind}' AS kind, '{framework}' AS framework, {quoted(pattern)} AS pattern, "
+            f"{count_matches('l.code', pattern)} AS n)"
+            for kind, framework, pattern in table
         )
-        is_lang = F.col("language") == lang
-        lines = F.when(is_lang, chosen) if lines is None else lines.when(is_lang, chosen)
-        hits = F.when(is_lang, counted) if hits is None else hits.when(is_lang, counted)
+        hits += f" WHEN '{lang}' THEN array({counted})"
     reference = model_reference(F.col("l.code"), rules.DETECTOR_QUOTED_MODEL_PATTERN, True)
     return (
         inventory.withColumn("language", language)
         .where(F.col("language").isNotNull() & F.col("content").isNotNull())
-        .select("project_id", "path", "language", F.explode(lines).alias("l"))
-        .select("project_id", "path", "language", "l", F.explode(hits).alias("h"))
+        .select("project_id", "path", "language", F.expr(f"explode({lines} END)").alias("l"))
+        .select("project_id", "path", "language", "l", F.expr(f"explode({hits} END)").alias("h"))
         .where(F.col("h.n") > 0)
         .select(
             "project_id", "path", "language", F.col("l.line").alias("line"), "h.kind",
@@ -267,42 +249,35 @@ def scanner_code_refs(
     inventory: DataFrame, patterns: list[str] = rules.SCANNER_REFERENCE_PATTERNS
 ) -> DataFrame:
     """Loading calls with the model they name, their line and context window."""
-    content = F.col("content")
-
-    def hits(ordinal: int, pattern: str) -> Column:
-        around = r"(?s)(?<=(\A.{0,49}|.{50}))(?=(.{0,50}))"
-        group = 1 if "(" in pattern.replace(r"\(", "").replace("(?:", "") else 0
-        before, after, hit, between = (
-            F.regexp_extract_all(content, F.lit(around + pattern), 1),
-            F.regexp_extract_all(content, F.lit(around + pattern), 2),
-            F.regexp_extract_all(content, F.lit(pattern), 0),
-            F.split(content, pattern, -1),
-        )
-        name = F.regexp_extract_all(content, F.lit(pattern), group)
-        zipped = F.arrays_zip(
-            before.alias("before"), after.alias("after"), hit.alias("hit"),
-            name.alias("ref"), F.slice(between, F.lit(1), F.size(hit)).alias("gap"),
+
+    def hits(ordinal: int, pattern: str) -> str:
+        grouped = "(" in pattern.replace(r"\(", "").replace("(?:", "")
+        plain = pattern.replace("([^", "(?:[^")
+        around = quoted(rf"(?s)(?={plain})(?<=(\A.{{0,49}}|.{{50}}))(?=(.{{0,50}}))" + pattern)
+        p = quoted(pattern)
+        zipped = (
+            f"arrays_zip(regexp_extract_all(content, {around}, 1) AS before, "
+            f"regexp_extract_all(content, {around}, 2) AS after, "
+            f"regexp_extract_all(content, {p}, 0) AS hit, "
+            f"regexp_extract_all(content, {p}, {int(grouped)}) AS ref, "
+            # the text between matches; the part after the last one is not needed
+            f"slice(split(content, {p}, -1), 1, regexp_count(content, {p})) AS gap)"
         )
-        rows = F.transform(
-            zipped,
-            lambda z, i: F.struct(
-                F.lit(ordinal).alias("ordinal"), i.alias("i"), z["ref"].alias("ref"),
-                text.newline_count(z["gap"]).alias("gap_lines"),
-                text.newline_count(z["hit"]).alias("hit_lines"),
-                F.trim(F.translate(F.concat(z["before"], z["after"]), "\n", " ")).alias("context"),
-            ),
+        newlines = "length({0}) - length(replace({0}, '\\n', ''))"
+        rows = (
+            f"transform({zipped}, (z, i) -> struct({ordinal} AS ordinal, i, z.ref AS ref, "
+            f"bigint({newlines.format('z.gap')}) AS gap_lines, "
+            f"bigint({newlines.format('z.hit')}) AS hit_lines, "
+            "trim(translate(z.before || z.after, '\\n', ' ')) AS context))"
         )
-        return F.when(has_match(content, pattern), rows)
+        return f"CASE WHEN {has_match('content', pattern)} THEN {rows} END"
 
-    found = F.flatten(
-        F.filter(
-            F.array(*[hits(i, p) for i, p in enumerate(patterns)]), lambda a: a.isNotNull()
-        )
-    )
+    tables = ", ".join(hits(i, p) for i, p in enumerate(patterns))
+    found = F.expr(f"inline(flatten(filter(array({tables}), a -> a IS NOT NULL)))")
     rows = inventory.where(
         paths.has_extension(F.col("name"), [".py", ".ipynb", ".r", ".R", ".js"])
-        & any_match(content, patterns)
-    ).select("project_id", F.col("path").alias("file"), F.inline(found))
+        & F.expr(any_match("content", patterns))
+    ).select("project_id", F.col("path").alias("file"), found)
     # the line of a match: newlines in all gaps up to it and in the hits before it
     upto = Window.partitionBy("project_id", "file", "ordinal").orderBy("i").rowsBetween(
         Window.unboundedPreceding, Window.currentRow

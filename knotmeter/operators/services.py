@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from knotmeter import rules
 from knotmeter.functions import paths
-from knotmeter.functions.matching import any_column
+from knotmeter.functions.matching import any_of, quoted, quoted_list
 from knotmeter.operators.mentions import contains_pairs
 
 
 def _language(chain, extension_chain=()) -> Column:
-    out = None
-    for markers, language in chain:
-        hit = any_column([F.array_contains("markers", m) for m in markers])
-        out = F.when(hit, language) if out is None else out.when(hit, language)
-    for i, (_, language) in enumerate(extension_chain):
-        out = out.when(F.col(f"ext{i}"), language)
-    return out.otherwise(F.lit("Unknown"))
+    """First link of the chain found among the direct children of the directory."""
+    cases = [
+        (any_of([f"array_contains(markers, {quoted(m)})" for m in markers]), language)
+        for markers, language in chain
+    ] + [(f"ext{i}", language) for i, (_, language) in enumerate(extension_chain)]
+    whens = " ".join(f"WHEN {c} THEN {quoted(language)}" for c, language in cases)
+    return F.expr(f"CASE {whens} ELSE 'Unknown' END")
 
 
 def detect_services(
@@ -49,7 +49,7 @@ def detect_services(
             .alias("name"),
             "path",
             _language(language_chain, extension_chain).alias("language"),
-            F.array_intersect(F.array(*[F.lit(i) for i in indicators]), "found").alias("indicators"),
+            F.expr(f"array_intersect(array({quoted_list(indicators)}), found)").alias("indicators"),
             "file_count",
             "has_docker",
             "has_requirements",
@@ -68,7 +68,7 @@ def detect_services_scanner(inventory: DataFrame) -> DataFrame:
 
 
 def services_top_level(candidates: DataFrame) -> DataFrame:
-    chain = paths.ancestor_dirs(F.col("path"))
+    chain = paths.ancestor_dirs("path")
     between = F.when(F.size(chain) > 2, F.slice(chain, F.lit(2), F.size(chain) - 2)).otherwise(
         F.array().cast("array<string>")
     )
@@ -85,7 +85,7 @@ def with_owners(rows: DataFrame, owners: DataFrame, *columns: str) -> DataFrame:
     becomes an equi-join on exploded ancestor directories, so callers should
     reduce ``rows`` per directory first.
     """
-    exploded = rows.withColumn("owner_path", F.explode(paths.ancestor_dirs(F.col("dir"))))
+    exploded = rows.withColumn("owner_path", F.explode(paths.ancestor_dirs("dir")))
     return exploded.join(
         owners.select("project_id", F.col("path").alias("owner_path"), *columns),
         ["project_id", "owner_path"],
@@ -125,7 +125,7 @@ def detect_pipelines(
     )
     by_file = per_dir.where("by_file").select("project_id", F.col("dir").alias("path"))
     all_dirs = per_dir.select(
-        "project_id", F.explode(paths.ancestor_dirs(F.col("dir"))).alias("path")
+        "project_id", F.explode(paths.ancestor_dirs("dir")).alias("path")
     ).distinct()
     own_name = F.when(F.col("path") == ".", F.col("project_id")).otherwise(
         paths.base_name(F.col("path"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotmeter import rules
 from knotmeter.functions import paths
-from knotmeter.functions.matching import alternation, any_literal, count_matches
+from knotmeter.functions.matching import alternation, any_literal, count_matches, quoted
 from knotmeter.operators.mentions import contains_pairs
 from knotmeter.operators.services import relative_path, with_owners
 
@@ -47,33 +47,26 @@ def direct_model_call_details(
     inventory: DataFrame, services: DataFrame, n: int = 5
 ) -> DataFrame:
     """The first n hits per service by file, rule and line, with their code."""
-    content = F.col("content")
     table = [("loading", p) for p in rules.LOADING_PATTERNS] + [
         ("prediction", p) for p in rules.PREDICTION_PATTERNS
     ]
-    gated = any_literal(content, rules.PREDICTION_GATE)
-    numbered = F.filter(
-        F.transform(
-            F.split(content, "\n"),
-            lambda line, i: F.struct((i + 1).cast("bigint").alias("line"), line.alias("code")),
-        ),
-        lambda s: s["code"].rlike(alternation([p for _, p in table])),
+    any_rule = quoted(alternation([p for _, p in table]))
+    numbered = (
+        "explode(filter(transform(split(content, '\\n'), (code, i) -> "
+        f"struct(bigint(i + 1) AS line, code)), s -> rlike(s.code, {any_rule})))"
     )
-    counted = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ordinal"), F.lit(kind).alias("pattern"),
-                count_matches(F.col("l.code"), p).alias("n"),
-            )
-            for i, (kind, p) in enumerate(table)
-        ]
+    counted = ", ".join(
+        f"struct({i} AS ordinal, '{kind}' AS pattern, {count_matches('l.code', p)} AS n)"
+        for i, (kind, p) in enumerate(table)
     )
+    gated = F.expr(any_literal("content", rules.PREDICTION_GATE)).alias("gated")
     hits = (
         inventory.where(
-            paths.has_extension(F.col("name"), rules.MODEL_CALL_CODE) & content.isNotNull()
+            paths.has_extension(F.col("name"), rules.MODEL_CALL_CODE)
+            & F.col("content").isNotNull()
         )
-        .select("project_id", "dir", "path", gated.alias("gated"), F.explode(numbered).alias("l"))
-        .select("project_id", "dir", "path", "gated", "l", F.explode(counted).alias("h"))
+        .select("project_id", "dir", "path", gated, F.expr(numbered).alias("l"))
+        .select("project_id", "dir", "path", "gated", "l", F.expr(f"explode(array({counted}))").alias("h"))
         .where((F.col("h.n") > 0) & ((F.col("h.pattern") == "loading") | F.col("gated")))
         .select(
             "project_id", "dir", "path", "h.ordinal", "h.pattern",

@@ -8,9 +8,11 @@ grows with its table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotmeter.functions.matching import quoted
+
 AS_OF = "2001-08-01"
 
 # word as it stands in the prose -> code that replaces it
@@ -41,57 +43,67 @@ CODE_WORDS = [
 ]
 
 
+PATH = """
+CASE
+  WHEN k = 9 THEN 'requirements.txt'
+  WHEN j = 0 AND g % 2 = 0 THEN 'svc' || g || '/requirements.txt'
+  WHEN j = 0 THEN 'svc' || g || '/package.json'
+  WHEN j = 1 AND g % 2 = 0 THEN 'svc' || g || '/app.py'
+  WHEN j = 1 THEN 'svc' || g || '/index.js'
+  WHEN j = 2 THEN 'svc' || g || '/README.md'
+  WHEN j = 3 THEN 'svc' || g || '/train/train_' || doc_id || '.py'
+  WHEN j = 4 THEN 'svc' || g || '/core/Doc' || doc_id || '.java'
+  WHEN j = 5 AND g % 3 = 0 THEN 'svc' || g || '/models/model_' || g || '.pkl'
+  WHEN j = 5 AND g % 3 = 1 THEN 'svc' || g || '/models/model_' || g || '.h5'
+  WHEN j = 5 THEN 'svc' || g || '/models/model_' || g || '.onnx'
+  WHEN j = 6 THEN 'svc' || g || '/pipeline/step_' || doc_id || '.py'
+  WHEN j = 7 THEN 'svc' || g || '/tests/test_' || doc_id || '.py'
+  WHEN j = 8 AND g % 3 = 1 THEN 'svc' || g || '/core/Dockerfile'
+  WHEN j = 8 THEN 'svc' || g || '/core/util_' || doc_id || '.ts'
+  WHEN g % 2 = 0 THEN 'docs/doc_' || doc_id || '.md'
+  ELSE 'svc' || g || '/conf/config_' || doc_id || '.yml'
+END
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_code(text: Column) -> Column:
+def as_code(column: str) -> str:
     for word, code in CODE_WORDS:
-        text = F.replace(text, F.lit(word), F.lit(code))
-    return text
-
-
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project = source; ten documents in a row make one service directory."""
-    docs = table(spark, sf_dir, "documents")
-    doc = F.col("doc_id").cast("string")
-    k = F.floor(F.col("doc_id") / 20)
-    g, j = F.floor(k / 10), k % 10
-    svc, even = F.concat(F.lit("svc"), g.cast("string")), g % 2 == 0
-    code = as_code(F.col("text"))
-
-    def below(*parts):
-        return F.concat(svc, *[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    model = F.when(g % 3 == 0, ".pkl").when(g % 3 == 1, ".h5").otherwise(".onnx")
-    package = (j == 0) & ~even & (k != 9)
-    path = (
-        F.when(k == 9, F.lit("requirements.txt"))
-        .when(j == 0, F.when(even, below("/requirements.txt")).otherwise(below("/package.json")))
-        .when(j == 1, F.when(even, below("/app.py")).otherwise(below("/index.js")))
-        .when(j == 2, below("/README.md"))
-        .when(j == 3, below("/train/train_", doc, ".py"))
-        .when(j == 4, below("/core/Doc", doc, ".java"))
-        .when(j == 5, below("/models/model_", g.cast("string"), model))
-        .when(j == 6, below("/pipeline/step_", doc, ".py"))
-        .when(j == 7, below("/tests/test_", doc, ".py"))
-        .when(j == 8, F.when(g % 3 == 1, below("/core/Dockerfile"))
-              .otherwise(below("/core/util_", doc, ".ts")))
-        .when(even, F.concat(F.lit("docs/doc_"), doc, F.lit(".md")))
-        .otherwise(below("/conf/config_", doc, ".yml"))
-    )
-    package_json = F.concat(
-        F.lit('{"dependencies":{"express":"^'), k.cast("string"),
-        F.lit('","react":"^'), F.col("n_chars").cast("string"),
-        F.lit('"},"devDependencies":{"jest":"'), doc, F.lit('","express":"dev'), doc,
-        F.lit('"},"readme":'), F.substring(F.to_json(F.struct(code.alias("t"))), F.lit(6), F.lit(2**31 - 1)),
+        column = f"replace({column}, {quoted(word)}, {quoted(code)})"
+    return column
+
+
+def files(spark: SparkSession, sf_dir: str, read_content: bool = True) -> DataFrame:
+    """project = source; ten documents in a row make one service directory.
+
+    With ``read_content`` the text is rewritten in a generator, once per row;
+    otherwise filters over ``content`` would each repeat the rewriting.  Without
+    it the column is a plain expression, which queries that never look at the
+    content prune away.
+    """
+    package_json = (
+        """'{"dependencies":{"express":"^' || k || '","react":"^' || n_chars || """
+        """'"},"devDependencies":{"jest":"' || doc_id || '","express":"dev' || doc_id || """
+        """'"},"readme":' || substring(to_json(struct(code AS t)), 6)"""
+    ).replace("code AS t", as_code("text") + " AS t")
+    content = (
+        f"CASE WHEN j = 0 AND g % 2 = 1 AND k <> 9 THEN {package_json} "
+        f"ELSE {as_code('text')} END"
     )
-    return docs.select(
-        F.col("source").alias("project_id"),
-        path.alias("path"),
-        F.col("n_chars").alias("size"),
-        (F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=F.col("doc_id").cast("int"))).alias("modified"),
-        F.when(package, package_json).otherwise(code).alias("content"),
+    return (
+        table(spark, sf_dir, "documents")
+        .selectExpr("doc_id", "source", "n_chars", "text", "floor(doc_id / 20) AS k")
+        .selectExpr("*", "floor(k / 10) AS g", "k % 10 AS j")
+        .selectExpr(
+            "source AS project_id",
+            f"{PATH} AS path",
+            "n_chars AS size",
+            "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, int(doc_id)) AS modified",
+            f"explode(array({content})) AS content" if read_content else f"{content} AS content",
+        )
     )
 
 
@@ -107,7 +119,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src"), (F.col("o_orderkey") % 20).cast("string")).alias("project_id"),
         F.col("o_orderkey").cast("string").alias("commit_id"),
         F.concat(F.lit("dev"), F.col("o_custkey").cast("string")).alias("author"),
-        F.col("o_orderdate").alias("committed_at"),
+        F.col("o_orderdate").cast("timestamp").alias("committed_at"),
         F.concat(message, F.lit(" #"), F.col("o_orderkey").cast("string")).alias("message"),
     )
 
@@ -144,7 +156,7 @@ def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("project_id"),
         F.col("event_id").cast("string").alias("commit_id"),
         F.concat(F.lit("dev"), F.col("user_id").cast("string")).alias("author"),
-        F.col("ts").alias("committed_at"),
+        F.col("ts").cast("timestamp").alias("committed_at"),
         F.col("event_type").alias("message"),
     )
 

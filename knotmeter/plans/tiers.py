@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,60 +10,76 @@ from pyspark.sql import functions as F
 from knotmeter import rules
 from knotmeter.functions import paths
 from knotmeter.operators import (
-    endpoints, features, frameworks, history, inventory, models, reports, scores, services, smells,
+    endpoints, features, frameworks, history, inventory, models, scores, services, smells,
 )
 from knotmeter.operators.mentions import contains_pairs
 from knotmeter.session import materialize
 
 
-@dataclass
 class Facts:
-    """Narrow relations every tier starts from; none of them holds content.
+    """Relations every tier starts from, each computed when first asked for.
 
-    File contents are scanned a fixed number of times however many metrics are
-    asked for, and the results go to the checkpoint folder because many small
-    aggregates read them.
+    The ones that come from file contents and feed many small aggregates are
+    written to the shared folder once, so contents are scanned a fixed number of
+    times however many metrics are asked for.
     """
 
-    inventory: DataFrame
-    features: DataFrame
-    services: DataFrame
-    models: DataFrame
-    pipelines: DataFrame
-    endpoints: DataFrame
-    mentions: DataFrame
-    dependencies: DataFrame
-    declared: DataFrame
-
-
-def collect_facts(files: DataFrame, glue_mode: str = "intended") -> Facts:
-    tree = inventory.file_inventory(files)
-    narrow = materialize(features.file_features(tree, glue_mode))
-    found = materialize(services.detect_services(tree))
-    artefacts = materialize(models.detect_models(tree))
-    hits = materialize(endpoints.detect_endpoints(tree, found))
-    # models and services are looked up in the code in one scan
-    needles = endpoints.service_needles(found)
-    wanted = needles.select("project_id", "needle").unionByName(
-        artefacts.select("project_id", F.col("name").alias("needle"))
-    )
-    code = tree.where(
-        paths.has_extension(F.col("name"), rules.ENDPOINT_CODE) & F.col("content").isNotNull()
-    ).select("project_id", "dir", "path", "name", "extension", "ignored", "content")
-    pairs = materialize(contains_pairs(code, wanted))
-    names = artefacts.select("project_id", F.col("name").alias("needle")).distinct()
-    mentions = (
-        pairs.where(paths.has_extension(F.col("name"), rules.CONSUMER_CODE))
-        .join(names, ["project_id", "needle"], "left_semi")
-        .withColumnRenamed("needle", "model")
-    )
-    return Facts(
-        tree, narrow, found, artefacts,
-        materialize(services.detect_pipelines(tree)),
-        hits, mentions,
-        endpoints.dependencies_from_pairs(pairs, found, needles),
-        smells.declared_consumers(tree, found, artefacts),
-    )
+    def __init__(self, files: DataFrame, glue_mode: str = "intended"):
+        self.inventory = inventory.file_inventory(files)
+        self.glue_mode = glue_mode
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return materialize(features.file_features(self.inventory, self.glue_mode))
+
+    @cached_property
+    def services(self) -> DataFrame:
+        return materialize(services.detect_services(self.inventory))
+
+    @cached_property
+    def models(self) -> DataFrame:
+        return materialize(models.detect_models(self.inventory))
+
+    @cached_property
+    def pipelines(self) -> DataFrame:
+        return services.detect_pipelines(self.inventory)
+
+    @cached_property
+    def endpoints(self) -> DataFrame:
+        return materialize(endpoints.detect_endpoints(self.inventory, self.services))
+
+    @cached_property
+    def _needles(self) -> DataFrame:
+        return endpoints.service_needles(self.services)
+
+    @cached_property
+    def _pairs(self) -> DataFrame:
+        """Models and services are looked up in the code in one scan."""
+        wanted = self._needles.select("project_id", "needle").unionByName(
+            self.models.select("project_id", F.col("name").alias("needle"))
+        )
+        code = self.inventory.where(
+            paths.has_extension(F.col("name"), rules.ENDPOINT_CODE)
+            & F.col("content").isNotNull()
+        ).select("project_id", "dir", "path", "name", "extension", "ignored", "content")
+        return materialize(contains_pairs(code, wanted))
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        names = self.models.select("project_id", F.col("name").alias("needle")).distinct()
+        return (
+            self._pairs.where(paths.has_extension(F.col("name"), rules.CONSUMER_CODE))
+            .join(names, ["project_id", "needle"], "left_semi")
+            .withColumnRenamed("needle", "model")
+        )
+
+    @cached_property
+    def dependencies(self) -> DataFrame:
+        return endpoints.dependencies_from_pairs(self._pairs, self.services, self._needles)
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        return smells.declared_consumers(self.inventory, self.services, self.models)
 
 
 def _counts(df: DataFrame, name: str) -> DataFrame:
@@ -102,7 +118,6 @@ def tier3(facts: Facts) -> DataFrame:
     hidden = smells.hidden_consumers(actual, facts.declared)
     complexity = services.pipeline_complexity(facts.pipelines, facts.features)
     loops = smells.feedback_loop_counts(facts.features, facts.services)
-    # the root service owns every file, yet a file counts once per owning service
     impact = smells.impact_radius(facts.mentions, facts.services, facts.models)
     parts = [
         glue.select("project_id", "glue_ratio"),
@@ -192,18 +207,20 @@ def service_profile(facts: Facts, ml_libraries: DataFrame | None = None) -> Data
     key = ["project_id", "path"]
     impact = smells.impact_radius(facts.mentions, facts.services, facts.models)
     average = impact.groupBy("project_id").agg(F.avg("impact_radius").alias("avg_impact"))
-    direct = smells.direct_model_calls(facts.features, facts.services).select(
-        *key, F.lit(True).alias("is_direct")
+    # these three are known by service name; of equal names the last path counts
+    by_name = ["project_id", F.col("service").alias("name")]
+    direct = smells.direct_model_calls(facts.features, facts.services).groupBy(*by_name).agg(
+        F.lit(True).alias("is_direct")
     )
-    glue = smells.glue_code_by_service(facts.features, facts.services).select(
-        *key, F.col("ratio").alias("glue_ratio")
+    glue = smells.glue_code_by_service(facts.features, facts.services).groupBy(*by_name).agg(
+        F.max_by("ratio", "path").alias("glue_ratio")
     )
-    loops = smells.feedback_loop_counts(facts.features, facts.services).select(
-        *key, F.lit(True).alias("in_loop")
+    loops = smells.feedback_loop_counts(facts.features, facts.services).groupBy(*by_name).agg(
+        F.lit(True).alias("in_loop")
     )
     rows = endpoints.endpoint_counts(facts.endpoints, facts.services)
     for part in (direct, glue, loops):
-        rows = rows.join(part, key, "left")
+        rows = rows.join(part, ["project_id", "name"], "left")
     rows = rows.join(average, "project_id", "left")
     if ml_libraries is None:
         rows = rows.withColumn("ml_libraries", F.array().cast("array<string>"))
@@ -225,7 +242,7 @@ def analyze(
     glue_mode: str = "intended",
 ) -> DataFrame:
     """Everything: one wide row per project through all six tiers."""
-    facts = collect_facts(files, glue_mode)
+    facts = Facts(files, glue_mode)
     first = tier1(facts).drop("services_count", "models_count", "pipelines_count")
     rows = (
         tier4(facts).join(tier5(facts, commits, commit_files, as_of), "project_id")
@@ -236,7 +253,7 @@ def analyze(
 
 def mes_report(files: DataFrame) -> DataFrame:
     """The flagship: entanglement per project, from files alone."""
-    return tier4(collect_facts(files))
+    return tier4(Facts(files))
 
 
 def language_report(tree: DataFrame) -> DataFrame:
@@ -269,6 +286,6 @@ def git_report(commits: DataFrame, as_of: str) -> DataFrame:
 
 
 __all__ = [
-    "Facts", "analyze", "collect_facts", "framework_report", "git_report", "language_report",
-    "mes_report", "reports", "service_profile", "tier1", "tier2", "tier3", "tier4", "tier5", "tier6",
+    "Facts", "analyze", "framework_report", "git_report", "language_report",
+    "mes_report", "service_profile", "tier1", "tier2", "tier3", "tier4", "tier5", "tier6",
 ]
