@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotmeter.functions.matching import quoted
+from knotmeter.session import spread
 
 AS_OF = "2001-08-01"
 
@@ -84,6 +85,9 @@ def files(spark: SparkSession, sf_dir: str, read_content: bool = True) -> DataFr
     it the column is a plain expression, which queries that never look at the
     content prune away.
     """
+    documents = table(spark, sf_dir, "documents")
+    if read_content:
+        documents = spread(documents.select("doc_id", "source", "n_chars", "text"))
     package_json = (
         """'{"dependencies":{"express":"^' || k || '","react":"^' || n_chars || """
         """'"},"devDependencies":{"jest":"' || doc_id || '","express":"dev' || doc_id || """
@@ -94,7 +98,7 @@ def files(spark: SparkSession, sf_dir: str, read_content: bool = True) -> DataFr
         f"ELSE {as_code('text')} END"
     )
     return (
-        table(spark, sf_dir, "documents")
+        documents
         .selectExpr("doc_id", "source", "n_chars", "text", "floor(doc_id / 20) AS k")
         .selectExpr("*", "floor(k / 10) AS g", "k % 10 AS j")
         .selectExpr(

@@ -178,7 +178,7 @@ def directory_size(spark, sf):
 
 
 @query
-def directory_listing(spark, sf):
+def directory_tree(spark, sf):
     return inventory.directory_tree(listing(spark, sf), 1)
 
 
