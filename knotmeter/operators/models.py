@@ -255,20 +255,21 @@ def scanner_code_refs(
         plain = pattern.replace("([^", "(?:[^")
         around = quoted(rf"(?s)(?={plain})(?<=(\A.{{0,49}}|.{{50}}))(?=(.{{0,50}}))" + pattern)
         p = quoted(pattern)
+        # zipped fields are numbered: before, after, hit, reference, gap
         zipped = (
-            f"arrays_zip(regexp_extract_all(content, {around}, 1) AS before, "
-            f"regexp_extract_all(content, {around}, 2) AS after, "
-            f"regexp_extract_all(content, {p}, 0) AS hit, "
-            f"regexp_extract_all(content, {p}, {int(grouped)}) AS ref, "
+            f"arrays_zip(regexp_extract_all(content, {around}, 1), "
+            f"regexp_extract_all(content, {around}, 2), "
+            f"regexp_extract_all(content, {p}, 0), "
+            f"regexp_extract_all(content, {p}, {int(grouped)}), "
             # the text between matches; the part after the last one is not needed
-            f"slice(split(content, {p}, -1), 1, regexp_count(content, {p})) AS gap)"
+            f"slice(split(content, {p}, -1), 1, regexp_count(content, {p})))"
         )
         newlines = "length({0}) - length(replace({0}, '\\n', ''))"
         rows = (
-            f"transform({zipped}, (z, i) -> struct({ordinal} AS ordinal, i, z.ref AS ref, "
-            f"bigint({newlines.format('z.gap')}) AS gap_lines, "
-            f"bigint({newlines.format('z.hit')}) AS hit_lines, "
-            "trim(translate(z.before || z.after, '\\n', ' ')) AS context))"
+            f"transform({zipped}, (z, i) -> struct({ordinal} AS ordinal, i, z.`3` AS ref, "
+            f"bigint({newlines.format('z.`4`')}) AS gap_lines, "
+            f"bigint({newlines.format('z.`2`')}) AS hit_lines, "
+            "trim(translate(z.`0` || z.`1`, '\\n', ' ')) AS context))"
         )
         return f"CASE WHEN {has_match('content', pattern)} THEN {rows} END"
 
