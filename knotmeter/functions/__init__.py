@@ -1 +1 @@
-"""See the package README."""
+"""Column expressions shared by the operators."""

@@ -1 +1 @@
-"""See the package README."""
+"""Operators: functions from DataFrames to a DataFrame, keyed by project."""

@@ -119,26 +119,20 @@ def churn_lines(commits: DataFrame, commit_files: DataFrame, as_of: str, days: i
         "project_id", "commit_id", "author", F.to_date("committed_at").cast("string").alias("date")
     )
     rows = commit_files.join(recent, ["project_id", "commit_id"])
-    # one row per commit and path, so by file every row is a commit; the other
-    # levels count a commit once, at its first path
-    w = Window.partitionBy("project_id", "commit_id").orderBy("path")
-    marked = rows.withColumn("first", (F.row_number().over(w) == 1).cast("int"))
-    sums = [
-        F.sum("added").alias("added"), F.sum("deleted").alias("deleted"),
-    ]
+    sums = [F.sum("added").alias("added"), F.sum("deleted").alias("deleted")]
     by_file = rows.groupBy("project_id", F.col("path").alias("key")).agg(
         *sums, F.count("*").alias("commits")
     ).withColumn("level", F.lit("file"))
-    others = [
-        marked.groupBy("project_id", F.col(column).alias("key"))
-        .agg(*sums, F.sum("first").alias("commits"))
-        .withColumn("level", F.lit(column))
-        for column in ("author", "date")
-    ]
-    total = marked.groupBy("project_id").agg(
-        *sums, F.sum("first").alias("commits")
-    ).withColumns({"key": F.lit("all"), "level": F.lit("total")})
-    return by_file.unionByName(others[0]).unionByName(others[1]).unionByName(total)
+    # reduced to one row per commit first, so that counting rows counts commits
+    per_commit = rows.groupBy("project_id", "commit_id", "author", "date").agg(*sums)
+    out = by_file
+    for level, key in (("author", F.col("author")), ("date", F.col("date")), ("total", F.lit("all"))):
+        out = out.unionByName(
+            per_commit.groupBy("project_id", key.alias("key"))
+            .agg(*sums, F.count("*").alias("commits"))
+            .withColumn("level", F.lit(level))
+        )
+    return out
 
 
 def bug_rate(commits: DataFrame, as_of: str | None = None, months: int = 6) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knotmeter.session import materialize
+
 MAX_BROADCAST_NEEDLES = 100_000
 MAX_NEEDLES_PER_GROUP = 512
 BITMAP_BITS = 23  # 2**23 flags = 1 MiB once packed, whatever the data size
@@ -39,28 +41,31 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every window of ``length`` characters (wrapping 64-bit arithmetic)."""
-    n = len(codes)
-    terms = codes.astype(np.uint64) * _powers(_BASE, n)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    return (prefix[length:] - prefix[: n - length + 1]) * _powers(_INVERSE, n - length + 1)
+class _Windows:
+    """Hashes of all windows of a text, by length (wrapping 64-bit arithmetic)."""
 
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.size = len(codes)
+        terms = codes.astype(np.uint64) * _powers(_BASE, self.size)
+        self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        self._inverse = _powers(_INVERSE, self.size)
 
-def _slots(hashes: np.ndarray, group: str) -> np.ndarray:
-    seed = np.uint64(int.from_bytes(hashlib.md5(group.encode()).digest()[:8], "little"))
-    mixed = (hashes ^ seed) * _MIX
-    mixed ^= mixed >> np.uint64(29)
-    return ((mixed * _BASE) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    def slots(self, length: int, seed: np.uint64) -> np.ndarray:
+        n = self.size - length + 1
+        hashes = (self._prefix[length:] - self._prefix[:n]) * self._inverse[:n]
+        mixed = (hashes ^ seed) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        return ((mixed * _BASE) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _seed(group: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.md5(group.encode()).digest()[:8], "little"))
 
 
-def _needle_slots(group: str, needle: str) -> int:
-    codes = _codes(needle)
-    return int(_slots(_window_hashes(codes, len(codes)), group)[0])
+def _needle_slot(group: str, needle: str) -> int:
+    windows = _Windows(needle)
+    return int(windows.slots(windows.size, _seed(group))[0])
 
 
 def _by_broadcast(texts: DataFrame, needles: DataFrame, text: str, group: str) -> DataFrame:
@@ -88,7 +93,7 @@ def _by_rolling_hash(texts: DataFrame, needles: DataFrame, text: str, group: str
     def slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame(
-                {"slot": [_needle_slots(g, n) for g, n in zip(pdf[group], pdf["needle"])]}
+                {"slot": [_needle_slot(g, n) for g, n in zip(pdf[group], pdf["needle"])]}
             )
 
     # both collected sets are bounded: at most 2**BITMAP_BITS slots, and one
@@ -114,12 +119,11 @@ def _by_rolling_hash(texts: DataFrame, needles: DataFrame, text: str, group: str
     )
 
     def candidates(group_key: str, body: str, marked: np.ndarray) -> dict[str, int]:
-        codes, last = _codes(body), {}
+        windows, seed, last = _Windows(body), _seed(group_key), {}
         for length in lengths:
-            if length > len(codes):
+            if length > windows.size:
                 break
-            spots = _slots(_window_hashes(codes, length), group_key)
-            for at in np.flatnonzero(marked[spots]):
+            for at in np.flatnonzero(marked[windows.slots(length, seed)]):
                 last[body[at : at + length]] = int(at)
         return last
 
@@ -156,7 +160,10 @@ def contains_pairs(
     rows merged, empty needles never match.  ``last_line``/``last_code`` locate
     the last occurrence.  ``strategy`` may force 'broadcast' or 'hash'.
     """
-    needles = needles.where(F.length("needle") > 0).select(group, "needle").distinct()
+    # read twice or more below, and often the result of scanning contents itself
+    needles = materialize(
+        needles.where(F.length("needle") > 0).select(group, "needle").distinct()
+    )
     if strategy == "auto":
         total, largest = (
             needles.groupBy(group).count().agg(F.sum("count"), F.max("count")).first()

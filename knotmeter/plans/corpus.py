@@ -62,7 +62,8 @@ CASE
   WHEN j = 8 AND g % 3 = 1 THEN 'svc' || g || '/core/Dockerfile'
   WHEN j = 8 THEN 'svc' || g || '/core/util_' || doc_id || '.ts'
   WHEN g % 2 = 0 THEN 'docs/doc_' || doc_id || '.md'
-  ELSE 'svc' || g || '/conf/config_' || doc_id || '.yml'
+  WHEN g % 4 = 1 THEN 'svc' || g || '/conf/config.yaml'
+  ELSE 'svc' || g || '/conf/checkpoint-' || doc_id || '.yml'
 END
 """
 

@@ -64,6 +64,11 @@ def svcs(spark, sf) -> DataFrame:
     return services.detect_services(listing(spark, sf))
 
 
+def artefacts(t: DataFrame) -> DataFrame:
+    """Models are looked at several times per query, so they are stored once."""
+    return materialize(models.detect_models(t))
+
+
 # --- inventory -------------------------------------------------------------
 
 
@@ -155,8 +160,10 @@ def file_statistics(spark, sf):
 @query
 def inventory_counts(spark, sf):
     t = tree(spark, sf)
+    names = listing(spark, sf)
     return inventory.inventory_counts(
-        t, services.detect_services(t), models.detect_models(t), services.detect_pipelines(t)
+        names, services.detect_services(names), models.detect_models(t),
+        services.detect_pipelines(names),
     )
 
 
@@ -467,33 +474,33 @@ def glue_code_literal_mode(spark, sf):
 @query
 def declared_consumers(spark, sf):
     t = tree(spark, sf)
-    return smells.declared_consumers(t, services.detect_services(t), models.detect_models(t))
+    return smells.declared_consumers(t, svcs(spark, sf), artefacts(t))
 
 
 @query
 def actual_consumers(spark, sf):
     t = tree(spark, sf)
     return smells.actual_consumers(
-        smells.model_mentions(t, models.detect_models(t)), services.detect_services(t)
+        smells.model_mentions(t, artefacts(t)), svcs(spark, sf)
     )
 
 
 @query
 def hidden_consumers(spark, sf):
     t = tree(spark, sf)
-    found, artefacts = services.detect_services(t), models.detect_models(t)
+    found, known = svcs(spark, sf), artefacts(t)
     return smells.hidden_consumers(
-        smells.actual_consumers(smells.model_mentions(t, artefacts), found),
-        smells.declared_consumers(t, found, artefacts),
+        smells.actual_consumers(smells.model_mentions(t, known), found),
+        smells.declared_consumers(t, found, known),
     )
 
 
 @query
 def impact_radius(spark, sf):
     t = tree(spark, sf)
-    artefacts = models.detect_models(t)
+    known = artefacts(t)
     return smells.impact_radius(
-        smells.model_mentions(t, artefacts), services.detect_services(t), artefacts
+        smells.model_mentions(t, known), svcs(spark, sf), known
     )
 
 
@@ -521,7 +528,7 @@ def shared_features(spark, sf):
 def service_model_matrix(spark, sf):
     t = tree(spark, sf)
     return smells.service_model_matrix(
-        smells.model_mentions(t, models.detect_models(t)), services.detect_services(t)
+        smells.model_mentions(t, artefacts(t)), svcs(spark, sf)
     )
 
 
@@ -645,8 +652,8 @@ def estimate_bug_prone_files(spark, sf):
 @query
 def change_impact_by_model(spark, sf):
     t = tree(spark, sf)
-    artefacts = models.detect_models(t)
-    return history.change_impact_by_model(smells.model_mentions(t, artefacts), artefacts)
+    known = artefacts(t)
+    return history.change_impact_by_model(smells.model_mentions(t, known), known)
 
 
 @query

@@ -1 +1 @@
-"""See the package README."""
+"""Commit aggregates over a streaming ``commits`` relation."""
