@@ -81,13 +81,25 @@ def alternation(patterns: list[str]) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-def matching_lines(text: str, patterns: list[str]) -> str:
-    """Number of lines holding at least one match, case-insensitively, in one scan.
+def matching_lines(lower_text: str, patterns: list[str]) -> str:
+    """Number of lines of a lower-cased text with at least one match, in one scan.
 
-    ``d`` makes '\\n' the only line terminator, ``m`` anchors at line borders.
+    A match takes the rest of its line with it, so a line counts once.  Where all
+    patterns are literals, a substring test first spares most texts the regex.
     """
-    pattern = "(?imd)^.*?" + alternation(patterns) + ".*$"
-    return f"cast(regexp_count({text}, {quoted(pattern)}) as bigint)"
+    lowered = [p.lower() for p in patterns]
+    count = f"regexp_count({lower_text}, {quoted(alternation(lowered) + '[^\\n]*')})"
+    if all(literal_of(p) is not None for p in lowered):
+        count = f"CASE WHEN {any_match(lower_text, lowered)} THEN {count} ELSE 0 END"
+    return f"cast({count} as bigint)"
+
+
+def has_match_any_case(lower_text: str, pattern: str) -> str:
+    """Case-insensitive test on a text that is lower-cased already."""
+    literal = literal_of(pattern)
+    if literal is None:
+        return f"rlike({lower_text}, {quoted('(?i)' + pattern)})"
+    return f"contains({lower_text}, {quoted(literal.lower())})"
 
 
 def lookup(key: str, table: dict[str, str], default: str = "NULL") -> str:

@@ -72,11 +72,13 @@ def endpoint_counts(endpoints: DataFrame, services: DataFrame) -> DataFrame:
 def service_needles(services: DataFrame) -> DataFrame:
     """The texts that give away a call to a service (project, service, needle)."""
     name, path = F.col("name"), F.col("path")
-    needles = F.array(
+    calls = F.array(
         F.concat(F.lit("http://"), name), F.concat(F.lit("https://"), name),
         F.concat(name, F.lit(".com")), F.when(path != ".", path),
         F.concat(F.lit("/"), name, F.lit("/")),
     )
+    # for a top-level service the path is the name, which all the others contain
+    needles = F.when(path == name, F.array(path)).otherwise(calls)
     return (
         services.select("project_id", name.alias("target"), F.explode(needles).alias("needle"))
         .where(F.col("needle").isNotNull())

@@ -7,6 +7,8 @@ shuffled.  Catalyst drops the columns a query does not use.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from knotmeter import rules
@@ -43,7 +45,7 @@ def file_features(inventory: DataFrame, glue_mode: str = "intended") -> DataFram
     gate = any_literal(text, rules.PREDICTION_GATE)
     groups = list(rules.GLUE_PATTERNS.values())
     if glue_mode == "reference":
-        groups = [[r"\Q" + p + r"\E" for p in g] for g in groups]
+        groups = [[re.escape(p) for p in g] for g in groups]
     newlines = f"octet_length({text}) - octet_length(replace({text}, '\\n', ''))"
     lines = f"{newlines} + CASE WHEN {text} <> '' AND NOT endswith({text}, '\\n') THEN 1L ELSE 0L END"
     trains = "NOT ignored AND contains(lower(name), 'train')"
@@ -58,7 +60,7 @@ def file_features(inventory: DataFrame, glue_mode: str = "intended") -> DataFram
         ),
         "code_lines": where(code(rules.GLUE_CODE), lines),
         "glue_lines": where(
-            code(rules.GLUE_CODE), sum_of([matching_lines(text, g) for g in groups])
+            code(rules.GLUE_CODE), sum_of([matching_lines(lower, g) for g in groups])
         ),
         "branches": where(python, words("if ", "elif ", "case ")),
         "flow_words": where(python, words("if ", "elif ", "else:", "for ", "while ")),

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from knotmeter import rules
 from knotmeter.functions import paths
-from knotmeter.functions.matching import any_literal, any_of, labels_where, lookup, quoted
+from knotmeter.functions.matching import (
+    any_literal, any_of, has_match_any_case, labels_where, lookup, quoted,
+)
 from knotmeter.operators.inventory import kept
 
 
+def _lower_code(inventory: DataFrame) -> DataFrame:
+    """Code patterns ignore case: the content is lower-cased once for all of them."""
+    return inventory.select("project_id", "path", "name", F.lower("content").alias("code"))
+
+
 def _any_case(text: str, patterns: list[str]) -> str:
-    return any_of([f"rlike({text}, {quoted('(?i)' + p)})" for p in patterns])
+    return any_of([has_match_any_case(text, p) for p in patterns])
 
 
 def manifest_frameworks(inventory: DataFrame) -> DataFrame:
@@ -30,12 +37,11 @@ def manifest_frameworks(inventory: DataFrame) -> DataFrame:
 def code_frameworks(inventory: DataFrame) -> DataFrame:
     """Frameworks with a code pattern anywhere in the project."""
     found = labels_where(
-        [(_any_case("content", pats), fw) for fw, pats in rules.CODE_FRAMEWORKS.items()]
+        [(_any_case("code", pats), fw) for fw, pats in rules.CODE_FRAMEWORKS.items()]
     )
     return (
-        inventory.where(
-            paths.has_extension(F.col("name"), rules.CODE_FRAMEWORK_CODE) & F.col("content").isNotNull()
-        )
+        _lower_code(inventory)
+        .where(paths.has_extension(F.col("name"), rules.CODE_FRAMEWORK_CODE) & F.col("code").isNotNull())
         .select("project_id", F.expr(f"explode({found})").alias("framework"))
         .distinct()
     )
@@ -59,12 +65,12 @@ def framework_evidence(inventory: DataFrame, catalogue: dict = rules.FRAMEWORKS)
             for f in fragments
         ]
         first = " ".join(
-            f"WHEN {_any_case('content', [p])} THEN {evidence('code', p, 2)}" for p in patterns
+            f"WHEN {_any_case('code', [p])} THEN {evidence('code', p, 2)}" for p in patterns
         )
         if patterns:
             cells.append(f"CASE WHEN {code} THEN CASE {first} END END")
     found = f"inline(filter(array({', '.join(cells)}), e -> e IS NOT NULL))"
-    return inventory.select("project_id", "path", F.expr(found))
+    return _lower_code(inventory).select("project_id", "path", F.expr(found))
 
 
 def detect_frameworks_from_files(evidence: DataFrame) -> DataFrame:

@@ -813,7 +813,8 @@ def _payloads(spark, sf, template: str) -> DataFrame:
     pieces = []
     for i, part in enumerate(template.split("@")):
         pieces.append(F.lit(part) if i % 2 == 0 else F.col(part).cast("string"))
-    events = corpus.table(spark, sf, "events").withColumn("seconds", F.unix_seconds(F.col("ts").cast("timestamp")))
+    # seconds of the wall clock, whatever the session time zone
+    events = corpus.table(spark, sf, "events").withColumn("seconds", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
     return events.select(F.concat(*pieces).alias("payload"))
 
 

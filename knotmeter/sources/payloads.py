@@ -41,7 +41,7 @@ def read_repositories(spark: SparkSession, path: str) -> DataFrame:
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Exported API responses, one JSON document per file."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "payload")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
 
 
 def results_json(results: DataFrame) -> DataFrame:
