@@ -113,7 +113,11 @@ def files(spark: SparkSession, sf_dir: str, read_content: bool = True) -> DataFr
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(
+        table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
+        )
+    )
     message = F.col("o_orderpriority")
     for a, b in (
         ("1-URGENT", "Hotfix crash"), ("2-HIGH", "Add feature"),
@@ -131,8 +135,10 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: commit, path, added and deleted lines."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity"
+    lines = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity"
+        )
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     svc = F.concat(F.lit("svc"), (F.col("p_partkey") % 5).cast("string"))
