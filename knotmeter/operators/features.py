@@ -19,6 +19,7 @@ from knotmeter.functions.matching import (
     matching_lines,
     occurrence_count,
     quoted,
+    quoted_list,
     sum_of,
 )
 from knotmeter.functions.paths import suffix_pattern
@@ -41,7 +42,9 @@ def file_features(inventory: DataFrame, glue_mode: str = "intended") -> DataFram
     def words(*literals: str) -> str:
         return sum_of([occurrence_count(text, w) for w in literals])
 
-    python, consumer = "endswith(name, '.py')", code(rules.CONSUMER_CODE)
+    python = "endswith(name, '.py')"
+    # inventory rules look at the lower-cased extension, content walks at the name
+    commented = f"extension IN ({quoted_list(rules.CONSUMER_CODE)})"
     gate = any_literal(text, rules.PREDICTION_GATE)
     groups = list(rules.GLUE_PATTERNS.values())
     if glue_mode == "reference":
@@ -77,8 +80,8 @@ def file_features(inventory: DataFrame, glue_mode: str = "intended") -> DataFram
         "has_schedule": f"{trains} AND {any_literal(lower, rules.SCHEDULE_WORDS)}",
         "has_trigger": f"{trains} AND {any_literal(lower, rules.TRIGGER_WORDS)}",
         "bug_name": "contains(lower(name), 'bug') OR contains(lower(name), 'fix')",
-        "todos": where(consumer, words("TODO", "FIXME")),
-        "bug_marker": f"{consumer} AND {any_literal(text, ['TODO', 'FIXME', 'BUG'])}",
+        "todos": where(commented, words("TODO", "FIXME")),
+        "bug_marker": f"{commented} AND {any_literal(text, ['TODO', 'FIXME', 'BUG'])}",
     }
     return inventory.selectExpr(
         "project_id", "path", "dir", "name", "extension", "size", "ignored",

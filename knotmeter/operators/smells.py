@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotmeter import rules
@@ -111,13 +111,24 @@ def glue_code_ratio(glue_by_service: DataFrame) -> DataFrame:
     )
 
 
+def consumer_code() -> Column:
+    """Files searched for models: by name for consumers, by lower-cased extension
+    for change impact; :func:`consumers_only` tells them apart again."""
+    by_name = paths.has_extension(F.col("name"), rules.CONSUMER_CODE)
+    return (by_name | F.col("extension").isin(rules.CONSUMER_CODE)) & F.col("content").isNotNull()
+
+
+def consumers_only(mentions: DataFrame) -> DataFrame:
+    return mentions.where(paths.has_extension(F.col("name"), rules.CONSUMER_CODE))
+
+
 def model_mentions(
     inventory: DataFrame, models: DataFrame, strategy: str = "auto"
 ) -> DataFrame:
     """(file, model name) for code that contains the name, with the last such line."""
-    code = inventory.where(
-        paths.has_extension(F.col("name"), rules.CONSUMER_CODE) & F.col("content").isNotNull()
-    ).select("project_id", "dir", "path", "extension", "ignored", "content")
+    code = inventory.where(consumer_code()).select(
+        "project_id", "dir", "path", "name", "extension", "ignored", "content"
+    )
     return contains_pairs(
         code, models.select("project_id", F.col("name").alias("needle")), strategy=strategy
     ).withColumnRenamed("needle", "model")
@@ -163,7 +174,7 @@ def declared_consumers(
 def actual_consumers(mentions: DataFrame, services: DataFrame) -> DataFrame:
     """(model, consumer) with the last file and line that mention the model."""
     last = F.max(F.struct("path", "last_line", "last_code")).alias("last")
-    per_dir = mentions.groupBy("project_id", "dir", "model").agg(last)
+    per_dir = consumers_only(mentions).groupBy("project_id", "dir", "model").agg(last)
     best = F.max(F.struct("last.path", "last.last_line", "last.last_code", "owner_path"))
     return (
         with_owners(per_dir, services.withColumnRenamed("name", "consumer"), "consumer")
@@ -185,7 +196,7 @@ def hidden_consumers(actual: DataFrame, declared: DataFrame) -> DataFrame:
 
 def impact_radius(mentions: DataFrame, services: DataFrame, models: DataFrame) -> DataFrame:
     """Distinct service names whose code mentions each model name; 0 if none."""
-    per_dir = mentions.select("project_id", "dir", "model").distinct()
+    per_dir = consumers_only(mentions).select("project_id", "dir", "model").distinct()
     used = (
         with_owners(per_dir, _named(services), "service")
         .select("project_id", "model", "service").distinct()
@@ -265,7 +276,7 @@ def shared_features(features: DataFrame, services: DataFrame) -> DataFrame:
 
 def service_model_matrix(mentions: DataFrame, services: DataFrame) -> DataFrame:
     """The cells that are 1 in the service x model matrix (all others are 0)."""
-    per_dir = mentions.select("project_id", "dir", "model").distinct()
+    per_dir = consumers_only(mentions).select("project_id", "dir", "model").distinct()
     return (
         with_owners(per_dir, _named(services), "service")
         .select("project_id", "service", "model", F.lit(1).alias("depends")).distinct()

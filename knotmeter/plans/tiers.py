@@ -58,9 +58,9 @@ class Facts:
         wanted = self._needles.select("project_id", "needle").unionByName(
             self.models.select("project_id", F.col("name").alias("needle"))
         )
+        calling = paths.has_extension(F.col("name"), rules.ENDPOINT_CODE)
         code = self.inventory.where(
-            paths.has_extension(F.col("name"), rules.ENDPOINT_CODE)
-            & F.col("content").isNotNull()
+            smells.consumer_code() | (calling & F.col("content").isNotNull())
         ).select("project_id", "dir", "path", "name", "extension", "ignored", "content")
         return materialize(contains_pairs(code, wanted))
 
@@ -68,14 +68,20 @@ class Facts:
     def mentions(self) -> DataFrame:
         names = self.models.select("project_id", F.col("name").alias("needle")).distinct()
         return (
-            self._pairs.where(paths.has_extension(F.col("name"), rules.CONSUMER_CODE))
+            self._pairs.where(
+                paths.has_extension(F.col("name"), rules.CONSUMER_CODE)
+                | F.col("extension").isin(rules.CONSUMER_CODE)
+            )
             .join(names, ["project_id", "needle"], "left_semi")
             .withColumnRenamed("needle", "model")
         )
 
     @cached_property
     def dependencies(self) -> DataFrame:
-        return endpoints.dependencies_from_pairs(self._pairs, self.services, self._needles)
+        calling = paths.has_extension(F.col("name"), rules.ENDPOINT_CODE)
+        return endpoints.dependencies_from_pairs(
+            self._pairs.where(calling), self.services, self._needles
+        )
 
     @cached_property
     def declared(self) -> DataFrame:
