@@ -8,7 +8,9 @@ import pytest
 import __spark_entry__ as entry_module
 from conftest import SF_SMALL
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+from knotmeter.plans.oracle import ORACLES
+from knotmeter.plans.queries import QUERIES
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -36,6 +38,7 @@ def cells(columns, rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
