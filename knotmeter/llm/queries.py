@@ -7,34 +7,72 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotmeter.llm import mixing, packing, sharding, training_order
-from knotmeter.llm.common import table
+from knotmeter.llm import mixing, near_dups, packing, pii, quality, sharding, substrings, training_order
+from knotmeter.llm.common import row_key, table
 
 SHARDS = 24
 
 
+def _of_kind(kind: int) -> Callable:
+    return lambda span: span["kind"] == kind
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixed_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    joined = substrings.words_joined(F.col("text"))
+    cut = substrings.cut_documents(docs, width=35).select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
+    whole = docs.select(*row_key(), "doc_id", joined.alias("joined"))
+    whole = whole.select("k1", "k2", "doc_id", substrings.word_count(F.col("joined")).alias("n_words"), F.sha2("joined", 256).alias("whole_sha256"))
+    return whole.join(cut, ["k1", "k2"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"),
+    )
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = sharding.sharded_documents(docs, sharding.regular_tree(SHARDS), sharding.regular_tree(SHARDS + 1))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(pii.BASE_KINDS))
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE_KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.packed_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op5_shard_documents, op8_training_order, op10_pack_documents)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_remove_repeats, op3_near_duplicates, op5_shard_documents,
+        op7_personal_data, op8_training_order, op9_quality, op10_pack_documents,
+    )
 }
 
 ORACLES: dict[str, str] = {}
