@@ -193,3 +193,31 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
         "left",
     )
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def mixed_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix as documents: each as often as it is taken, with all columns; the last of a source may be cut short.
+
+    Documents without words are not taken. A document that is cut keeps its first words, joined by blanks;
+    ``n_chars``, if there is such a column, follows its text.
+    """
+    sized = materialize(sizes(docs))
+    shares = materialize(targets(sized))
+    pieces = mix(sized, shares, seed=seed)
+    # the pieces of one epoch follow one another, so their sum is where the document ends
+    taken = pieces.groupBy("k1", "k2", "source", "copy", "epoch").agg(F.sum("length").alias("taken"))
+    lists = taken.groupBy("k1", "k2", "source").agg(F.collect_list(F.struct("copy", "taken")).alias("takes"))
+    lists = lists.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("source").alias("t_source"), "takes")
+    keyed = docs.select(F.struct("*").alias("row"), *row_key(), F.col("source").cast("string").alias("source"))
+    joined = keyed.join(lists, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")) & F.col("source").eqNullSafe(F.col("t_source")))
+    # rows that are equal are copies of each other in any order
+    number = F.row_number().over(Window.partitionBy("k1", "k2", "source").orderBy(F.lit(1)))
+    joined = joined.withColumn("number", number).withColumn("size", F.regexp_count("row.text", F.lit(WORD)))
+    own = F.transform(F.filter("takes", lambda t: t["copy"] == F.col("number")), lambda t: t["taken"])
+    each = joined.select("row", "size", F.explode(own).alias("taken"))
+    text = F.when(F.col("taken") >= F.col("size"), F.col("row.text")).otherwise(
+        F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), 0), F.lit(1), F.col("taken").cast("int")), " ")
+    )
+    new = each.withColumn("text", text)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return new.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotmeter.llm import mixing, near_dups, packing, pii, quality, sharding, substrings, training_order
+from knotmeter.llm import fingerprints, html_text, mixing, near_dups, packing, pii, quality, sharding, substrings, training_order
 from knotmeter.llm.common import row_key, table
 
 SHARDS = 24
@@ -39,12 +39,25 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", F.base64("fingerprint").alias("fingerprint"),
+        F.base64("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = sharding.sharded_documents(docs, sharding.regular_tree(SHARDS), sharding.regular_tree(SHARDS + 1))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < len(pii.BASE_KINDS))
@@ -70,9 +83,19 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_mix_sources, op2_remove_repeats, op3_near_duplicates, op5_shard_documents,
-        op7_personal_data, op8_training_order, op9_quality, op10_pack_documents,
+        op1_mix_sources, op2_remove_repeats, op3_near_duplicates, op4_fingerprints, op5_shard_documents,
+        op6_main_text, op7_personal_data, op8_training_order, op9_quality, op10_pack_documents,
     )
 }
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline.py``, which stands at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLES: dict[str, str] = {}
