@@ -23,8 +23,8 @@ COMPONENTS, BAND = 128, 4
 BANDS = COMPONENTS // BAND
 #: Components that must agree before full sets are compared: 5.6 deviations below those of a pair at 0.8.
 AGREE = 77
-#: Pairs a member that a bucket may list for its open components; above, it is split by a second band.
-PAIRS_A_MEMBER = 64
+#: Pairs a member that a bucket may list for its open components; the members of others go through prefixes.
+PAIRS_A_MEMBER = 4
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +154,11 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 
 class _Groups:
-    """Classes of equal sets, their texts, the links found so far and the component of each class."""
+    """Classes of equal sets, their texts, and the component of each class by the links found so far."""
 
     def __init__(self, classes: DataFrame, docs: DataFrame, width: int, percent: int):
         self.classes, self.docs, self.width, self.percent = classes, docs, width, percent
         self.texts: DataFrame | None = None
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def fetch(self, members: DataFrame) -> None:
@@ -180,12 +179,13 @@ class _Groups:
             .select("a", "b")
         )
         found = materialize(_verify(close, self.texts, self.width, self.percent))
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links)
+        if self.labels is not None:
+            found = found.unionByName(self.labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        self.labels = components(found)
 
     def labelled(self, members: DataFrame) -> DataFrame:
         labels = self.labels.select(F.col("node").alias("cid"), "component")
-        return members.join(labels, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"))
+        return members.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -194,34 +194,61 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(shared, "bucket").select("bucket", "cid"))
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Each member paired with its bucket's first one."""
-    first = members.groupBy("bucket").agg(F.min("cid").alias("a"))
-    return members.join(first, "bucket").where("cid > a").select("a", F.col("cid").alias("b"))
+def _stars(members: DataFrame, order: Column | None = None) -> DataFrame:
+    """Each member paired with its bucket's first one, in an order or by number."""
+    first = members.groupBy("bucket").agg(F.min(F.struct("cid") if order is None else F.struct(order, "cid"))["cid"].alias("a"))
+    pairs = members.join(first, "bucket").where("cid <> a")
+    return pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"))
 
 
-def _rest(groups: _Groups, members: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of members of different components that a bucket still has to look at, and the buckets to split.
+def _across(labelled: DataFrame, parts: DataFrame, condition: Column | bool = True) -> DataFrame:
+    """Pairs of members of different components of a bucket: those outside its largest one with all others."""
+    open_ = labelled.join(parts.select("bucket", "largest"), "bucket")
+    outside = open_.where("component <> largest").select("bucket", *[F.col(c).alias(f"x_{c}") for c in labelled.columns if c != "bucket"])
+    different = (F.col("x_component") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("x_cid") < F.col("cid")))
+    pairs = outside.join(open_.withColumnRenamed("bucket", "o_bucket"), (F.col("bucket") == F.col("o_bucket")) & different & F.lit(condition))
+    return pairs.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b"))
 
-    A bucket in one component is done. Otherwise each member outside its largest component is paired with
-    the members of the others, if that makes no more pairs than a fixed number a member. Buckets with more are
-    split. Only after the last split are all pairs of what is left made.
+
+def _parts(labelled: DataFrame) -> DataFrame:
+    """Buckets that span several components: members, pairs across components and the largest component."""
+    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    return (
+        sizes.groupBy("bucket").agg(
+            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("parts"),
+            F.max(F.struct("c", "component"))["component"].alias("largest"),
+        ).where("parts > 1").withColumn("across", (F.col("m") * F.col("m") - F.col("squares")) / 2)
+    )
+
+
+def _prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``bucket, cid, n, p``: the rarest shingles of each class, enough of them that similar sets share one.
+
+    A set of n shingles that reaches the similarity with another shares at least ``percent`` of its n, so one of
+    its n - that + 1 first ones in any common order; rare ones come first. ``p`` shingles come before.
+    A row goes when even the best partner in its bucket could not reach the similarity: if this is the first
+    common shingle, no more than n - p are common.
     """
-    labelled = materialize(groups.labelled(members))
-    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    sums = parts.groupBy("bucket").agg(
-        F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("parts"),
-        F.max(F.struct("c", "component"))["component"].alias("largest"),
-    ).where("parts > 1").withColumn("few", (F.col("m") * F.col("m") - F.col("squares")) / 2 <= PAIRS_A_MEMBER * F.col("m"))
-    sums = materialize(sums)
-    listed = sums if last else sums.where("few")
-    open_ = labelled.join(listed.select("bucket", "largest"), "bucket")
-    outside = open_.where("component <> largest").select("bucket", F.col("cid").alias("x"), F.col("component").alias("cx"))
-    pairs = outside.join(open_, "bucket").where("cx <> component and (component = largest or x < cid)")
-    pairs = pairs.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b"))
-    if last:
-        return pairs, None
-    return pairs, labelled.join(sums.where("not few").select("bucket"), "bucket").select("bucket", "cid")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            elements, starts = shingles(batch.column(1), width)
+            n = np.diff(starts)
+            owner = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.record_batch([batch.column(0).take(owner), pa.array(np.repeat(n, n)), pa.array(_signed(elements))], ["cid", "n", "bucket"])
+
+    rows = texts.mapInArrow(cut, "cid long, n long, bucket long")
+    frequent = rows.groupBy("bucket").agg(F.count("*").alias("frequency"))
+    order = Window.partitionBy("cid").orderBy("frequency", "bucket")
+    placed = rows.join(frequent, "bucket").withColumn("p", F.row_number().over(order) - 1)
+    placed = placed.where((F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & (F.col("frequency") > 1))
+    placed = materialize(placed.select("bucket", "cid", "n", "p"))
+    least = placed.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1")
+    common = F.col("n") - F.col("p")
+    return (
+        placed.join(least, "bucket")
+        .where(100 * common >= percent * (F.col("n") + F.greatest("least", common) - common)).select("bucket", "cid", "n", "p")
+    )
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -230,9 +257,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Documents are linked when their shingle sets have a similarity of ``percent`` or more, confirmed on the
     full sets; ``component_id`` is the smallest id that links reach. Sets are compared once for all documents
     that have them, so a group of copies is one class however large. Members of a bucket are compared with its
-    first; then buckets that still span several components are looked at again, the large ones split
-    by a second and a third band, so neither a group of near copies nor a passage that very many documents share
-    makes all pairs. Candidates miss a pair at the threshold with a chance of about 5e-8; every other step is exact.
+    first. Buckets that still span several components list the pairs across them if these are few for
+    their members. The members of the others are linked by their rarest shingles, which loses no pair: most variants
+    of a text or users of a passage have so many shingles of their own that they meet nobody there.
+    Bands miss a pair at the threshold with a chance of about 5e-8; every other step is exact.
 
     Null or blank texts have no set and are linked with nothing. Rows with equal texts are linked.
     A null id is never a component's id unless it has no other; such a document is kept if it stands alone.
@@ -248,20 +276,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     groups = _Groups(classes, docs, width, percent)
     groups.fetch(members)
     groups.link(_stars(members))
-    for depth in range(3):
-        last = depth == 2
-        pairs, wide = _rest(groups, members, last)
-        pairs = materialize(pairs.distinct())
-        if pairs.limit(1).count():
-            groups.link(pairs)
-        if wide is None or not wide.limit(1).count():
-            break
-        second = classes.select("cid", F.posexplode("bands").alias("place", "band"))
-        members = _buckets(
-            wide.join(second, "cid").where("band <> bucket")
-            .select(F.xxhash64("bucket", "band").alias("bucket"), "cid").distinct()
-        )
-        groups.link(_stars(members))
+    labelled = materialize(groups.labelled(members))
+    parts = materialize(_parts(labelled))
+    few = F.col("across") <= PAIRS_A_MEMBER * F.col("m")
+    pairs = _across(labelled, parts.where(few))
+    wide = labelled.join(parts.where(~few), "bucket", "left_semi").select("cid").distinct()
+    prefixes = materialize(_prefixes(groups.texts.join(wide, "cid"), width, percent))
+    groups.link(pairs.unionByName(_stars(prefixes, F.col("p") / F.col("n"))))
+    labelled = materialize(groups.labelled(prefixes))
+    common = F.least(F.col("n") - F.col("p"), F.col("x_n") - F.col("x_p"))
+    reachable = 100 * common >= percent * (F.col("n") + F.col("x_n") - common)
+    pairs = materialize(_across(labelled, _parts(labelled), reachable).distinct())
+    if pairs.limit(1).count():
+        groups.link(pairs)
     named = classes.select("cid", "d1", "d2", "least_id").join(groups.labels.select(F.col("node").alias("cid"), "component"), "cid", "left")
     named = materialize(named.select("d1", "d2", "least_id", F.coalesce("component", "cid").alias("component")))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
