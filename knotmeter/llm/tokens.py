@@ -29,7 +29,7 @@ class Encoder:
     Ids come as little-endian unsigned 32-bit numbers.
     """
 
-    def __init__(self, path: str | None = None, limit: int = 300_000):
+    def __init__(self, path: str | None = None, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,28 +69,29 @@ class Encoder:
                     self.known.update(zip(group, own, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [text.replace("\n", " \n").split(" ") for text in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        new = set().union(*(x[1:] for x in parts)) - self.known.keys()
-        self._learn(new)
-        heads = self.whole([x[0] for x in parts])
-        out: list[bytes | None] = []
+        known = self.known
+        parts = [text.replace("\n", " \n").split(" ") for text in texts]
+        heads = self.whole([words[0] for words in parts])
+        found, missing = [], []
+        for words, head in zip(parts, heads, strict=True):
+            ids = list(map(known.get, words))
+            ids[0] = head
+            found.append(ids)
+            missing.append([i for i, x in enumerate(ids) if x is None])
+        self._learn({words[i] for words, at in zip(parts, missing, strict=True) for i in at})
         rest = []
-        for i, (head, found) in enumerate(zip(heads, parts, strict=True)):
-            first = found[0]
-            regular = not first[-1:].isspace() and (first or len(found) == 1 or found[1][:1] == "\n")
-            try:
-                if not regular:
-                    raise KeyError
-                known = self.known
-                out.append(b"".join([head, *[known[x] for x in found[1:]]]))
-            except KeyError:
-                out.append(None)
-                rest.append(i)
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+        for row, (words, ids, at) in enumerate(zip(parts, found, missing, strict=True)):
+            for i in at:
+                ids[i] = known.get(words[i])
+            first = words[0]
+            regular = not first[-1:].isspace() and (first or len(words) == 1 or words[1][:1] == "\n")
+            if not regular or None in ids:
+                rest.append(row)
+        for row, ids in zip(rest, self.whole([texts[row] for row in rest]), strict=True):
+            found[row] = [ids]
+        return [b"".join(ids) for ids in found]
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str | None, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:

@@ -1,10 +1,11 @@
 """Training-order materialisation: every sequence gets a slot by a keyed permutation and a place in a shard.
 
-The sequences of all documents are numbered from 0 without gaps. A Feistel network permutes the
-smallest domain of an even number of bits that holds all numbers; numbers that leave the range are
-encrypted again until they are back in it, which makes it a permutation of the range. Shard s holds
-slots ``[s * shard_slots, (s + 1) * shard_slots)`` as records of one length, so slot t is found at byte
-``(t % shard_slots) * stride`` of shard ``t // shard_slots`` and reading resumes anywhere.
+A sequence's number says which task read it and as its how manieth. A Feistel network permutes the smallest
+domain of an even number of bits that holds all numbers there can be; numbers that leave the range
+are encrypted again until they are back in it, which makes it a permutation of the range. The range is cut
+into equal parts, one a shard, and a sequence's slot is its rank among all permuted numbers. Shards hold
+consecutive slots as records of one length, so slot t of a shard that begins with slot b is found at
+byte ``(t - b) * stride``, and reading resumes anywhere.
 """
 
 from __future__ import annotations
@@ -13,17 +14,20 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotmeter.llm.common import mixed
 from knotmeter.llm.tokens import encoded
-from knotmeter.session import scratch_path
+from knotmeter.session import materialize, scratch_path
 
 ROUNDS = 6
-SLOTS = "doc_id long, part int, n_tokens int, crc32 long, slot long, shard int, position int"
+#: Numbers are below this: up to a hundred million tasks with 2^33 sequences each.
+RANGE = 10**18
+PLACED = "doc_id long, part int, n_tokens int, crc32 long, shard int, position int"
+#: Bytes of text that are taken for one id when the number of shards is chosen.
+BYTES_AN_ID = 3
 
 
 def permuted(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -44,17 +48,19 @@ def permuted(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def token_sequences(docs: DataFrame, length: int, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """``task, number, doc_id, part, ids``: each document's ids and ``end_id`` in parts of at most ``length``.
+def token_sequences(docs: DataFrame, length: int, key: int, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+    """``code, doc_id, part, ids``: each document's ids and ``end_id`` in parts of at most ``length``.
 
-    ``number`` counts the sequences of a task. Ids are little-endian unsigned 16-bit, so the vocabulary
-    must have at most 65,536 of them. A null text counts as empty: one sequence with ``end_id``.
+    ``code`` is the permuted number of the sequence; it depends on how the input is split into tasks, which is
+    the same whenever the same files are read with the same settings. Ids are little-endian unsigned
+    16-bit, so the vocabulary must have at most 65,536 of them. A null text counts as empty: one
+    sequence with ``end_id``.
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, number = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 33
         for batch, texts in encoded(batches, tokenizer, end_id):
             doc_ids, parts, data = [], [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
@@ -65,35 +71,12 @@ def token_sequences(docs: DataFrame, length: int, tokenizer: str | None = None,
                     doc_ids.append(doc_id)
                     parts.append(part)
                     data.append(raw[at:at + 2 * length])
-            n = len(parts)
-            yield pa.record_batch(
-                [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(number, number + n)), pa.array(doc_ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())],
-                ["task", "number", "doc_id", "part", "ids"],
-            )
-            number += n
+            codes = permuted(np.arange(number, number + len(parts)), RANGE, key)
+            number += len(parts)
+            yield pa.record_batch([pa.array(codes), pa.array(doc_ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["code", "doc_id", "part", "ids"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(cut, "task int, number long, doc_id long, part int, ids binary")
-
-
-def with_slots(sequences: DataFrame, key: int) -> tuple[DataFrame, int]:
-    """Adds ``slot`` to a stored table of sequences and drops ``task, number``; the number of sequences.
-
-    The gapless number of a sequence is its number in its task plus the sequences of earlier tasks, of
-    which there is one total a task. The order thus depends on how the input is split into tasks.
-    """
-    counts = sequences.groupBy("task").agg(F.count("*").alias("n"))
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    size = sequences.count()
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = permuted(batch.column(0).to_numpy(zero_copy_only=False), size, key)
-            yield pa.record_batch([pa.array(slots), *batch.columns[1:]], ["slot", *batch.schema.names[1:]])
-
-    numbered = sequences.join(offsets, "task").select((F.col("number") + F.col("offset")).alias("index"), "doc_id", "part", "ids")
-    return numbered.mapInArrow(place, "slot long, doc_id long, part int, ids binary"), size
+    return narrow.mapInArrow(cut, "code long, doc_id long, part int, ids binary")
 
 
 def shard_file(folder: str, shard: int) -> str:
@@ -106,7 +89,9 @@ def _write(folder: str, name: str, data: bytes) -> None:
 
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}")
+    if "://" not in folder:
+        folder = "file://" + folder.removeprefix("file:")
+    system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     part = f"{path}/.{name}.{uuid4().hex}"
     with system.open_output_stream(part) as out:
@@ -119,50 +104,47 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = 512, s
     """Writes all sequences into shards of fixed stride and returns where each one is.
 
     ``doc_id, part, n_tokens, crc32, slot, shard, position``; crc32 is that of the record. A record has
-    ``length`` ids of two bytes, the rest is ``end_id``. One task writes a shard, of at most
-    ``shard_slots * length * 2`` bytes; a lost task writes the same file again. ``folder`` must be
-    shared by all executors; by default one in the session's shared folder. Shards are written as the rows
-    are read. No documents give no shards.
+    ``length`` ids of two bytes, the rest is ``end_id``. The number of shards is the text's bytes by what
+    ``shard_slots`` records may hold; permuted numbers are even, so shards have about as many each.
+    One task writes a shard, which is also what it holds in memory; a lost task writes the same file
+    again. ``folder`` must be shared by all executors; by default it is a new one in the session's shared
+    folder. Ids are shuffled once. No documents give no shards.
     """
-    stored_path = scratch_path(docs.sparkSession)
-    token_sequences(docs, length, tokenizer, end_id).write.option("compression", "zstd").parquet(stored_path)
-    stored = docs.sparkSession.read.parquet(stored_path)
+    if length < 1 or shard_slots < 1:
+        raise ValueError("records and shards must hold something")
+    size = docs.agg(F.sum(F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / (BYTES_AN_ID * length)))).first()[0] or 0
+    width = -(-RANGE // max(1, -(-size // shard_slots)))
     folder = folder or scratch_path(docs.sparkSession)
-    slotted, size = with_slots(stored, key)
-    stride = 2 * length
     padding = np.array([end_id], "<u2").tobytes() * length
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slot")
-        shard = int(pdf["shard"].iloc[0])
-        position = (pdf["slot"] - shard * shard_slots).to_numpy()
-        records = [x + padding[len(x):] for x in pdf["ids"]]
-        expected = min(shard_slots, size - shard * shard_slots)
-        if len(records) != expected or position[0] != 0 or position[-1] != expected - 1:
-            raise ValueError(f"shard {shard} has {len(records)} records, not {expected}")
+    def write(part: pa.Table) -> pa.Table:
+        part = part.sort_by("code")
+        shard, ids = part["shard"][0].as_py(), part["ids"].to_pylist()
+        records = [x + padding[len(x):] for x in ids]
         _write(folder, shard_file("", shard).lstrip("/"), b"".join(records))
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"].astype("Int64"), "part": pdf["part"], "n_tokens": [len(x) // 2 for x in pdf["ids"]],
-            "crc32": [zlib.crc32(x) for x in records], "slot": pdf["slot"], "shard": shard, "position": position,
-        })
-
-    if stride <= 0:
-        raise ValueError("length must be above 0")
-    ranges = slotted.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
-    return ranges.groupBy("shard").applyInPandas(write, SLOTS)
-
-
-def read_from(folder: str, slot: int, count: int, length: int, shard_slots: int) -> Iterator[np.ndarray]:
-    """The ids of ``count`` records from a slot on, read in sequence from where a run stopped."""
+        n = len(records)
+        columns = {
+            "n_tokens": pa.array([len(x) // 2 for x in ids], pa.int32()), "crc32": pa.array([zlib.crc32(x) for x in records], pa.int64()),
+            "shard": pa.array(np.full(n, shard, np.int32)), "position": pa.array(np.arange(n, dtype=np.int32)),
+        }
+        return pa.table({"doc_id": part["doc_id"], "part": part["part"], **columns})
+
+    sequences = token_sequences(docs, length, key, tokenizer, end_id).withColumn("shard", F.expr(f"cast(code div {width}L as int)"))
+    placed = materialize(sequences.groupBy("shard").applyInArrow(write, PLACED))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("shard").agg(F.count("*").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
+    return placed.join(first, "shard").select("doc_id", "part", "n_tokens", "crc32", (F.col("first_slot") + F.col("position")).alias("slot"), "shard", "position")
+
+
+def read_from(folder: str, first_slots: list[int], slot: int, count: int, length: int) -> Iterator[np.ndarray]:
+    """The ids of ``count`` records from a slot on, in sequence; ``first_slots`` has that of each shard."""
     stride = 2 * length
-    while count > 0:
-        shard, position = divmod(slot, shard_slots)
-        here = min(count, shard_slots - position)
-        with open(shard_file(folder, shard), "rb") as file:
+    shard = int(np.searchsorted(first_slots, slot, side="right")) - 1
+    position = slot - first_slots[shard]
+    while count > 0 and shard < len(first_slots):
+        with open(shard_file(folder.removeprefix("file:"), shard), "rb") as file:
             file.seek(position * stride)
-            for _ in range(here):
-                record = file.read(stride)
-                if len(record) < stride:
-                    return
+            while count > 0 and (record := file.read(stride)):
                 yield np.frombuffer(record, "<u2")
-        slot, count = slot + here, count - here
+                count -= 1
+        shard, position = shard + 1, 0
