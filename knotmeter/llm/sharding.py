@@ -45,31 +45,13 @@ def assign(df: DataFrame, key: str, tree: Tree, name: str = "shard") -> DataFram
     """
     if any(weight <= 0 for *_, weight in tree):
         raise ValueError("weights must be above 0; leave a shard without weight out of the tree")
-    drawn = df.withColumn("_draws", F.array(*[_draw(F.col(key), s, w) for *_, s, w in tree]))
-    at = {s: F.element_at("_draws", i + 1) for i, (*_, s, _) in enumerate(tree)}
-    regions: dict[int, dict[int, list[int]]] = {}
-    for region, rack, shard, _ in tree:
-        regions.setdefault(region, {}).setdefault(rack, []).append(shard)
-
-    def best(options: list[tuple[Column, Column]]) -> Column:
-        """The result that goes with the least draw; of equal draws the first."""
-        least = _least([draw for draw, _ in options])
-        out = options[-1][1]
-        for draw, result in reversed(options[:-1]):
-            out = F.when(draw == least, result).otherwise(out)
-        return out
-
-    def rack_draw(shards: list[int]) -> Column:
-        return _least([at[s] for s in shards])
-
-    descent = best([
-        (
-            _least([rack_draw(shards) for shards in racks.values()]),
-            best([(rack_draw(shards), best([(at[s], F.lit(s)) for s in shards])) for shards in racks.values()]),
-        )
-        for racks in regions.values()
-    ])
-    return drawn.withColumn(name, descent).drop("_draws")
+    regions: dict[int, dict[int, list[Column]]] = {}
+    for region, rack, shard, weight in tree:
+        leaf = F.struct(_draw(F.col(key), shard, weight).alias("draw"), F.lit(shard).alias("shard"))
+        regions.setdefault(region, {}).setdefault(rack, []).append(leaf)
+    # each level passes its least draw up, together with the shard below that has it
+    root = _least([_least([_least(leaves) for leaves in racks.values()]) for racks in regions.values()])
+    return df.withColumn(name, root["shard"])
 
 
 def sharded_documents(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
