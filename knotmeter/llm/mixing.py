@@ -124,11 +124,11 @@ def blocks(sized: DataFrame, shares: DataFrame, slot_size: int, seed: int) -> Da
     spread = (
         sized.where("size > 0").join(shares.where("target > 0"), sized["source"].eqNullSafe(shares["source"]))
         .select(
-            sized["source"], "k1", "k2", "size", "source_size", wanted.alias("wanted"),
+            sized["source"], "k1", "k2", "doc_id", "size", "source_size", wanted.alias("wanted"),
             F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
         )
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("wanted") - 1) / F.col("source_size")).cast("int"))))
-        .withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), "epoch", "k1", "k2", "copy")))
+        .withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy")))
         .withColumn("bucket", F.substring("order", 1, 3))
     )
     stored = materialize(spread)
@@ -138,7 +138,7 @@ def blocks(sized: DataFrame, shares: DataFrame, slot_size: int, seed: int) -> Da
         stored.groupBy(*key).agg(F.sum("size").alias("n"))
         .select(*[F.col(c).alias(f"b_{c}") for c in key], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("done"))
     )
-    inside = Window.partitionBy(*key).orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*key).orderBy("order", "k2").rowsBetween(Window.unboundedPreceding, 0)
     same = [stored["source"].eqNullSafe(offsets["b_source"]), stored["epoch"] == offsets["b_epoch"], stored["bucket"] == offsets["b_bucket"]]
     placed = (
         stored.join(offsets, same)

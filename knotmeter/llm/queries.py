@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from knotmeter.llm import fingerprints, html_text, mixing, near_dups, packing, pii, quality, sharding, substrings, training_order
 from knotmeter.llm.common import row_key, table
+from knotmeter.llm.oracle import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 SHARDS = 24
 
@@ -97,5 +100,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
-
-ORACLES: dict[str, str] = {}
