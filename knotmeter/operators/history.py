@@ -24,19 +24,22 @@ def is_bug_fix(message: str = "message", keywords: list[str] = rules.BUG_KEYWORD
 
 
 def recent_commits(
-    commits: DataFrame, as_of: str, days: int = 180, max_commits: int = 1000
+    commits: DataFrame, as_of: str, days: int = 180, max_commits: int | None = None
 ) -> DataFrame:
-    """Commits of the last ``days`` per project, newest first, ``max_commits`` at most."""
+    """Commits of the last ``days`` per project, ranked newest first if only ``max_commits`` are wanted."""
+    window = commits.where(F.col("committed_at") >= since(as_of, days=days))
+    if max_commits is None:
+        return window
     w = Window.partitionBy("project_id").orderBy(F.col("committed_at").desc(), "commit_id")
-    return (
-        commits.where(F.col("committed_at") >= since(as_of, days=days))
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= max_commits)
-    )
+    return window.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_commits)
 
 
-def bug_fix_commits(commits: DataFrame, keywords: list[str] = rules.BUG_KEYWORDS) -> DataFrame:
-    return commits.where(is_bug_fix("message", keywords))
+def bug_fix_commits(
+    commits: DataFrame, keywords: list[str] = rules.BUG_KEYWORDS, as_of: str | None = None, days: int = 180
+) -> DataFrame:
+    """Bug-fix commits; with ``as_of`` only those of the last ``days``."""
+    found = commits.where(is_bug_fix("message", keywords))
+    return found if as_of is None else found.where(F.col("committed_at") >= since(as_of, days=days))
 
 
 def file_history(commits: DataFrame, commit_files: DataFrame, path: str) -> DataFrame:
@@ -148,14 +151,12 @@ def bug_rate(commits: DataFrame, as_of: str | None = None, months: int = 6) -> D
 
 def bug_prone_files(
     commits: DataFrame, commit_files: DataFrame, as_of: str, months: int = 6,
-    last_bugs: int = 20, n: int = 20,
+    n: int = 20,
 ) -> DataFrame:
-    """Paths in the most recent bug commits, counted, top n per project."""
-    w = Window.partitionBy("project_id").orderBy(F.col("committed_at").desc(), "commit_id")
+    """Paths counted over all bug commits of the window, top n per project."""
     latest = (
         bug_fix_commits(commits)
         .where(F.col("committed_at") >= since(as_of, months=months))
-        .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= last_bugs)
         .select("project_id", "commit_id")
     )
     counted = commit_files.join(latest, ["project_id", "commit_id"]).groupBy(

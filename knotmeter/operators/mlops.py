@@ -54,11 +54,12 @@ def mlflow_experiments(payloads: DataFrame) -> DataFrame:
     return _items(payloads, MLFLOW, "experiments").dropDuplicates(["experiment_id"])
 
 
-def mlflow_runs(payloads: DataFrame, max_results: int = 100) -> DataFrame:
-    """Runs of each experiment, newest first, 100 at most (the page asked for)."""
+def mlflow_runs(payloads: DataFrame, max_results: int | None = None) -> DataFrame:
+    """All runs of each experiment, newest first; ``max_results`` is the size of a page, if only one is wanted."""
     runs = _items(payloads, MLFLOW, "runs").select("info.*").distinct()
     w = Window.partitionBy("experiment_id").orderBy(F.col("start_time").desc(), "run_id")
-    return runs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_results)
+    ranked = runs.withColumn("rank", F.row_number().over(w))
+    return ranked if max_results is None else ranked.where(F.col("rank") <= max_results)
 
 
 def mlflow_models(payloads: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def detect_model_code_refs(
         .select(
             "project_id", "name", "path", F.lit("Inferred").alias("type"),
             F.lit("code_reference").alias("detected_by"),
-            F.concat(F.substring("first.context", 1, 100), F.lit("...")).alias("context"),
+            F.col("first.context").alias("context"),
         )
     )
 

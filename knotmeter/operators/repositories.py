@@ -28,11 +28,13 @@ def search_repositories(
 
 
 def ranked_repositories(
-    repositories: DataFrame, topics: list[str] = rules.ML_TOPICS, max_results: int = 20
+    repositories: DataFrame, topics: list[str] = rules.ML_TOPICS, max_results: int = 20,
+    share: int | None = None,
 ) -> DataFrame:
-    """Per topic the most starred ``max_results // n``; each repository once, by the
-    first topic that listed it; then the most starred overall."""
-    share = max_results // len(topics)
+    """Each repository once, by the first topic that lists it; then the most starred overall.
+
+    With ``share``, a topic lists only so many of its most starred repositories.
+    """
     order = F.create_map(*[F.lit(x) for i, t in enumerate(topics) for x in (t, i)])
     # topics of one repository are few, so this explode stays small
     per_topic = repositories.select(
@@ -41,7 +43,7 @@ def ranked_repositories(
     top = Window.partitionBy("topic").orderBy(F.col("stars").desc(), "id")
     once = Window.partitionBy("id").orderBy("topic_order")
     return (
-        per_topic.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= share)
+        (per_topic if share is None else per_topic.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= share))
         .withColumn("topic_order", order[F.col("topic")])
         .withColumn("k", F.row_number().over(once)).where(F.col("k") == 1)
         .drop("rn", "k", "topic_order")

@@ -169,7 +169,7 @@ def code_ref_cte() -> str:
             f"FROM tree WHERE NOT ignored AND extension IN ('.py', '.js', '.java', '.r', '.ipynb')))"
         )
     return f"""
-      SELECT project_id, path, name, left(context, 100) || '...' AS context FROM (
+      SELECT project_id, path, name, context FROM (
         SELECT *, row_number() OVER (PARTITION BY project_id, path, name ORDER BY o, i) AS rn FROM (
           SELECT *, {first_reference('context', rules.QUOTED_MODEL_PATTERN)} AS name FROM ({' UNION ALL '.join(parts)}))
         WHERE name IS NOT NULL) WHERE rn = 1"""
@@ -614,7 +614,7 @@ oracle("directory_size", f"""SELECT project_id, CAST(sum(size) AS BIGINT) AS siz
   WHERE NOT regexp_matches(dir || '/', {q('(?:^|/)' + globs_regex(rules.SCANNER_IGNORE_GLOBS) + '(?:/|$)')}) GROUP BY ALL""")
 oracle("directory_tree", """SELECT project_id, path, kind, len(string_split(path, '/')) - 1 AS depth FROM (
   SELECT DISTINCT project_id, owner AS path, 'dir' AS kind FROM owners WHERE owner <> '.' UNION ALL
-  SELECT project_id, path, 'file' FROM tree) WHERE len(string_split(path, '/')) <= 2""")
+  SELECT project_id, path, 'file' FROM tree) WHERE len(string_split(path, '/')) <= 4""")
 oracle("file_details", f"""SELECT project_id, path, size, {human('size', 1, *SHORT)} AS size_hr, md5(content) AS hash,
   CASE WHEN {ends(rules.LINE_COUNT_CODE)} THEN len(string_split(content, chr(10))) - CASE WHEN content = '' OR ends_with(content, chr(10)) THEN 1 ELSE 0 END
   ELSE -1 END AS lines FROM tree WHERE NOT ignored""")
@@ -738,9 +738,8 @@ oracle("shared_features", "SELECT * FROM shared")
 oracle("service_model_matrix", """SELECT DISTINCT s.project_id, s.name AS service, m.model, 1 AS depends FROM mentions m JOIN svc s
   ON s.project_id = m.project_id AND (s.path = '.' OR starts_with(m.path, s.path || '/'))""")
 # --- history
-oracle("recent_commits", f"""SELECT project_id, commit_id, author, strftime(committed_at, {STAMP}) AS committed_at, message, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY committed_at DESC, commit_id) AS rank FROM commits
-  WHERE committed_at >= TIMESTAMP '2001-08-01' - INTERVAL 180 DAY) WHERE rank <= 10""")
+oracle("recent_commits", f"""SELECT project_id, commit_id, author, strftime(committed_at, {STAMP}) AS committed_at, message FROM commits
+  WHERE committed_at >= TIMESTAMP '2001-08-01' - INTERVAL 180 DAY""")
 oracle("bug_fix_commits", f"SELECT * REPLACE (strftime(committed_at, {STAMP}) AS committed_at) FROM bugs")
 oracle("file_history", "SELECT project_id, commit_id, author, message FROM commits JOIN cfiles USING (project_id, commit_id) WHERE path = 'svc1/models/model_1.pkl'")
 oracle("changed_files", "SELECT project_id, path FROM cfiles WHERE commit_id = '77'")
@@ -767,8 +766,8 @@ oracle("bug_rate", "SELECT *, round(bug_count / commits, 6) AS bug_rate FROM rec
 oracle("bug_rate_all_events", f"""SELECT project_id, count(*) AS commits, count(*) FILTER ({contains_any('lower(message)', rules.BUG_KEYWORDS)}) AS bug_count,
   round(count(*) FILTER ({contains_any('lower(message)', rules.BUG_KEYWORDS)}) / count(*), 6) AS bug_rate FROM ecommits GROUP BY ALL""")
 oracle("bug_prone_files", """SELECT project_id, path, bugs, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY bugs DESC, path) AS rank FROM (
-  SELECT f.project_id, f.path, count(*) AS bugs FROM cfiles f JOIN (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY committed_at DESC, commit_id) AS rn
-    FROM bugs WHERE committed_at >= TIMESTAMP '2001-02-01') b USING (project_id, commit_id) WHERE b.rn <= 20 GROUP BY ALL)) WHERE rank <= 20""")
+  SELECT f.project_id, f.path, count(*) AS bugs FROM cfiles f JOIN (SELECT * FROM bugs
+    WHERE committed_at >= TIMESTAMP '2001-02-01') b USING (project_id, commit_id) GROUP BY ALL)) WHERE rank <= 20""")
 oracle("change_concentration", """SELECT project_id, CAST(coalesce(sum(changes) FILTER (rank <= 5), 0) AS BIGINT) AS top5_changes, CAST(sum(changes) AS BIGINT) AS top20_changes
   FROM ranked WHERE rank <= 20 GROUP BY ALL""")
 oracle("estimate_churn", """SELECT project_id, path, CAST(1 AS BIGINT) AS changes, CAST(rank AS INTEGER) AS rank, commit_count FROM (
@@ -794,7 +793,7 @@ oracle("search_repositories_by_forks", "SELECT id, full_name, description, stars
 for name, topics in (("ranked_ml_repositories", rules.ML_TOPICS), ("ranked_microservice_repositories", rules.MICROSERVICE_TOPICS)):
     oracle(name, f"""SELECT id, full_name, stars, topic FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS k FROM (
       SELECT r.*, v.topic, v.ord, row_number() OVER (PARTITION BY v.topic ORDER BY r.stars DESC, r.id) AS rn FROM repos r
-      JOIN {values([(t, i) for i, t in enumerate(topics)])} v(topic, ord) ON list_contains(r.topics, v.topic)) WHERE rn <= {20 // len(topics)})
+      JOIN {values([(t, i) for i, t in enumerate(topics)])} v(topic, ord) ON list_contains(r.topics, v.topic)))
       WHERE k = 1 ORDER BY stars DESC, id LIMIT 20""")
 oracle("language_byte_share", """SELECT id, language, bytes, round_even(bytes / total * 100, 1) AS percentage FROM (
   SELECT l_suppkey AS id, p_type AS language, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes,
@@ -817,8 +816,8 @@ oracle("kubeflow_items", """SELECT DISTINCT 'pipeline' AS kind, CAST(user_id AS
   UNION ALL SELECT 'run', CAST(event_id AS VARCHAR), 'r', 'pipelines/pipeline_' || user_id || '_runs.json' FROM events""")
 oracle("mlflow_runs", """SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS experiment_id, start_time, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY start_time DESC, CAST(event_id AS VARCHAR)) AS rank FROM (
-    SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS start_time FROM events)) WHERE rank <= 100""")
-ML_COUNTS = """SELECT count(DISTINCT event_type) AS experiments, (SELECT CAST(sum(least(n, 100)) AS BIGINT) FROM (SELECT count(*) AS n FROM events GROUP BY event_type)) AS runs,
+    SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS start_time FROM events))""")
+ML_COUNTS = """SELECT count(DISTINCT event_type) AS experiments, (SELECT CAST(count(*) AS BIGINT) FROM events) AS runs,
   count(DISTINCT user_id) AS models FROM events"""
 CTES["mlc"] = ML_COUNTS
 oracle("mlflow_item_counts", "SELECT 'experiments' AS kind, experiments AS items FROM mlc UNION ALL SELECT 'runs', runs FROM mlc UNION ALL SELECT 'models', models FROM mlc")
@@ -838,8 +837,8 @@ oracle("fenced_json", """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN
 oracle("expand_archives", """SELECT 'd' || doc_id AS project_id, 'repo/doc_' || doc_id || '.txt' AS path, octet_length(encode(text)) AS size,
   'd' || doc_id || '.zip' AS archive, md5(text) AS hash FROM documents""")
 oracle("normalize_project_root", "SELECT project_id, path, size FROM files")
-oracle("read_text_safely", """SELECT project_id, path, CASE WHEN size * 8192 <= 10485760 THEN length(content) ELSE -1 END AS chars,
-  CASE WHEN size * 8192 <= 10485760 THEN '' ELSE 'File exceeds 10MB limit' END AS error FROM files""")
+oracle("read_text_safely", """SELECT project_id, path, coalesce(length(content), -1) AS chars,
+  '' AS error FROM files""")
 oracle("results_json", f"SELECT project_id, count(*) AS commits, count(*) FILTER ({contains_any('lower(message)', rules.BUG_KEYWORDS)}) AS bug_count FROM commits GROUP BY ALL")
 # --- scores
 COMPONENTS = list(rules.MES_WEIGHTS)
@@ -998,8 +997,7 @@ oracle("language_report", """SELECT s.project_id, s.language, s.files, s.total_f
   (SELECT string_agg(build_system, '|' ORDER BY build_system) FROM builds x WHERE x.project_id = s.project_id) AS build_systems
   FROM share s JOIN best2 b ON b.project_id = s.project_id""")
 oracle("git_report", f"""SELECT i.project_id, i.commit_count, i.contributors_count, r.commits, r.bug_count, round(r.bug_count / r.commits, 6) AS bug_rate FROM info i LEFT JOIN (
-  SELECT project_id, count(*) AS commits, count(*) FILTER ({contains_any('lower(message)', rules.BUG_KEYWORDS)}) AS bug_count FROM (
-    SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY committed_at DESC, commit_id) AS rn FROM commits WHERE committed_at >= TIMESTAMP '2001-08-01' - INTERVAL 180 DAY)
-  WHERE rn <= 1000 GROUP BY ALL) r ON r.project_id = i.project_id""")
+  SELECT project_id, count(*) AS commits, count(*) FILTER ({contains_any('lower(message)', rules.BUG_KEYWORDS)}) AS bug_count FROM commits
+  WHERE committed_at >= TIMESTAMP '2001-08-01' - INTERVAL 180 DAY GROUP BY ALL) r ON r.project_id = i.project_id""")
 
 assert set(ORACLES) <= set(queries.QUERIES)

@@ -186,7 +186,7 @@ def directory_size(spark, sf):
 
 @query
 def directory_tree(spark, sf):
-    return inventory.directory_tree(listing(spark, sf), 1)
+    return inventory.directory_tree(listing(spark, sf))
 
 
 @query
@@ -537,7 +537,7 @@ def service_model_matrix(spark, sf):
 
 @query
 def recent_commits(spark, sf):
-    return history.recent_commits(corpus.commits(spark, sf), AS_OF, 180, 10).withColumn(
+    return history.recent_commits(corpus.commits(spark, sf), AS_OF, 180).withColumn(
         "committed_at", stamp("committed_at")
     )
 

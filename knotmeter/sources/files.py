@@ -175,8 +175,10 @@ def normalize_project_root(
     )
 
 
-def read_text_safely(files: DataFrame, max_size_mb: int = 10) -> DataFrame:
-    """Content up to the size limit; beyond it a null and an error text."""
+def read_text_safely(files: DataFrame, max_size_mb: int | None = None) -> DataFrame:
+    """Content with an error text; with a limit, larger files have a null and an error."""
+    if max_size_mb is None:
+        return files.withColumn("error", F.lit(None).cast("string"))
     small = F.col("size") <= max_size_mb * 1024 * 1024
     return files.withColumns(
         {

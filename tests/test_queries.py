@@ -67,7 +67,7 @@ def test_no_pairwise_joins(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["top_changed_files", "extreme_files", "recent_commits", "bug_prone_files"])
+@pytest.mark.parametrize("name", ["top_changed_files", "extreme_files", "bug_prone_files"])
 def test_top_k_is_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in final_plan(QUERIES[name](spark, SF_SMALL))
 

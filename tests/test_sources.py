@@ -117,15 +117,25 @@ def test_result_sinks(spark, tmp_path):
 
 
 def test_commit_activity_on_a_stream(spark, tmp_path):
-    from knotmeter.operators import history
     from knotmeter.streaming.commit_activity import commit_activity
 
     schema = "project_id string, commit_id string, author string, committed_at timestamp, message string"
-    df = spark.createDataFrame([("p", str(i), f"a{i % 2}", None, "m") for i in range(5)], schema)
-    df.write.parquet(str(tmp_path / "in"))
+    days = ["2024-01-01 10:00:00", "2024-01-01 23:00:00", "2024-01-02 01:00:00", "2024-01-20 00:00:00"]
+    rows = [("p", str(i), f"a{i % 2}", day, "m") for i, day in enumerate(days)]
+    typed = spark.createDataFrame(rows, schema.replace("timestamp", "string"))
+    typed.selectExpr("project_id", "commit_id", "author", "timestamp(committed_at) AS committed_at", "message").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = commit_activity(stream, "author").writeStream.outputMode("complete").format("memory").queryName("acts").start()
+    query = commit_activity(stream, "author").writeStream.outputMode("append").format("memory").queryName("acts").start()
     query.processAllAvailable()
     query.stop()
-    assert sorted(map(tuple, spark.table("acts").collect())) == sorted(
-        map(tuple, history.commits_by_author(df).collect()))
+    # the last day is still open: the watermark has not passed it
+    assert sorted((r["author"], str(r["date"]), r["commits"]) for r in spark.table("acts").collect()) == [
+        ("a0", "2024-01-01", 1), ("a0", "2024-01-02", 1), ("a1", "2024-01-01", 1)]
+
+
+def test_size_limit_is_an_option(spark):
+    from knotmeter.sources import files
+
+    df = spark.createDataFrame([("a", 3 << 20), ("b", 1)], "content string, size long")
+    assert [r["error"] for r in files.read_text_safely(df).collect()] == [None, None]
+    assert [(r["content"], r["error"]) for r in files.read_text_safely(df, 2).collect()] == [(None, "File exceeds 2MB limit"), ("b", None)]
