@@ -8,7 +8,7 @@ import sys
 import time
 
 from knotmeter.plans.queries import QUERIES
-from knotmeter.session import build_session
+from knotmeter.session import build_session, drop_tables
 
 HEADLINES = [
     "file_inventory", "primary_language", "file_statistics", "detect_services",
@@ -45,6 +45,7 @@ def main() -> None:
             }
         )
     )
+    drop_tables(spark)
     spark.stop()
 
 

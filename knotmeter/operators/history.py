@@ -54,19 +54,16 @@ def changed_files(commit_files: DataFrame, commit_id: str) -> DataFrame:
 
 def repo_info(commits: DataFrame) -> DataFrame:
     """Commit and contributor counts, first and last commit per project."""
-    last = F.max_by(
-        F.struct("commit_id", "author", "committed_at", "message"),
-        F.struct("committed_at", "commit_id"),
+    moment = F.struct("committed_at", "commit_id")
+    # by author first, so that counting rows counts contributors
+    by_author = commits.groupBy("project_id", "author").agg(
+        F.count("*").alias("n"), F.min("committed_at").alias("first"), F.max(moment).alias("moment"),
+        F.max_by(F.struct("commit_id", "author", "committed_at", "message"), moment).alias("last"),
     )
-    # contributors come from a second, pre-reduced branch: one row per author
-    counts = commits.groupBy("project_id").agg(
-        F.count("*").alias("commit_count"), F.min("committed_at").alias("created_at"),
-        last.alias("last_commit"),
+    return by_author.groupBy("project_id").agg(
+        F.sum("n").alias("commit_count"), F.min("first").alias("created_at"),
+        F.max_by("last", "moment").alias("last_commit"), F.count("*").alias("contributors_count"),
     )
-    people = contributors(commits).groupBy("project_id").agg(
-        F.count("*").alias("contributors_count")
-    )
-    return counts.join(people, "project_id")
 
 
 def contributors(commits: DataFrame) -> DataFrame:
@@ -121,21 +118,16 @@ def churn_lines(commits: DataFrame, commit_files: DataFrame, as_of: str, days: i
     recent = commits.where(F.col("committed_at") >= since(as_of, days=days)).select(
         "project_id", "commit_id", "author", F.to_date("committed_at").cast("string").alias("date")
     )
-    rows = commit_files.join(recent, ["project_id", "commit_id"])
+    keys = F.array(*[
+        F.struct(F.lit(level).alias("level"), key.alias("key"))
+        for level, key in (("file", F.col("path")), ("author", F.col("author")), ("date", F.col("date")), ("total", F.lit("all")))
+    ])
+    rows = commit_files.join(recent, ["project_id", "commit_id"]).withColumn("at", F.explode(keys))
     sums = [F.sum("added").alias("added"), F.sum("deleted").alias("deleted")]
-    by_file = rows.groupBy("project_id", F.col("path").alias("key")).agg(
-        *sums, F.count("*").alias("commits")
-    ).withColumn("level", F.lit("file"))
-    # reduced to one row per commit first, so that counting rows counts commits
-    per_commit = rows.groupBy("project_id", "commit_id", "author", "date").agg(*sums)
-    out = by_file
-    for level, key in (("author", F.col("author")), ("date", F.col("date")), ("total", F.lit("all"))):
-        out = out.unionByName(
-            per_commit.groupBy("project_id", key.alias("key"))
-            .agg(*sums, F.count("*").alias("commits"))
-            .withColumn("level", F.lit(level))
-        )
-    return out
+    # one row per commit first, so that counting rows counts commits; the join leaves a commit in one task
+    per_commit = rows.groupBy("project_id", F.col("at.level").alias("level"), F.col("at.key").alias("key"), "commit_id").agg(*sums)
+    out = per_commit.groupBy("project_id", "level", "key").agg(*sums, F.count("*").alias("commits"))
+    return out.select("project_id", "key", "added", "deleted", "commits", "level")
 
 
 def bug_rate(commits: DataFrame, as_of: str | None = None, months: int = 6) -> DataFrame:

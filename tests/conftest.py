@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from knotmeter.session import build_session  # noqa: E402
+from knotmeter.session import build_session, drop_tables  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -14,7 +14,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", 8, 4)
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    drop_tables(session)
 
 
 CORPUS = [
