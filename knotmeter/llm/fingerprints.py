@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotmeter.llm.common import mixed, partitions, slices
+from knotmeter.llm.common import Words, mixed, partitions, sliding_first_min, slices
 from knotmeter.session import materialize
 
 #: Bytes of a window, and neighbours among which each window is compared; both are powers of two.
@@ -30,7 +30,7 @@ PAIRS = WINDOW * (WINDOW - 1) // 2
 #: A filter is compared with those of the other chain that stand at most so far from its own place.
 REACH = 8
 #: Bytes of text for which scratch is held at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def equal_pairs(data: np.ndarray) -> np.ndarray:
@@ -65,10 +65,13 @@ def pair_histogram(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(PAIRS + 1, np.int64)
         for batch in slices(batches):
-            for text in batch.column(0).cast(pa.binary()):
-                data = np.frombuffer(text.as_py() or b"", np.uint8)
-                for _, part in _chunks(data, WINDOW - 1):
-                    total += np.bincount(equal_pairs(part), minlength=PAIRS + 1)
+            words = Words(batch.column(0))
+            for at, part in _chunks(words.data, WINDOW - 1):
+                # windows that reach from one text into the next do not count
+                value = equal_pairs(part)
+                last = np.searchsorted(words.offsets, at + np.arange(len(value)), side="right")
+                inside = at + np.arange(len(value)) + WINDOW <= words.offsets[np.minimum(last, words.rows)]
+                total += np.bincount(value[inside], minlength=PAIRS + 1)
         yield pa.record_batch([pa.array(np.arange(PAIRS + 1)), pa.array(total)], ["pairs", "n"])
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(count, "pairs long, n long")
@@ -98,15 +101,7 @@ def features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
     # windows that vote for one another lie in the same stretch
     for at, part in _chunks(data, 3 * WINDOW):
         value = rank[equal_pairs(part)]
-        span = min(WINDOW, len(value))
-        best, place, have = value, np.arange(len(value), dtype=np.int32), 1
-        while have < span:
-            step = min(have, span - have)
-            n = len(best) - step
-            right = best[step:] < best[:n]
-            place = np.where(right, place[step:], place[:n])
-            best = np.where(right, best[step:], best[:n])
-            have += step
+        place = sliding_first_min(value, min(WINDOW, len(value)))
         votes = np.bincount(place, minlength=len(value))
         chosen = np.flatnonzero(votes >= min(VOTES, len(place)))
         if at:
@@ -120,17 +115,65 @@ def features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def chain(numbers: np.ndarray) -> np.ndarray:
-    """Bloom filters of :data:`FULL` features each as rows of bits; no features give no filter."""
-    filters = np.zeros((-(-len(numbers) // FULL), BITS), bool)
-    at = np.arange(len(numbers)) // FULL
+def _batch_features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
+    """The features of several texts of at least three windows each, worked out side by side."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(x) for x in texts])
+    value = rank[equal_pairs(data)]
+    place = sliding_first_min(value, WINDOW)
+    # a vote counts if all windows that it compares lie in one text
+    end = np.repeat(ends, [len(x) for x in texts])[:len(place)]
+    whole = np.arange(len(place)) + 2 * WINDOW - 1 <= end
+    chosen = np.flatnonzero(np.bincount(place[whole], minlength=len(value)) >= VOTES)
+    code = np.zeros(len(chosen), np.uint64)
+    for k in range(WINDOW):
+        code += (data[chosen + k].astype(np.uint64) + np.uint64(1)) * _POWER[k]
+    return np.split(mixed(code), np.searchsorted(chosen, ends[:-1]))
+
+
+def chains(features_of: list[np.ndarray]) -> list[bytes]:
+    """The chained filters of several texts: :data:`FULL` features to a filter, no features no filter."""
+    counts = np.array([len(x) for x in features_of], int)
+    filters = -(-counts // FULL)
+    first = np.concatenate([[0], np.cumsum(filters)])
+    numbers = np.concatenate(features_of) if len(counts) else np.zeros(0, np.uint64)
+    within = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(first[:-1], counts) + within // FULL
+    bits = np.zeros((first[-1], BITS), bool)
     for k in range(DRAWS):
-        filters[at, ((numbers >> np.uint64(12 * k)) % np.uint64(BITS)).astype(int)] = True
-    return filters
+        bits[at, ((numbers >> np.uint64(12 * k)) % np.uint64(BITS)).astype(int)] = True
+    packed = np.packbits(bits, axis=1)
+    return [packed[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def digest(text: bytes, rank: np.ndarray) -> bytes:
-    return np.packbits(chain(features(np.frombuffer(text, np.uint8), rank)), axis=1).tobytes()
+def digests(texts: list[bytes], rank: np.ndarray) -> list[bytes]:
+    """The digest of each text. Texts of ordinary length share their scratch, up to :data:`CHUNK` bytes of them."""
+    found: list[np.ndarray | None] = [None] * len(texts)
+    group: list[int] = []
+    size = 0
+
+    def close() -> None:
+        nonlocal size
+        if group:
+            for i, own in zip(group, _batch_features([texts[i] for i in group], rank), strict=True):
+                found[i] = own
+        group.clear()
+        size = 0
+
+    for i, text in enumerate(texts):
+        if not 3 * WINDOW <= len(text) <= CHUNK:
+            found[i] = features(np.frombuffer(text, np.uint8), rank)
+            continue
+        if size + len(text) > CHUNK:
+            close()
+        group.append(i)
+        size += len(text)
+    close()
+    return chains(found)
+
+
+def _filters(digest: bytes) -> list[int]:
+    return [int.from_bytes(digest[i:i + BITS // 8], "little") for i in range(0, len(digest), BITS // 8)]
 
 
 def likeness(one: bytes, two: bytes) -> float:
@@ -144,20 +187,20 @@ def likeness(one: bytes, two: bytes) -> float:
         return 1.0
     if not one or not two:
         return 0.0
-    a, b = (np.unpackbits(np.frombuffer(x, np.uint8)).reshape(-1, BITS).astype(np.float32) for x in (one, two))
-    if len(a) > len(b) or (len(a) == len(b) and one > two):
-        a, b = b, a
-    size_a, size_b = a.sum(axis=1), b.sum(axis=1)
-    total = 0.0
-    for i in range(len(a)):
-        low, high = max(0, i - REACH), min(len(b), i + REACH + 1)
-        if low >= len(b):
-            low = len(b) - 1
-        common = b[low:high] @ a[i]
-        chance = size_a[i] * size_b[low:high] / BITS
-        most = np.minimum(size_a[i], size_b[low:high])
-        total += float(np.max(np.clip((common - chance) / np.maximum(most - chance, 1e-6), 0, 1)) * size_a[i])
-    return min(1.0, total / float(size_a.sum()))
+    if len(one) > len(two) or (len(one) == len(two) and one > two):
+        one, two = two, one
+    a, b = _filters(one), _filters(two)
+    sizes = [x.bit_count() for x in b]
+    total = weight = 0.0
+    for i, x in enumerate(a):
+        size, best = x.bit_count(), 0.0
+        for j in range(max(0, i - REACH), min(len(b), i + REACH + 1)):
+            chance, most = size * sizes[j] / BITS, min(size, sizes[j])
+            if most > chance:
+                best = max(best, ((x & b[j]).bit_count() - chance) / (most - chance))
+        total += min(best, 1.0) * size
+        weight += size
+    return min(1.0, total / weight)
 
 
 def edited(text: str, following: str) -> str:
@@ -175,10 +218,13 @@ COMPLETE, FIRST, LAST = 0, 1, 2
 DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, part int, end int, text string"
 
 
-def _compared(doc_id: int | None, text: str, own: bytes, following: str, other: bytes, rank: np.ndarray) -> tuple:
-    new = edited(text, following).encode()
-    mine = digest(new, rank)
-    return doc_id, len(text), hashlib.sha256(new).hexdigest(), own, mine, likeness(own, mine), likeness(own, other)
+def _compared(docs: list[tuple], following: list[tuple[str, bytes]], rank: np.ndarray) -> list[tuple]:
+    """Complete rows of documents ``(doc_id, text, digest)``, each with the text and digest of the one after it."""
+    new = [edited(text, after).encode() for (_, text, _), (after, _) in zip(docs, following, strict=True)]
+    return [
+        (doc_id, len(text), hashlib.sha256(changed).hexdigest(), own, mine, likeness(own, mine), likeness(own, other))
+        for (doc_id, text, own), (_, other), changed, mine in zip(docs, following, new, digests(new, rank), strict=True)
+    ]
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
@@ -194,15 +240,17 @@ def _walk(rank: np.ndarray):
 
         part, last = TaskContext.get().partitionId(), None
         for batch in slices(batches):
+            texts = batch.column(1).to_pylist()
+            docs = list(zip(batch.column(0).to_pylist(), texts, digests([x.encode() for x in texts], rank), strict=True))
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = digest(text.encode(), rank)
-                if last is None:
-                    rows.append((doc_id, len(text), None, own, None, None, None, part, FIRST, text))
-                else:
-                    rows.append((*_compared(*last, text, own, rank), part, COMPLETE, None))
-                last = doc_id, text, own
-            yield _record(rows)
+            if last is None:
+                doc_id, text, own = docs[0]
+                rows.append((doc_id, len(text), None, own, None, None, None, part, FIRST, text))
+            else:
+                docs.insert(0, last)
+            complete = _compared(docs[:-1], [(text, own) for _, text, own in docs[1:]], rank)
+            yield _record(rows + [(*row, part, COMPLETE, None) for row in complete])
+            last = docs[-1]
         if last is not None:
             doc_id, text, own = last
             yield _record([(doc_id, len(text), None, own, None, None, None, part, LAST, text)])
@@ -215,10 +263,9 @@ def _stitch(rank: np.ndarray):
 
     def stitch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [
-                (*_compared(r["doc_id"], r["text"], r["fingerprint"], r["next_text"], r["next_fingerprint"], rank), None, COMPLETE, None)
-                for r in batch.to_pylist()
-            ]
+            found = batch.to_pylist()
+            docs = [(r["doc_id"], r["text"], r["fingerprint"]) for r in found]
+            rows = [(*row, None, COMPLETE, None) for row in _compared(docs, [(r["next_text"], r["next_fingerprint"]) for r in found], rank)]
             yield _record(rows)
 
     return stitch
