@@ -272,11 +272,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns, each span of the text replaced by its kind in brackets.
 
-    Spans that overlap become one, named after the first. The fit reads the texts once, the replacement
-    once more; no text is shuffled.
+    Spans that overlap become one, named after the first. The fit reads the texts once and stores the
+    candidates, the replacement reads them once more; no text is shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    model = fit(vote_counts(with_candidates(docs.select("text"), text).select("_candidates")))
+    # stored, as the optimizer would else find the candidates anew for each field that is counted
+    model = fit(vote_counts(materialize(with_candidates(docs.select("text"), text).select("_candidates"))))
     packed = with_candidates(docs.select(F.struct("*").alias("_row"), F.col("text")), text)
     found = packed.withColumn("_spans", F.array_sort(F.transform(
         spans(F.col("_candidates"), model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind_name(s["kind"]).alias("name")),
