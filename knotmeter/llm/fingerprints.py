@@ -3,7 +3,8 @@
 The collision entropy of every window of 32 bytes follows from the number of equal pairs of bytes in it. How
 often each value occurs in the whole corpus ranks the windows: the less probable, the better a
 feature. Of every 32 neighbouring windows the best one is voted for, and windows with enough votes are the
-features. They go, in order of the text, into Bloom filters of 256 bytes; when one is full a next is chained.
+features. Where many neighbours in a row have none, as in short or repeating texts, those with the most votes
+are added, so that only the empty text has no feature. They go, in order of the text, into Bloom filters of 256 bytes; when one is full a next is chained.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from knotmeter.session import materialize
 WINDOW = 32
 #: Votes of its neighbours that make a window a feature.
 VOTES = 16
+#: So many neighbouring windows have a feature among them at least.
+STRETCH = 4 * WINDOW
 #: Bits and features of a filter, and bits that a feature sets.
 BITS, FULL, DRAWS = 2048, 160, 5
 #: Equal pairs of bytes that a window can have.
@@ -91,44 +94,78 @@ def ranks(histogram: np.ndarray) -> np.ndarray:
 _POWER = np.cumprod(np.array([1] + [0xD6E8FEB86659FD93] * (WINDOW - 1), np.uint64))
 
 
+def _codes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    code = np.zeros(len(places), np.uint64)
+    for k in range(WINDOW):
+        code += (data[places + k].astype(np.uint64) + np.uint64(1)) * _POWER[k]
+    return mixed(code)
+
+
+def _most_voted(data: np.ndarray, votes: np.ndarray, start: int, end: int) -> int:
+    """Of the places from start to end the one with most votes; of several that of the least code, of equal windows the last."""
+    run = votes[start:end]
+    places = start + np.flatnonzero(run == run.max())
+    windows = np.lib.stride_tricks.sliding_window_view(data[start:end + WINDOW - 1], WINDOW)[places - start]
+    code = mixed((windows.astype(np.uint64) + np.uint64(1)) @ _POWER)
+    return int(places[code == code.min()][-1])
+
+
+def _added(data: np.ndarray, votes: np.ndarray, before: int, after: int, until: int) -> list[int]:
+    """Places to add between a feature and the next one, by runs of :data:`STRETCH` places that start before ``until``."""
+    found, start = [], before + 1
+    while after - start >= STRETCH and start < until:
+        found.append(_most_voted(data, votes, start, start + STRETCH))
+        start = found[-1] + 1
+    return found
+
+
 def features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """A number for each feature of a text, in its order. A text shorter than a window is one feature."""
     if not len(data):
         return np.zeros(0, np.uint64)
     if len(data) < WINDOW:
         return mixed(np.array([np.sum((data.astype(np.uint64) + np.uint64(1)) * _POWER[:len(data)], dtype=np.uint64)]))
-    found = []
-    # windows that vote for one another lie in the same stretch
-    for at, part in _chunks(data, 3 * WINDOW):
+    found, last = [], -1
+    # windows that vote for one another lie in the same stretch, and so do those of a run that starts in it
+    for at, part in _chunks(data, 3 * WINDOW + STRETCH):
         value = rank[equal_pairs(part)]
-        place = sliding_first_min(value, min(WINDOW, len(value)))
-        votes = np.bincount(place, minlength=len(value))
-        chosen = np.flatnonzero(votes >= min(VOTES, len(place)))
-        if at:
-            chosen = chosen[chosen >= WINDOW]
+        votes = np.bincount(sliding_first_min(value, min(WINDOW, len(value))), minlength=len(value))
+        end = until = len(value)
         if at + len(part) < len(data):
-            chosen = chosen[chosen < CHUNK + WINDOW]
-        code = np.zeros(len(chosen), np.uint64)
-        for k in range(WINDOW):
-            code += (part[chosen + k].astype(np.uint64) + np.uint64(1)) * _POWER[k]
-        found.append(mixed(code))
+            until = CHUNK + WINDOW
+            end = until + STRETCH
+        voted = np.flatnonzero(votes[:end] >= VOTES)
+        voted = voted[voted > max(last - at, WINDOW - 1 if at else -1)]
+        left, right = np.concatenate([[last - at], voted]), np.concatenate([voted, [end]])
+        extra = [x for k in np.flatnonzero(right - left > STRETCH) for x in _added(part, votes, left[k], right[k], until)]
+        chosen = np.sort(np.concatenate([voted[voted < until], np.array(extra, int)]))
+        if last < 0 and not len(chosen) and until == len(value):
+            chosen = np.array([_most_voted(part, votes, 0, end)])
+        if len(chosen):
+            last = at + int(chosen[-1])
+        found.append(_codes(part, chosen))
     return np.concatenate(found)
 
 
 def _batch_features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """The features of several texts of at least three windows each, worked out side by side."""
     data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(x) for x in texts])
+    sizes = np.array([len(x) for x in texts])
+    ends = np.cumsum(sizes)
     value = rank[equal_pairs(data)]
     place = sliding_first_min(value, WINDOW)
     # a vote counts if all windows that it compares lie in one text
-    end = np.repeat(ends, [len(x) for x in texts])[:len(place)]
+    end = np.repeat(ends, sizes)[:len(place)]
     whole = np.arange(len(place)) + 2 * WINDOW - 1 <= end
-    chosen = np.flatnonzero(np.bincount(place[whole], minlength=len(value)) >= VOTES)
-    code = np.zeros(len(chosen), np.uint64)
-    for k in range(WINDOW):
-        code += (data[chosen + k].astype(np.uint64) + np.uint64(1)) * _POWER[k]
-    return np.split(mixed(code), np.searchsorted(chosen, ends[:-1]))
+    votes = np.bincount(place[whole], minlength=len(value))
+    voted = np.flatnonzero(votes >= VOTES)
+    before, after = ends - sizes - 1, ends - WINDOW + 1
+    left, right = np.sort(np.concatenate([before, voted])), np.sort(np.concatenate([after, voted]))
+    extra = [x for k in np.flatnonzero(right - left > STRETCH) for x in _added(data, votes, left[k], right[k], right[k])]
+    none = np.isin(left, before) & np.isin(right, after) & (right - left <= STRETCH)
+    extra += [_most_voted(data, votes, left[k] + 1, right[k]) for k in np.flatnonzero(none)]
+    chosen = np.sort(np.concatenate([voted, np.array(extra, int)]))
+    return np.split(_codes(data, chosen), np.searchsorted(chosen, ends[:-1]))
 
 
 def chains(features_of: list[np.ndarray]) -> list[bytes]:

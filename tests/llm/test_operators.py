@@ -345,6 +345,32 @@ def test_equal_pairs_and_chunks(monkeypatch):
     assert (fingerprints.features(data, rank) == whole).all()
 
 
+def test_only_the_empty_text_has_no_features(docs, monkeypatch):
+    rng = np.random.default_rng(3)
+    prose = " ".join(r["text"] or "" for r in docs.orderBy("doc_id").limit(60).collect()).encode()
+    data = np.frombuffer(prose, np.uint8)
+    rank = fingerprints.ranks(np.bincount(fingerprints.equal_pairs(data), minlength=fingerprints.PAIRS + 1))
+    cuts = [prose[at:at + n] for n in range(1, 140) for at in rng.integers(0, len(prose) - 140, 20)]
+    spam, buy, many = b"spam " * 2000, b"buy now! " * 2000, b"a" * 5000
+    lists = [b"".join(b"%d. item\n" % i for i in range(3000)), b"- \n" * 500, b"----------\n" * 300]
+    texts = [*cuts, spam, buy, many, *lists, prose[:4000] + spam + prose[4000:9000]]
+    got = fingerprints.digests(texts, rank)
+    assert all(got) and fingerprints.digests([b""], rank) == [b""]
+    side_by_side = [fingerprints.features(np.frombuffer(x, np.uint8), rank) for x in texts]
+    assert fingerprints.chains(side_by_side) == got
+    own = dict(zip(texts, got, strict=True))
+    assert fingerprints.likeness(own[spam], own[buy]) < 0.2 and fingerprints.likeness(own[spam], own[many]) < 0.2
+    assert fingerprints.likeness(own[spam], fingerprints.digests([spam[:3001]], rank)[0]) > 0.9
+    # lines before a list do not change which of its windows are features
+    some = fingerprints.features(np.frombuffer(b"0. another\n" + lists[0], np.uint8), rank)
+    assert np.isin(some, fingerprints.features(np.frombuffer(lists[0], np.uint8), rank)).mean() > 0.9
+    for chunk in (200, 1000):
+        monkeypatch.setattr(fingerprints, "CHUNK", chunk)
+        for text in texts[-7:]:
+            whole = side_by_side[texts.index(text)]
+            assert (fingerprints.features(np.frombuffer(text, np.uint8), rank) == whole).all()
+
+
 # --- op5 ---------------------------------------------------------------------------------------
 
 
