@@ -30,8 +30,6 @@ STRETCH = 4 * WINDOW
 BITS, FULL, DRAWS = 2048, 160, 5
 #: Equal pairs of bytes that a window can have.
 PAIRS = WINDOW * (WINDOW - 1) // 2
-#: A filter is compared with those of the other chain that stand at most so far from its own place.
-REACH = 8
 #: Bytes of text for which scratch is held at once.
 CHUNK = 1 << 18
 
@@ -209,16 +207,16 @@ def digests(texts: list[bytes], rank: np.ndarray) -> list[bytes]:
     return chains(found)
 
 
-def _filters(digest: bytes) -> list[int]:
-    return [int.from_bytes(digest[i:i + BITS // 8], "little") for i in range(0, len(digest), BITS // 8)]
+def _filters(digest: bytes) -> np.ndarray:
+    return np.frombuffer(digest, np.uint64).reshape(-1, BITS // 64)
 
 
 def likeness(one: bytes, two: bytes) -> float:
     """0 to 1: the mean over the filters of the shorter chain of the best overlap with the other.
 
     Of the common bits those expected by chance are taken off, and the rest is divided by the most there could
-    be. A filter is compared with those around its own place in the other chain, so long chains
-    take linear time. Two chains without filters are alike; a chain with and one without are not.
+    be. Each filter is compared with all of the other chain, wherever they stand; scratch is as large as that
+    chain. Two chains without filters are alike; a chain with and one without are not.
     """
     if one == two:
         return 1.0
@@ -227,15 +225,14 @@ def likeness(one: bytes, two: bytes) -> float:
     if len(one) > len(two) or (len(one) == len(two) and one > two):
         one, two = two, one
     a, b = _filters(one), _filters(two)
-    sizes = [x.bit_count() for x in b]
+    sizes = np.bitwise_count(b).sum(axis=1, dtype=np.int64)
     total = weight = 0.0
-    for i, x in enumerate(a):
-        size, best = x.bit_count(), 0.0
-        for j in range(max(0, i - REACH), min(len(b), i + REACH + 1)):
-            chance, most = size * sizes[j] / BITS, min(size, sizes[j])
-            if most > chance:
-                best = max(best, ((x & b[j]).bit_count() - chance) / (most - chance))
-        total += min(best, 1.0) * size
+    for x in a:
+        size = int(np.bitwise_count(x).sum(dtype=np.int64))
+        # at most FULL * DRAWS bits are set, so the most there could be is above chance
+        chance, most = size * sizes / BITS, np.minimum(size, sizes)
+        overlap = (np.bitwise_count(b & x).sum(axis=1, dtype=np.int64) - chance) / (most - chance)
+        total += min(max(float(overlap.max()), 0.0), 1.0) * size
         weight += size
     return min(1.0, total / weight)
 

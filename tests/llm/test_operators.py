@@ -371,6 +371,18 @@ def test_only_the_empty_text_has_no_features(docs, monkeypatch):
             assert (fingerprints.features(np.frombuffer(text, np.uint8), rank) == whole).all()
 
 
+def test_copies_are_found_wherever_they_stand():
+    rng = np.random.default_rng(5)
+    numbers = [rng.integers(0, 2**63, fingerprints.FULL * n).astype(np.uint64) for n in (40, 3, 3)]
+    head, own, other = numbers
+    copied, short, unlike = fingerprints.chains([np.concatenate([head, own, head]), own, other])
+    assert fingerprints.likeness(short, copied) == fingerprints.likeness(copied, short) == 1.0
+    assert fingerprints.likeness(unlike, copied) < 0.2
+    # the filters of the copy begin elsewhere: half of each lies in one filter of the longer chain
+    shifted = fingerprints.chains([np.concatenate([head[:-fingerprints.FULL // 2], own, head])])[0]
+    assert fingerprints.likeness(short, shifted) > 0.4
+
+
 # --- op5 ---------------------------------------------------------------------------------------
 
 
