@@ -441,6 +441,25 @@ def test_pages_without_article_lose_what_they_share(spark):
     assert html_text.main_texts(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("group_bytes", [4 << 20, 2000])
+def test_repeats_count_over_the_whole_host(spark, monkeypatch, group_bytes):
+    """In one group or in many: a notice on few pages goes, and copies of an article with small changes stay."""
+    def body(i, n=60):
+        return " ".join(f"u{(i * 7919 + k * k * 31 + k) % 50021}" for k in range(n))
+
+    menu, notice = "Home News Sport Weather Travel More Shop", "This shop is closed for the holidays until monday morning"
+    story = [body(5000 + k, 40) for k in range(4)]
+    rows = [(i, [menu, body(i), *([notice] if i % 13 == 0 else [])]) for i in range(117)]
+    rows += [(200 + k, [menu, f"Issue {k} of the paper", *story[:3], f"{story[3]} end{k}"]) for k in range(3)]
+    rows += [(300 + k, [menu]) for k in range(2)] + [(400 + k, [menu, body(4000)]) for k in range(40)]
+    want = {i: [b for b in blocks if b not in (menu, notice)] for i, blocks in rows}
+    html = [(i, f"http://h.example/{i}", "".join(f"<div>{b}</div>" for b in blocks)) for i, blocks in rows]
+    monkeypatch.setattr(html_text, "GROUP_BYTES", group_bytes)
+    got = html_text.main_texts(spark.createDataFrame(html, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    assert {r["page_id"]: r["text"].split("\n") if r["text"] else [] for r in got} == want
+
+
 def test_pages_of_the_data_set(spark):
     import html
 
