@@ -618,6 +618,19 @@ def test_forest_on_held_out_rows(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.3
 
 
+def test_runs_of_one_word_are_rejected(spark):
+    """No rate of them is over a fixed limit; each word stands there 5 to 8 times."""
+    forest = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [" ".join(f"wort{i}" for i in range(40 * k, 40 * k + 40) for _ in range(k)) for k in (5, 6, 7, 8)]
+    rows = quality.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).collect()
+    assert not any(r["base_failed"] or r["kept"] for r in rows)
+    odd = pa.array(["a a b b b", None, "", "c", "c c", "c d c  d\nd"])
+    stats = quality.text_statistics(odd)
+    assert stats[:, quality.STATS.index("n_same")].tolist() == [3, 0, 0, 0, 1, 1]
+    few, many = (quality.features(quality.text_statistics(pa.array([x * 30])))[0] for x in ("one two# ", "one two## "))
+    assert (few != many).any() and few[0] == 0.5 and many[0] == 1.0
+
+
 # --- op10 --------------------------------------------------------------------------------------
 
 
