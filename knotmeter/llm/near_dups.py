@@ -21,6 +21,8 @@ from knotmeter.session import materialize
 #: Components of a signature, and of a band: a pair at 0.8 has no band in common once in 20 million times.
 COMPONENTS, BAND = 128, 4
 BANDS = COMPONENTS // BAND
+#: The bands and AGREE are made for similarities from so many percent on.
+LEAST_PERCENT = 80
 #: Components that must agree before full sets are compared: 5.6 deviations below those of a pair at 0.8.
 AGREE = 77
 #: Pairs a member that a bucket may list for its open components; the members of others go through prefixes.
@@ -251,20 +253,10 @@ def _prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``k1, k2, doc_id, n_shingles, component_id, kept`` for each document.
-
-    Documents are linked when their shingle sets have a similarity of ``percent`` or more, confirmed on the
-    full sets; ``component_id`` is the smallest id that links reach. Sets are compared once for all documents
-    that have them, so a group of copies is one class however large. Members of a bucket are compared with its
-    first. Buckets that still span several components list the pairs across them if these are few for
-    their members. The members of the others are linked by their rarest shingles, which loses no pair: most variants
-    of a text or users of a passage have so many shingles of their own that they meet nobody there.
-    Bands miss a pair at the threshold with a chance of about 5e-8; every other step is exact.
-
-    Null or blank texts have no set and are linked with nothing. Rows with equal texts are linked.
-    A null id is never a component's id unless it has no other; such a document is kept if it stands alone.
-    """
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``k1, k2, doc_id, n, component_id`` and the inner number ``component`` for each document; see :func:`near_duplicates`."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent {percent} is not from {LEAST_PERCENT} to 100: bands would miss pairs")
     sets = materialize(signed_sets(docs, width))
     classes = (
         sets.where("n > 0").groupBy("d1", "d2")
@@ -292,8 +284,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = classes.select("cid", "d1", "d2", "least_id").join(groups.labels.select(F.col("node").alias("cid"), "component"), "cid", "left")
     named = materialize(named.select("d1", "d2", "least_id", F.coalesce("component", "cid").alias("component")))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_set = named.join(least, "component").select("d1", "d2", "component_id")
-    out = sets.drop("bands", "sketch").join(by_set, ["d1", "d2"], "left")
+    by_set = named.join(least, "component").select("d1", "d2", "component", "component_id")
+    return sets.drop("bands", "sketch").join(by_set, ["d1", "d2"], "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``k1, k2, doc_id, n_shingles, component_id, kept`` for each document.
+
+    Documents are linked when their shingle sets have a similarity of ``percent`` or more, confirmed on the
+    full sets; ``component_id`` is the smallest id that links reach. Sets are compared once for all documents
+    that have them, so a group of copies is one class however large. Members of a bucket are compared with its
+    first. Buckets that still span several components list the pairs across them if these are few for
+    their members. The members of the others are linked by their rarest shingles, which loses no pair: most variants
+    of a text or users of a passage have so many shingles of their own that they meet nobody there.
+    Bands miss a pair at the threshold with a chance of about 5e-8; so does the
+    look at signatures before verification with about 1e-8; every other step is exact. A ``percent`` below 80 is refused.
+
+    Null or blank texts have no set and are linked with nothing. Rows with equal texts are linked.
+    A null id is never a component's id unless it has no other; such a document is kept if it stands alone.
+    """
+    out = _grouped(docs, width, percent)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
@@ -301,8 +311,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def kept_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` for each group, with all its columns; rows that are equal throughout count once."""
-    found = near_duplicates(docs, width, percent).where("kept").select("k1", "k2").distinct()
+    """One row of ``docs`` for each group, with all its columns: that of the least id, null ids last, then of the least
+    hash of the text. Of documents without shingles, rows equal in id and text count once."""
+    grouped = materialize(_grouped(docs, width, percent).select("k1", "k2", "doc_id", "component"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("first")
+    found = grouped.where("component is not null").groupBy("component").agg(first).select("first.k1", "first.k2")
+    found = found.unionByName(grouped.where("component is null").select("k1", "k2").distinct())
     one = Window.partitionBy("k1", "k2").orderBy(F.lit(1))
     keyed = docs.select(F.struct("*").alias("row"), *row_key())
     return (

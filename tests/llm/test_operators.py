@@ -291,6 +291,17 @@ def test_one_of_a_group_stays(awkward):
     assert sum(r["text"] == "a b c" for r in rows) == 1 and sum(r["doc_id"] in (5, 6) for r in rows) == 1
 
 
+def test_one_of_a_group_stays_whatever_its_ids(spark):
+    """Near copies that all have a null id, or that share the smallest id."""
+    base = [[f"g{g}w{i}" for i in range(100)] for g in range(3)]
+    texts = [[" ".join([*b, f"end{k}"]) for k in range(3)] for b in base]
+    rows = [(None, t) for t in texts[0]] + [(7, t) for t in texts[1]] + [(None, texts[2][0]), (9, texts[2][1]), (8, texts[2][2])]
+    got = near_dups.kept_documents(spark.createDataFrame([*rows, (None, None), (7, "")], "doc_id long, text string")).collect()
+    assert sorted(((r["text"] or "")[:2], str(r["doc_id"])) for r in got) == [("", "7"), ("", "None"), ("g0", "None"), ("g1", "7"), ("g2", "8")]
+    with pytest.raises(ValueError):
+        near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50)
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(2)
     shared = rng.integers(1, 2**63, 160).astype(np.uint64)
