@@ -92,4 +92,92 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least USING (doc_id)
 """
 
+_INTS = """
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+
+def _op11() -> str:
+    """Four rounds, each two steps: the nearest entry of every part, then the floored means of those that have parts."""
+    steps = [f"""
+WITH kept AS ({_INTS.format(scale=1024)}), parts AS (
+  SELECT vec_id, label, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, (SELECT unnest(range(0, 4)) AS p)
+), first AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 256
+), book0 AS (
+  SELECT p, e, x AS c FROM parts JOIN first USING (vec_id)
+)"""]
+    for k in range(5):
+        steps.append(f""", near{k} AS (
+  SELECT vec_id, label, p, x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS best
+  FROM parts JOIN book{k} USING (p) GROUP BY vec_id, label, p, x
+)""")
+        if k < 4:
+            steps.append(f""", mean{k} AS (
+  SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT p, best.e AS e, i, sum(x[i]) AS total, count(*) AS n FROM near{k}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS i) GROUP BY ALL
+  ) GROUP BY p, e
+), book{k + 1} AS (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, e)
+)""")
+    steps.append(""", codes AS (
+  SELECT vec_id, label, string_agg(lower(lpad(hex(best.e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near4 GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book4) AS codebooks_sha256
+FROM codes""")
+    return "".join(steps)
+
+
+OP12 = f"""
+WITH vectors AS ({_INTS.format(scale=64)}), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+OP13 = f"""
+WITH counted AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, {_TEXT_WORDS} AS w FROM documents
+), failing AS (
+  SELECT part, doc_id, CAST(len(w) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER)
+    + 4 * CAST(100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) AS INTEGER)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+    + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INTEGER) AS f
+  FROM counted
+), marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, f, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, f
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, s, CAST(1 << (ascii(o[s]) - 65) AS INTEGER) AS own,
+    CAST(coalesce(list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(o[i]) - 65))), 0) AS INTEGER) AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS s)
+), audit AS (
+  SELECT part, o, s, own, sum(CASE WHEN f & (own | earlier) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN f & earlier = 0 AND f & own > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN f & earlier > 0 AND f & own > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN f = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN f & earlier = 0 AND f & own > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN f & earlier = 0 AND f & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY part, o, s, own
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM audit
+"""
+
 ORACLES = {"op1_mix_sources": OP1, "op2_remove_repeats": OP2, "op3_near_duplicates": OP3}
+ORACLES |= {"op11_vector_codes": _op11(), "op12_exact_search": OP12, "op13_filter_audit": OP13}

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotmeter.llm import fingerprints, html_text, mixing, near_dups, packing, pii, quality, sharding, substrings, training_order
+from knotmeter.llm import (
+    exact_search, filter_audit, fingerprints, html_text, mixing, near_dups, packing, pii, quality, sharding, substrings, training_order,
+    vector_codes,
+)
 from knotmeter.llm.common import row_key, table
 from knotmeter.llm.oracle import ORACLES
 
@@ -83,11 +86,24 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_remove_repeats, op3_near_duplicates, op4_fingerprints, op5_shard_documents,
-        op6_main_text, op7_personal_data, op8_training_order, op9_quality, op10_pack_documents,
+        op6_main_text, op7_personal_data, op8_training_order, op9_quality, op10_pack_documents, op11_vector_codes,
+        op12_exact_search, op13_filter_audit,
     )
 }
 

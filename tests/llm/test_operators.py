@@ -114,7 +114,8 @@ def test_tokens_are_those_of_the_library():
 @pytest.mark.parametrize("name", sorted(oracle.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(oracle.ORACLES[name])
     got = queries.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(want.columns)
