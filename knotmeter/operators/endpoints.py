@@ -86,15 +86,13 @@ def service_needles(services: DataFrame) -> DataFrame:
     )
 
 
-def service_dependencies(
-    inventory: DataFrame, services: DataFrame, strategy: str = "auto"
-) -> DataFrame:
+def service_dependencies(inventory: DataFrame, services: DataFrame) -> DataFrame:
     """(source, target): code of the source mentions the target service."""
     code = inventory.where(
         paths.has_extension(F.col("name"), rules.ENDPOINT_CODE) & F.col("content").isNotNull()
     ).select("project_id", "dir", "content")
     needles = service_needles(services)
-    pairs = contains_pairs(code, needles, strategy=strategy)
+    pairs = contains_pairs(code, needles)
     return dependencies_from_pairs(pairs, services, needles)
 
 

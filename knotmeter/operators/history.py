@@ -160,7 +160,6 @@ def bug_prone_files(
 
 def bugs_by_model(
     commits: DataFrame, commit_files: DataFrame, models: DataFrame, as_of: str, months: int = 6,
-    strategy: str = "auto",
 ) -> DataFrame:
     """Bug commits with a touched path that contains the model name."""
     bugs = bug_fix_commits(commits).where(
@@ -171,7 +170,7 @@ def bugs_by_model(
     )
     pairs = contains_pairs(
         touched, models.select("project_id", F.col("name").alias("needle")),
-        text="path", strategy=strategy,
+        text="path",
     )
     return (
         pairs.select("project_id", "commit_id", F.col("needle").alias("model")).distinct()

@@ -1,174 +1,104 @@
 """Substring join: which needles of a project occur in which of its texts.
 
-A substring test cannot be hashed directly, and testing every needle of a
-project against every text of it grows with the square of a large project.  So:
-
-* few needles (the counts are checked first): they are broadcast, joined on the
-  group key, and tested with ``contains`` as the residual of a hash join;
-* otherwise: texts look up all their substrings of the needle lengths in a
-  bitmap of fixed size by a rolling hash, in time linear in the text.  What the
-  bitmap lets through is joined exactly on (group, needle), so hash collisions
-  cost time but never a wrong row.
-
-Texts are never shuffled in either form.
+A substring test cannot be hashed directly, and testing every needle of a project against every text of it grows with
+the square of a large project. So the needles become an inverted index over q-grams: each is filed under
+its rarest gram, one that few needles of the project share and that starts with a character that is rare in
+texts. A text that holds a needle holds its gram, so texts are exploded to the grams that can be keys,
+joined with the index on (project, gram), and ``contains`` settles what is left.
+
+The index is broadcast in slices of bounded size, one after the other, as many as its measured size needs. Texts are
+never shuffled, whatever the number of needles; their content ends in the scan stage.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from knotmeter.session import materialize
 
-MAX_BROADCAST_NEEDLES = 100_000
-MAX_NEEDLES_PER_GROUP = 512
-BITMAP_BITS = 23  # 2**23 flags = 1 MiB once packed, whatever the data size
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+#: Characters of a gram. Shorter needles are their own key.
+GRAM = 4
+#: Bytes of a broadcast slice of the index, about.
+SLICE_BYTES = 32 << 20
+#: What a row of the index takes beside its texts when it is hashed.
+_ROW_BYTES = 64
 
 
-class _Windows:
-    """Hashes of all windows of a text, by length (wrapping 64-bit arithmetic)."""
+def _grams(text: Column, length: int, first: str = ".") -> Column:
+    """All runs of ``length`` characters that start with ``first``; one character is passed at a time."""
+    rest = f".{{{length - 1}}}" if length > 1 else ""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({first}{rest}))."), F.lit(1))
 
-    def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        self.size = len(codes)
-        terms = codes.astype(np.uint64) * _powers(_BASE, self.size)
-        self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        self._inverse = _powers(_INVERSE, self.size)
 
-    def slots(self, length: int, seed: np.uint64) -> np.ndarray:
-        n = self.size - length + 1
-        hashes = (self._prefix[length:] - self._prefix[:n]) * self._inverse[:n]
-        mixed = (hashes ^ seed) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-        return ((mixed * _BASE) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-
-
-def _seed(group: str) -> np.uint64:
-    return np.uint64(int.from_bytes(hashlib.md5(group.encode()).digest()[:8], "little"))
+def needle_index(needles: DataFrame, group: str) -> DataFrame:
+    """``(group, needle, key)``: a row for each distinct needle that is not empty, with the gram it is found by.
 
+    Letters and blanks fill most texts, so a gram that starts with something else comes first; then
+    the gram that the fewest needles of the group have.
+    """
+    distinct = needles.where(F.length("needle") > 0).select(group, "needle").distinct()
+    keys = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(F.array_distinct(_grams(F.col("needle"), GRAM)))
+    each = distinct.select(group, "needle", F.explode(keys).alias("key"))
+    shared = each.groupBy(group, "key").agg(F.count("*").alias("n"))
+    common_start = F.col("key").rlike(r"^[\p{L}\s]")
+    best = F.min(F.struct(common_start.alias("common"), "n", F.xxhash64("key").alias("hash"), "key"))
+    return each.join(shared, [group, "key"]).groupBy(group, "needle").agg(best["key"].alias("key"))
 
-def _needle_slot(group: str, needle: str) -> int:
-    windows = _Windows(needle)
-    return int(windows.slots(windows.size, _seed(group))[0])
 
+def _measured(index: DataFrame, group: str) -> tuple[int, dict[int, str]]:
+    """The bytes of the index, and for each length of key a character class of the first characters of its keys.
 
-def _by_broadcast(texts: DataFrame, needles: DataFrame, text: str, group: str) -> DataFrame:
-    hit = texts[text].contains(needles["needle"])
-    joined = texts.join(
-        F.broadcast(needles), (texts[group] == needles[group]) & hit
-    ).drop(needles[group])
+    Characters beyond ASCII count as one, so at most 129 rows for each of GRAM lengths come to the driver.
+    """
+    code = F.ascii("key")
+    size = F.octet_length(group) + F.octet_length("needle") + F.octet_length("key") + F.lit(_ROW_BYTES)
+    rows = index.groupBy(F.length("key").alias("length"), F.when(code < 128, code).otherwise(-1).alias("code")).agg(
+        F.sum(size).alias("size")
+    ).collect()
+    classes: dict[int, list[int]] = {}
+    for row in rows:
+        classes.setdefault(row["length"], []).append(row["code"])
+    return sum(row["size"] or 0 for row in rows), {
+        length: "[" + "".join(r"[^\x00-\x7F]" if c < 0 else f"\\x{c:02x}" for c in sorted(codes)) + "]"
+        for length, codes in sorted(classes.items())
+    }
+
+
+def _last_mention(text: str) -> dict[str, Column]:
+    """Line number and trimmed line of the last place of the needle."""
     # what follows the last occurrence of the needle
     tail = F.call_function("substring_index", F.col(text), F.col("needle"), F.lit(-1))
-    head = F.substring(
-        F.col(text), F.lit(1), F.length(text) - F.length(tail) - F.length("needle")
-    )
-    last_line = (F.octet_length(head) - F.octet_length(F.replace(head, F.lit("\n"), F.lit("")))) + 1
-    code = F.concat(
-        F.substring_index(head, "\n", -1), F.col("needle"), F.substring_index(tail, "\n", 1)
-    )
-    return joined.withColumns(
-        {"last_line": last_line.cast("bigint"), "last_code": F.trim(code)}
-    ).drop(text)
-
-
-def _by_rolling_hash(texts: DataFrame, needles: DataFrame, text: str, group: str) -> DataFrame:
-    spark = texts.sparkSession
-
-    def slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame(
-                {"slot": [_needle_slot(g, n) for g, n in zip(pdf[group], pdf["needle"])]}
-            )
-
-    # both collected sets are bounded: at most 2**BITMAP_BITS slots, and one
-    # entry per distinct needle length
-    slots = (
-        needles.select(group, "needle").mapInPandas(slots_of, "slot int").distinct().toPandas()
-    )
-    lengths = sorted(
-        int(r[0]) for r in needles.select(F.length("needle")).distinct().toLocalIterator()
-    )
-    flags = np.zeros(2**BITMAP_BITS, dtype=bool)
-    flags[slots["slot"].to_numpy(dtype=np.int64)] = True
-    packed = spark.sparkContext.broadcast(np.packbits(flags))
-
-    keys = [c for c in texts.columns if c != text]
-    out = T.StructType(
-        [texts.schema[c] for c in keys]
-        + [
-            T.StructField("needle", T.StringType()),
-            T.StructField("last_line", T.LongType()),
-            T.StructField("last_code", T.StringType()),
-        ]
-    )
-
-    def candidates(group_key: str, body: str, marked: np.ndarray) -> dict[str, int]:
-        windows, seed, last = _Windows(body), _seed(group_key), {}
-        for length in lengths:
-            if length > windows.size:
-                break
-            for at in np.flatnonzero(marked[windows.slots(length, seed)]):
-                last[body[at : at + length]] = int(at)
-        return last
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marked = np.unpackbits(packed.value).astype(bool)
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                values = row._asdict()
-                body = values.pop(text)
-                if body is None:
-                    continue
-                for needle, at in candidates(values[group], body, marked).items():
-                    begin = body.rfind("\n", 0, at) + 1
-                    end = body.find("\n", at + len(needle))
-                    code = body[begin : end if end >= 0 else len(body)].strip(" ")
-                    rows.append((*values.values(), needle, body.count("\n", 0, at) + 1, code))
-            yield pd.DataFrame(rows, columns=[f.name for f in out])
-
-    found = texts.select(*keys, text).mapInPandas(scan, out)
-    return found.join(needles.select(group, "needle"), [group, "needle"])
+    head = F.substring(F.col(text), F.lit(1), F.length(text) - F.length(tail) - F.length("needle"))
+    line = (F.octet_length(head) - F.octet_length(F.replace(head, F.lit("\n"), F.lit("")))) + 1
+    code = F.concat(F.substring_index(head, "\n", -1), F.col("needle"), F.substring_index(tail, "\n", 1))
+    return {"last_line": line.cast("bigint"), "last_code": F.trim(code)}
 
 
 def contains_pairs(
-    texts: DataFrame,
-    needles: DataFrame,
-    text: str = "content",
-    group: str = "project_id",
-    strategy: str = "auto",
+    texts: DataFrame, needles: DataFrame, text: str = "content", group: str = "project_id", slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """(columns of ``texts`` but the text, needle, last_line, last_code) per hit.
 
     ``needles`` has ``group`` and ``needle``; other columns are dropped and equal
     rows merged, empty needles never match.  ``last_line``/``last_code`` locate
-    the last occurrence.  ``strategy`` may force 'broadcast' or 'hash'.
+    the last occurrence.  A null text or group has no hits.
     """
-    # read twice or more below, and often the result of scanning contents itself
-    needles = materialize(
-        needles.where(F.length("needle") > 0).select(group, "needle").distinct()
-    )
-    if strategy == "auto":
-        total, largest = (
-            needles.groupBy(group).count().agg(F.sum("count"), F.max("count")).first()
-        )
-        small = (total or 0) <= MAX_BROADCAST_NEEDLES and (largest or 0) <= MAX_NEEDLES_PER_GROUP
-        strategy = "broadcast" if small else "hash"
-    join = _by_broadcast if strategy == "broadcast" else _by_rolling_hash
-    return join(texts, needles, text, group)
+    # read several times below, and often the result of scanning contents itself
+    index = materialize(needle_index(needles, group))
+    size, starts = _measured(index, group)
+    slices = -(-size // slice_bytes)
+    grams = [_grams(F.col(text), length, first) for length, first in starts.items()]
+    grams = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
+    keyed = texts.withColumn("_key", F.explode(grams))
+
+    def hits(part: DataFrame) -> DataFrame:
+        part = part.select(F.col(group).alias("_group"), "needle", F.col("key").alias("_part_key"))
+        same = (F.col(group) == F.col("_group")) & (F.col("_key") == F.col("_part_key"))
+        joined = keyed.join(F.broadcast(part), same & F.col(text).contains(F.col("needle")))
+        return joined.withColumns(_last_mention(text)).drop(text, "_key", "_group", "_part_key")
+
+    slot = F.pmod(F.xxhash64(group, "key"), F.lit(max(1, slices)))
+    return reduce(DataFrame.union, [hits(index.where(slot == i)) for i in range(max(1, slices))])

@@ -290,21 +290,22 @@ def scanner_code_refs(
 def model_code_refs_merge(models: DataFrame, refs: DataFrame) -> DataFrame:
     """Attach each code reference to the first model (by path) whose name lies in
     the reference or whose path holds it; references without one become new
-    'Inferred' models, one per distinct reference."""
+    'Inferred' models, one per distinct reference.
+
+    Models of one name are reduced to the first path before they meet references, and the smallest
+    path of a reference is taken in the stage that finds it, so neither the
+    models of a popular name nor those of a popular path leave their task.
+    """
     wanted = refs.select("project_id", "ref").distinct()
-    by_name = contains_pairs(
-        wanted.withColumn("haystack", F.col("ref")),
-        models.select("project_id", F.col("name").alias("needle")),
-        text="haystack",
-    ).join(
-        models.select("project_id", F.col("name").alias("needle"), "path"),
-        ["project_id", "needle"],
+    names = models.groupBy("project_id", F.col("name").alias("needle")).agg(F.min("path").alias("path"))
+    by_name = contains_pairs(wanted.withColumn("haystack", F.col("ref")), names, text="haystack").join(
+        names, ["project_id", "needle"]
     ).select("project_id", "ref", "path")
     by_path = contains_pairs(
         models.select("project_id", "path", F.col("path").alias("haystack")),
         wanted.select("project_id", F.col("ref").alias("needle")),
         text="haystack",
-    ).select("project_id", F.col("needle").alias("ref"), "path")
+    ).groupBy("project_id", F.col("needle").alias("ref")).agg(F.min("path").alias("path"))
     first = by_name.unionByName(by_path).groupBy("project_id", "ref").agg(
         F.min("path").alias("model_path")
     )

@@ -122,20 +122,18 @@ def consumers_only(mentions: DataFrame) -> DataFrame:
     return mentions.where(paths.has_extension(F.col("name"), rules.CONSUMER_CODE))
 
 
-def model_mentions(
-    inventory: DataFrame, models: DataFrame, strategy: str = "auto"
-) -> DataFrame:
+def model_mentions(inventory: DataFrame, models: DataFrame) -> DataFrame:
     """(file, model name) for code that contains the name, with the last such line."""
     code = inventory.where(consumer_code()).select(
         "project_id", "dir", "path", "name", "extension", "ignored", "content"
     )
     return contains_pairs(
-        code, models.select("project_id", F.col("name").alias("needle")), strategy=strategy
+        code, models.select("project_id", F.col("name").alias("needle"))
     ).withColumnRenamed("needle", "model")
 
 
 def declared_consumers(
-    inventory: DataFrame, services: DataFrame, models: DataFrame, strategy: str = "auto"
+    inventory: DataFrame, services: DataFrame, models: DataFrame
 ) -> DataFrame:
     """(model, consumer): the service's README names the model without its suffix."""
     readmes = inventory.where(
@@ -154,7 +152,7 @@ def declared_consumers(
     stem = F.lower(F.replace(F.replace("name", F.lit(".pkl"), F.lit("")), F.lit(".h5"), F.lit("")))
     stems = models.select("project_id", F.col("name").alias("model"), stem.alias("needle")).distinct()
     named = (
-        contains_pairs(texts, stems, strategy=strategy)
+        contains_pairs(texts, stems)
         .select(
             "project_id", "needle",
             F.explode(F.array("beside", "in_docs")).alias("path"),
