@@ -78,27 +78,72 @@ def services_top_level(candidates: DataFrame) -> DataFrame:
     return candidates.join(nested, ["project_id", "path"], "left_anti")
 
 
+#: Groups into which the rows of a project's root owner are dealt.
+ROOT_SALTS = 64
+
+
+def owner_keys(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """``rows`` once for each directory that may own them, as (project_id, owner_path, owner_salt).
+
+    These are the directory and those above it.  The root stands above every row of a project, so it is
+    a key only where the project has an owner there, and then as one of ROOT_SALTS keys; whether it has
+    is a flag for each project, of which Spark sends out the list if it is small.
+    """
+    rooted = owners.where(F.col("path") == ".").select("project_id", F.lit(True).alias("_rooted"))
+    salt = (F.pmod(F.xxhash64(*rows.columns), F.lit(ROOT_SALTS)) + 1).cast("int")
+    above = F.filter(paths.ancestor_dirs("dir"), lambda d: d != ".")
+    keys = F.transform(above, lambda d: F.struct(d.alias("owner_path"), F.lit(0).alias("owner_salt")))
+    root = F.array(F.struct(F.lit(".").alias("owner_path"), salt.alias("owner_salt")))
+    return (
+        rows.join(rooted, "project_id", "left")
+        .select(*rows.columns, F.inline(F.when(F.col("_rooted"), F.concat(keys, root)).otherwise(keys)))
+    )
+
+
 def with_owners(rows: DataFrame, owners: DataFrame, *columns: str) -> DataFrame:
     """Attribute rows keyed (project_id, dir) to each owner directory above them.
 
-    ``owners`` needs (project_id, path) and the columns named.  The prefix test
-    becomes an equi-join on exploded ancestor directories, so callers should
+    ``owners`` needs (project_id, path), a row for each, and the columns named.  The prefix test
+    becomes an equi-join on the directories above, so callers should
     reduce ``rows`` per directory first.
     """
-    exploded = rows.withColumn("owner_path", F.explode(paths.ancestor_dirs("dir")))
-    return exploded.join(
-        owners.select("project_id", F.col("path").alias("owner_path"), *columns),
-        ["project_id", "owner_path"],
+    salts = F.when(F.col("path") == ".", F.sequence(F.lit(1), F.lit(ROOT_SALTS))).otherwise(F.array(F.lit(0)))
+    spread_owners = owners.select(
+        "project_id", F.col("path").alias("owner_path"), *columns, F.explode(salts).alias("owner_salt")
     )
+    return owner_keys(rows, owners).join(spread_owners, ["project_id", "owner_path", "owner_salt"]).drop("owner_salt")
+
+
+def files_below(files: DataFrame, owners: DataFrame, *columns: str) -> DataFrame:
+    """Every (owner, file) pair, as ``with_owners``, for listings of files that hold no content.
+
+    Owners are found for directories, of which there are fewer than files; files then join by directory.
+    """
+    owned = with_owners(files.select("project_id", "dir").distinct(), owners, *columns)
+    return files.join(owned, ["project_id", "dir"])
 
 
 def files_in_services(inventory: DataFrame, services: DataFrame) -> DataFrame:
     """Every (service, file) pair; a file of nested services appears once for each."""
-    owned = with_owners(
-        inventory.select("project_id", "dir", "path", "size"),
-        services.withColumnRenamed("name", "service"), "service",
+    files = inventory.select("project_id", "dir", "path", "size")
+    return files_below(files, services.withColumnRenamed("name", "service"), "service").select(
+        "project_id", "service", "owner_path", "path", "size"
     )
-    return owned.select("project_id", "service", "owner_path", "path", "size")
+
+
+def pipeline_files(
+    inventory: DataFrame, pipelines: DataFrame, code: list[str] = rules.PIPELINE_CODE
+) -> DataFrame:
+    """All code files of each pipeline, a row for each; ``detect_pipelines`` names the first few."""
+    files = inventory.where(paths.has_extension(F.col("name"), code)).select("project_id", "dir", "path")
+    return files_below(files, pipelines, "name").select(
+        "project_id", "name", F.col("owner_path").alias("path"),
+        relative_path(F.col("path"), F.col("owner_path")).alias("file"),
+    )
+
+
+def pipeline_files_scanner(inventory: DataFrame, pipelines: DataFrame) -> DataFrame:
+    return pipeline_files(inventory, pipelines, rules.SCANNER_PIPELINE_CODE)
 
 
 def relative_path(path: Column, owner: Column) -> Column:
@@ -116,8 +161,8 @@ def detect_pipelines(
 ) -> DataFrame:
     """Directories whose name, or a direct file's name, matches a pipeline glob.
 
-    ``stages`` counts code files anywhere below; ``files`` lists the first few by
-    path.  Directories without code files are dropped unless ``keep_empty``.
+    ``stages`` counts code files anywhere below; ``files`` names the first few by
+    path, as the definition has it, and :func:`pipeline_files` has them all.  Directories without code files are dropped unless ``keep_empty``.
     """
     per_dir = inventory.groupBy("project_id", "dir").agg(
         F.bool_or(paths.name_matches(F.lower("name"), globs)).alias("by_file"),

@@ -540,6 +540,7 @@ oracle("primary_language", """SELECT p.project_id, coalesce(b.language, 'Unknown
   LEFT JOIN (SELECT project_id, language, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, ord) AS rn FROM (
     SELECT project_id, language, count(*) AS n FROM lang1 GROUP BY ALL) JOIN lang1_order USING (language)) b
   ON b.project_id = p.project_id AND b.rn = 1""")
+oracle("language_hits", "SELECT project_id, path, language FROM lang3")
 oracle("language_stats", "SELECT project_id, language, count(*) AS files FROM lang3 GROUP BY ALL")
 TOP_SHARE = """SELECT project_id, language, files, total_files, round_even(files / total_files * 100, 1) AS percentage FROM (
   SELECT project_id, language, n AS files, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, ord) AS rn FROM (
@@ -624,6 +625,9 @@ oracle("detect_services_scanner", "SELECT project_id, name, path, language, indi
 oracle("files_in_services", "SELECT * FROM svc_files")
 oracle("detect_pipelines", "SELECT * FROM pipes")
 oracle("detect_pipelines_scanner", "SELECT * FROM pipes2")
+for name, found, code in (("pipeline_files", "pipes", rules.PIPELINE_CODE), ("pipeline_files_scanner", "pipes2", rules.SCANNER_PIPELINE_CODE)):
+    oracle(name, f"""SELECT p.project_id, p.name, p.path, CASE WHEN p.path = '.' THEN t.path ELSE substr(t.path, length(p.path) + 2) END AS file
+  FROM {found} p JOIN tree t ON t.project_id = p.project_id AND (p.path = '.' OR starts_with(t.path, p.path || '/')) AND {ends(code, 't.name')}""")
 oracle("pipeline_complexity", "SELECT project_id, name, path, stages, round(branching_factor, 6) AS branching_factor, round(stages * branching_factor, 6) AS complexity, is_complex FROM cplx")
 oracle("pipeline_complexity_scanner", """SELECT p.project_id, p.name, p.path, p.stages, round_even(1.0::DOUBLE
   + coalesce(sum(f.flow_words + f.defs * 2 + CAST(f.mentions_branching AS INTEGER) * 5), 0) / 10, 2) AS complexity

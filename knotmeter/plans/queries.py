@@ -104,6 +104,11 @@ def language_stats(spark, sf):
     return inventory.language_stats(listing(spark, sf))
 
 
+@query
+def language_hits(spark, sf):
+    return inventory.language_hits(listing(spark, sf))
+
+
 @query
 def primary_language_share(spark, sf):
     return inventory.primary_language_share(listing(spark, sf))
@@ -224,6 +229,18 @@ def detect_pipelines_scanner(spark, sf):
     return services.detect_pipelines_scanner(listing(spark, sf)).withColumn("files", joined("files"))
 
 
+@query
+def pipeline_files(spark, sf):
+    t = listing(spark, sf)
+    return services.pipeline_files(t, services.detect_pipelines(t))
+
+
+@query
+def pipeline_files_scanner(spark, sf):
+    t = listing(spark, sf)
+    return services.pipeline_files_scanner(t, services.detect_pipelines_scanner(t))
+
+
 @query
 def pipeline_complexity(spark, sf):
     t = tree(spark, sf)
