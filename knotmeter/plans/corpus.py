@@ -112,6 +112,26 @@ def files(spark: SparkSession, sf_dir: str, read_content: bool = True) -> DataFr
     )
 
 
+DOCUMENT_PATH = """
+CASE doc_id % 13
+  WHEN 0 THEN 'vendor/lib/f' || doc_id || '.py'
+  WHEN 1 THEN 'src/tests/t' || doc_id || '.py'
+  WHEN 2 THEN 'src/.env'  || doc_id || '/x.py'
+  WHEN 3 THEN '.hidden/_f' || doc_id || '.md'
+  WHEN 4 THEN 'data/f' || doc_id || '.pkl'
+  WHEN 5 THEN 'logs/f' || doc_id || '.log'
+  WHEN 6 THEN 'f' || doc_id
+  ELSE 'src/d' || doc_id % 7 || '/a b/f' || doc_id || '.txt'
+END
+"""
+
+
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document: hidden, ignored, binary and plain names; project = source."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return documents.selectExpr("source AS project_id", f"{DOCUMENT_PATH} AS path", "text AS content")
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spread(
         table(spark, sf_dir, "orders").select(

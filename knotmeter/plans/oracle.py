@@ -838,6 +838,10 @@ oracle("safe_filenames", """SELECT page_id, CASE WHEN length(s) > 255 THEN left(
   SELECT page_id, regexp_replace(url || ':' || regexp_replace(html, '[^A-Za-z ]', '', 'g') || '.html', '[<>:"/\\\\|?*]', '_', 'g') AS s FROM pages)""")
 oracle("fenced_json", """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN '{"turn": ' || turn || ', "role": "' || role || '"}' ELSE '{"turn": ' || turn || '}' END AS body,
   turn AS parsed_turn FROM conversations""")
+_PATH_IGNORED = q("(^|/)" + globs_regex(rules.IGNORE_GLOBS) + "(/|$)")
+oracle("scan_files", f"""SELECT project_id, path, octet_length(encode(text)) AS size,
+  CASE WHEN ends_with(path, '.pkl') THEN '' ELSE md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) END AS hash
+  FROM (SELECT source AS project_id, {corpus.DOCUMENT_PATH} AS path, text FROM documents) WHERE NOT regexp_matches(path, {_PATH_IGNORED})""")
 oracle("expand_archives", """SELECT 'd' || doc_id AS project_id, 'repo/doc_' || doc_id || '.txt' AS path, octet_length(encode(text)) AS size,
   'd' || doc_id || '.zip' AS archive, md5(text) AS hash FROM documents""")
 oracle("normalize_project_root", "SELECT project_id, path, size FROM files")

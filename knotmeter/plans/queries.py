@@ -17,8 +17,8 @@ from knotmeter.operators import (
     scores, services, smells,
 )
 from knotmeter.plans import corpus, tiers
-from knotmeter.session import materialize
-from knotmeter.sources import commit_log, files as file_sources, manifests, payloads
+from knotmeter.session import materialize, scratch_path
+from knotmeter.sources import commit_log, files as file_sources, manifests, payloads, tree as tree_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -933,6 +933,16 @@ def fenced_json(spark, sf):
     )
 
 
+@query
+def scan_files(spark, sf):
+    """The documents as files of a tree in the shared folder, scanned without what the inventory ignores."""
+    root = scratch_path(spark)
+    tree_source.write_files(corpus.document_tree(spark, sf), root)
+    return tree_source.scan_files(spark, root, rules.IGNORE_GLOBS).select(
+        "project_id", "path", "size", F.coalesce(F.md5("content"), F.lit("")).alias("hash")
+    )
+
+
 @query
 def expand_archives(spark, sf):
     """Each document zipped in its own archive, then expanded again."""

@@ -1,4 +1,4 @@
-"""Source trees and archives as a ``files`` relation."""
+"""Archives as a ``files`` relation, project roots and safe texts; trees are in ``tree``."""
 
 from __future__ import annotations
 
@@ -14,89 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotmeter import rules
-from knotmeter.session import materialize
-
-FILES_SCHEMA = (
-    "project_id string, path string, size bigint, created timestamp, modified timestamp, "
-    "accessed timestamp, content string"
-)
-TEXT_EXTENSIONS = {
-    ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go", ".rb", ".php", ".r", ".ipynb",
-    ".sql", ".sh", ".scala", ".json", ".txt", ".md", ".yml", ".yaml", ".xml", ".toml",
-    ".mod", ".cfg", ".ini", ".html", ".gradle",
-}
-_BATCH_BYTES = 32 * 1024 * 1024
-
-
-def is_text(name: str) -> bool:
-    ext = os.path.splitext(name)[1].lower()
-    return ext in TEXT_EXTENSIONS or ext == ""
-
+from knotmeter.sources.tree import decode, is_text
 
-def decode(data: bytes) -> str:
-    """UTF-8 without the undecodable bytes, newlines as '\\n'."""
-    return data.decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
+_BATCH_BYTES = 32 * 1024 * 1024
 
 
 def _stamp(seconds: float) -> datetime:
     return datetime.fromtimestamp(seconds, tz=timezone.utc).replace(tzinfo=None)
 
 
-def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for project, root, rel in zip(pdf["project_id"], pdf["root"], pdf["rel"]):
-            with os.scandir(os.path.join(root, rel)) as entries:
-                for e in entries:
-                    path = f"{rel}/{e.name}" if rel else e.name
-                    rows.append((project, root, path, e.is_dir(follow_symlinks=False)))
-        yield pd.DataFrame(rows, columns=["project_id", "root", "rel", "is_dir"])
-
-
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [f.split()[0] for f in FILES_SCHEMA.split(", ")]
-    for pdf in batches:
-        rows, held = [], 0
-        for project, root, rel in zip(pdf["project_id"], pdf["root"], pdf["rel"]):
-            full = os.path.join(root, rel)
-            stat, content = os.stat(full), None
-            if is_text(os.path.basename(rel)):
-                with open(full, "rb") as f:
-                    content = decode(f.read())
-                held += stat.st_size
-            times = map(_stamp, (stat.st_ctime, stat.st_mtime, stat.st_atime))
-            rows.append((project, rel, stat.st_size, *times, content))
-            if held > _BATCH_BYTES:
-                yield pd.DataFrame(rows, columns=columns)
-                rows, held = [], 0
-        yield pd.DataFrame(rows, columns=columns)
-
-
-def scan_files(roots: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Recursive listing of (project_id, root) directories on a shared file system.
-
-    Each directory level is listed by Spark tasks, so no listing passes through
-    the driver; reading is spread by path, so one large project splits too.
-    (``binaryFile`` would skip names that start with '_' or '.'.)
-    """
-    spark = roots.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism, 1)
-    level = roots.select("project_id", "root", F.lit("").alias("rel"))
-    found = None
-    while True:
-        listed = materialize(
-            level.repartition(n, "project_id", "rel").mapInPandas(
-                _list_level, "project_id string, root string, rel string, is_dir boolean"
-            )
-        )
-        files = listed.where(~F.col("is_dir")).drop("is_dir")
-        found = files if found is None else found.unionByName(files)
-        level = listed.where("is_dir").drop("is_dir")
-        if level.isEmpty():
-            break
-    return found.repartition(n, "project_id", "rel").mapInPandas(_read_files, FILES_SCHEMA)
-
-
 def _members(path: str, data: bytes) -> Iterator[tuple[str, int, datetime, bytes]]:
     if path.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:

@@ -9,18 +9,80 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotmeter.operators import mlops
-from knotmeter.sources import commit_log, files, payloads
-
-
-def test_scan_files_sees_hidden_and_underscored_names(spark, tmp_path):
-    (tmp_path / "pkg" / "deep").mkdir(parents=True)
-    (tmp_path / "pkg" / "__init__.py").write_text("x = 1\r\ny = 2\r")
-    (tmp_path / "pkg" / "deep" / ".hid").write_text("h")
-    (tmp_path / "m.pkl").write_bytes(b"\x80\x04")
-    roots = spark.createDataFrame([("p", str(tmp_path))], "project_id string, root string")
-    got = {r["path"]: (r["size"], r["content"]) for r in files.scan_files(roots).collect()}
-    assert got == {
-        "pkg/__init__.py": (13, "x = 1\ny = 2\n"), "pkg/deep/.hid": (1, "h"), "m.pkl": (2, None)}
+from knotmeter.sources import commit_log, files, payloads, tree
+
+
+def some_tree(top):
+    (top / "p" / "pkg" / "deep").mkdir(parents=True)
+    (top / "p" / "pkg" / "__init__.py").write_bytes(b"x = 1\r\ny = 2\r\xff")
+    (top / "p" / "pkg" / "deep" / ".hid").write_text("h")
+    (top / "p" / "m.pkl").write_bytes(b"\x80\x04")
+    (top / "p" / "loop").symlink_to(top / "p")
+    (top / "p" / "broken").symlink_to(top / "p" / "nothing")
+    (top / "q" / "node_modules" / "x").mkdir(parents=True)
+    (top / "q" / "node_modules" / "x" / "i.js").write_text("i")
+    (top / "q" / "é b").mkdir()
+    (top / "q" / "é b" / "run.log").write_text("l")
+    (top / "q" / "é b" / "a.py").write_text("a")
+    (top / "empty").mkdir()
+    (top / "loose.py").write_text("no project")
+
+
+TREE = {
+    ("p", "pkg/__init__.py"): (14, "x = 1\ny = 2\n"), ("p", "pkg/deep/.hid"): (1, "h"), ("p", "m.pkl"): (2, None),
+    ("q", "node_modules/x/i.js"): (1, "i"), ("q", "é b/run.log"): (1, None), ("q", "é b/a.py"): (1, "a"),
+}
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 3, 5, 100])
+@pytest.mark.parametrize("prefix", ["", "file:", "file://"])
+def test_scan_files(spark, tmp_path, partitions, prefix):
+    some_tree(tmp_path)
+    rows = tree.scan_files(spark, f"{prefix}{tmp_path}", partitions=partitions).collect()
+    assert len(rows) == len(TREE) and {(r["project_id"], r["path"]): (r["size"], r["content"]) for r in rows} == TREE
+    assert all(r["modified"] is not None and r["created"] is not None for r in rows)
+    kept = tree.scan_files(spark, f"{prefix}{tmp_path}", ["node_modules", "*.log"], contents=False, partitions=partitions).collect()
+    assert {(r["project_id"], r["path"], r["content"]) for r in kept} == {(*k, None) for k in list(TREE)[:3] + list(TREE)[5:]}
+
+
+def test_ignored_folders_are_not_opened(tmp_path, monkeypatch):
+    some_tree(tmp_path)
+    opened = []
+    children = tree._children
+    monkeypatch.setattr(tree, "_children", lambda system, folder: opened.append(folder) or children(system, folder))
+    for wanted in ("1", "50"):
+        reader = tree.TreeReader({"path": str(tmp_path), "ignore": '["node_modules"]', "partitions": wanted})
+        pieces = reader.partitions()
+        assert sum(b.num_rows for p in pieces for b in reader.read(p)) == 5
+    assert opened and not any("node_modules" in f or "loop" in f for f in opened)
+
+
+def test_a_large_folder_is_split(tmp_path, monkeypatch):
+    (tmp_path / "p").mkdir()
+    for i in range(50):
+        (tmp_path / "p" / f"f{i}.txt").write_text(str(i))
+    monkeypatch.setattr(tree, "_PIECE_FILES", 8)
+    reader = tree.TreeReader({"path": str(tmp_path), "partitions": "20"})
+    pieces = reader.partitions()
+    rows = [sorted(x for b in reader.read(p) for x in b.column("path").to_pylist()) for p in pieces]
+    assert len(pieces) == 7 and max(map(len, rows)) <= 8 and sorted(sum(rows, [])) == sorted(f"f{i}.txt" for i in range(50))
+
+
+def test_written_trees_come_back(spark, tmp_path):
+    rows = [("p", "a/b.py", "x\ny"), ("p", "_c", ""), ("q", "d.txt", None), ("q", "é/😀.md", "ü" * 10)]
+    files_ = spark.createDataFrame([(*r, 1) for r in rows], "project_id string, path string, content string, size int")
+    root = f"{tmp_path}/out"
+    for _ in range(2):  # writing again changes nothing
+        tree.write_files(files_, root)
+        got = {(r["project_id"], r["path"], r["content"]) for r in tree.scan_files(spark, root).collect()}
+        assert got == {(p, f, c or "") for p, f, c in rows}
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    assert tree.scan_files(spark, root).groupBy("project_id").count().count() == 2
+    for bad in (("p", "../x"), ("p", "/x"), ("a/b", "x"), (None, "x"), ("..", "x")):
+        with pytest.raises(Exception, match="not a place below"):
+            tree.write_files(spark.createDataFrame([(*bad, "t")], "project_id string, path string, content string"), root)
+    tree.write_files(files_.where("false"), f"{tmp_path}/none")
+    assert tree.scan_files(spark, f"{tmp_path}/none").collect() == []
 
 
 def archive_bytes(kind):
