@@ -829,6 +829,21 @@ oracle("bentoml_items", """SELECT DISTINCT 'bento' AS kind, event_type AS name,
   UNION ALL SELECT DISTINCT 'model', 'm-' || event_type, CAST(user_id AS VARCHAR) FROM events""")
 oracle("seldon_models", "SELECT 'd' || event_id AS deployment, event_type AS namespace, 'g' || user_id AS model, 'main' AS predictor FROM events")
 oracle("collection_manifest", "SELECT 'mlflow' AS platform, 'http://mlflow.example' AS endpoint, '2024-01-31T00:00:00' AS collection_time, 'out' AS target_path, * FROM mlc")
+COUNTS = {
+    "kubeflow": "count(DISTINCT user_id) AS pipelines, count(DISTINCT event_type) AS experiments",
+    "bentoml": "count(DISTINCT (event_type, user_id)) AS bentos, count(DISTINCT (event_type, user_id)) AS models",
+    "seldon": "count(DISTINCT event_id) AS deployments",
+}
+for platform, counts in COUNTS.items():
+    kinds = re.findall(r"AS (\w+)", counts)
+    oracle(f"{platform}_item_counts", " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS items FROM (SELECT {counts} FROM events)" for k in kinds))
+    oracle(f"{platform}_manifest", f"""SELECT '{platform}' AS platform, 'http://{platform}.example' AS endpoint,
+      '2024-01-31T00:00:00' AS collection_time, 'out' AS target_path, {counts} FROM events""")
+oracle("quarantined_payloads", """SELECT CASE kind WHEN 0 THEN '' WHEN 1 THEN left(payload, length(payload) - 1) ELSE '[1]' END AS payload,
+  CASE kind WHEN 0 THEN 'missing' WHEN 1 THEN 'not JSON' ELSE 'not an object' END AS reason FROM (
+  SELECT payload, length(payload) % 5 AS kind FROM (SELECT '{"pipelines":[{"id":"' || user_id || '","name":"p' || user_id || '"}],"experiments":[{"id":"'
+    || event_type || '","name":"x"}],"runs":[{"id":"' || event_id || '","pipeline_id":"' || user_id || '","name":"r"}]}' AS payload FROM events))
+  WHERE kind <= 2""")
 # --- text functions, archives, sinks
 README = "CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END"
 oracle("text_functions", f"""SELECT doc_id, {human('n_chars * n_chars * 37', 2, *LONG)} AS size_long, {human('n_chars * n_chars * 37', 1, *SHORT)} AS size_short,

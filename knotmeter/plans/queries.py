@@ -867,7 +867,37 @@ def mlflow_runs(spark, sf):
 
 @query
 def mlflow_item_counts(spark, sf):
-    return mlops.mlflow_item_counts(_payloads(spark, sf, MLFLOW_DOC))
+    return mlops.item_counts(_payloads(spark, sf, MLFLOW_DOC), "mlflow")
+
+
+@query
+def kubeflow_item_counts(spark, sf):
+    return mlops.item_counts(_payloads(spark, sf, KUBEFLOW_DOC), "kubeflow")
+
+
+@query
+def bentoml_item_counts(spark, sf):
+    return mlops.item_counts(_payloads(spark, sf, BENTOML_DOC), "bentoml")
+
+
+@query
+def seldon_item_counts(spark, sf):
+    return mlops.item_counts(_payloads(spark, sf, SELDON_DOC), "seldon")
+
+
+def _damaged(payloads: DataFrame) -> DataFrame:
+    """Some responses missing, some cut off, some no object."""
+    kind = F.length("payload") % 5
+    return payloads.select(
+        F.when(kind == 0, F.lit(None)).when(kind == 1, F.expr("left(payload, length(payload) - 1)")).when(kind == 2, F.lit("[1]"))
+        .when(kind == 3, F.lit('{"runs": 7, "items": {"a": {}}}')).otherwise(F.col("payload")).alias("payload")
+    )
+
+
+@query
+def quarantined_payloads(spark, sf):
+    found = mlops.quarantined(_damaged(_payloads(spark, sf, KUBEFLOW_DOC)))
+    return found.select(F.coalesce("payload", F.lit("")).alias("payload"), "reason")
 
 
 @query
@@ -880,18 +910,37 @@ def seldon_models(spark, sf):
     return mlops.seldon_models(_payloads(spark, sf, SELDON_DOC))
 
 
-@query
-def collection_manifest(spark, sf):
-    counts = mlops.mlflow_item_counts(_payloads(spark, sf, MLFLOW_DOC))
-    manifest = payloads.collection_manifest(
-        counts, "mlflow", "http://mlflow.example", "2024-01-31T00:00:00", "out"
+def _manifest(spark, sf, platform: str, template: str) -> DataFrame:
+    manifest = payloads.write_collection(
+        _payloads(spark, sf, template), platform, f"http://{platform}.example", "2024-01-31T00:00:00",
+        scratch_path(spark), "out",
     )
     return manifest.select(
         "platform", "endpoint", "collection_time", "target_path",
-        *[F.col("items_collected")[k].alias(k) for k in ("experiments", "runs", "models")],
+        *[F.col("items_collected")[k].alias(k) for k in mlops.COUNTED[platform]],
     )
 
 
+@query
+def collection_manifest(spark, sf):
+    return _manifest(spark, sf, "mlflow", MLFLOW_DOC)
+
+
+@query
+def kubeflow_manifest(spark, sf):
+    return _manifest(spark, sf, "kubeflow", KUBEFLOW_DOC)
+
+
+@query
+def bentoml_manifest(spark, sf):
+    return _manifest(spark, sf, "bentoml", BENTOML_DOC)
+
+
+@query
+def seldon_manifest(spark, sf):
+    return _manifest(spark, sf, "seldon", SELDON_DOC)
+
+
 # --- text functions, archives, sinks ------------------------------------------------------------------
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from knotmeter.operators import mlops
+
 REPOSITORY_SCHEMA = (
     "id bigint, full_name string, description string, html_url string, clone_url string, "
     "stargazers_count bigint, forks_count bigint, language string, default_branch string, "
@@ -12,6 +14,11 @@ REPOSITORY_SCHEMA = (
     "languages map<string,bigint>, updated_at string"
 )
 
+MANIFEST_SCHEMA = (
+    "platform string, endpoint string, collection_time string, items_collected map<string,bigint>, "
+    "quarantined bigint, target_path string"
+)
+
 
 def repositories_from_json(raw: DataFrame) -> DataFrame:
     """Typed repository records from a ``value`` column of JSON text."""
@@ -59,20 +66,20 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").parquet(path)
 
 
-def collection_manifest(
-    counts: DataFrame, platform: str, endpoint: str, collected_at: str, target: str
+def write_collection(
+    payloads: DataFrame, platform: str, endpoint: str, collected_at: str, folder: str, target: str | None = None
 ) -> DataFrame:
-    """One row describing a collection: platform, endpoint, time, item counts."""
-    return counts.groupBy().agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "items")))).alias(
-            "items_collected"
-        )
-    ).select(
-        F.lit(platform).alias("platform"), F.lit(endpoint).alias("endpoint"),
-        F.lit(collected_at).alias("collection_time"), "items_collected",
-        F.lit(target).alias("target_path"),
-    )
-
-
-def write_collection_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.write.mode("overwrite").json(path)
+    """Write the items of exported payloads below ``folder``, a folder for each kind, and give back the manifest.
+
+    The manifest is one row: platform, endpoint, time, number of items by kind, payloads in quarantine, target.  Its counts are
+    observed in the pass that writes, so the payloads are read once.
+    """
+    seen = Observation()
+    items = mlops.collected_items(payloads, platform).observe(seen, *mlops.counted_items(platform))
+    items.write.partitionBy("kind").parquet(f"{folder}/items")
+    counts = {k: int(v) for k, v in seen.get.items()}
+    bad = counts.pop("quarantined")
+    row = (platform, endpoint, collected_at, counts, bad, target or folder)
+    manifest = payloads.sparkSession.createDataFrame([row], MANIFEST_SCHEMA)
+    manifest.coalesce(1).write.json(f"{folder}/manifest")
+    return manifest

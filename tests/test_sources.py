@@ -165,9 +165,51 @@ def test_seldon_and_manifest(spark, tmp_path):
     (tmp_path / "seldon.json").write_text(json.dumps(doc, indent=1))
     models = mlops.seldon_models(payloads.read_payloads(spark, str(tmp_path / "seldon.json")))
     assert [tuple(r) for r in models.collect()] == [("d", "n", "g", "p1")]
-    counts = mlops.item_counts({"models": models})
-    manifest = payloads.collection_manifest(counts, "seldon", "http://x", "2024-01-01", "t").first()
-    assert manifest["items_collected"] == {"models": 1}
+    exported = payloads.read_payloads(spark, str(tmp_path / "seldon.json"))
+    manifest = payloads.write_collection(exported, "seldon", "http://x", "2024-01-01", str(tmp_path / "t")).first()
+    assert manifest["items_collected"] == {"deployments": 1} and manifest["quarantined"] == 0
+
+
+BAD = [None, "", "{", '{"items": [}', "[1]", "7", "null", '{"a": 1, "a": 2}']
+
+
+def test_payloads_that_do_not_parse_are_kept_apart(spark, tmp_path):
+    good = [
+        '{"bentos": [{"name": "b", "version": 1}, {"name": "b", "version": "1"}, {"name": "b"}]}', '{"bentos": null, "models": {"name": "m"}}',
+        '{"bentos": [], "models": [{"name": "m", "version": "2"}, {"x": 1}, 3, null]}', "{}", '{"bentos": "none"}',
+    ]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(good + BAD + BAD[:2])], "payload string, kind int")
+    found = mlops.quarantined(df).collect()
+    assert sorted(map(str, (r["payload"] for r in found))) == sorted(map(str, BAD + BAD[:2]))
+    assert {r["payload"]: r["reason"] for r in found} == {
+        None: "missing", **dict.fromkeys(["", "{", '{"items": [}', '{"a": 1, "a": 2}'], "not JSON"), **dict.fromkeys(["[1]", "7", "null"], "not an object")}
+    assert {tuple(r) for r in mlops.bentoml_items(df).collect()} == {
+        ("bento", "b", "1"), ("bento", "b", None), ("model", "m", "2"), ("model", None, None)}
+    assert {tuple(r) for r in mlops.item_counts(df, "bentoml").collect()} == {("bentos", 2), ("models", 2)}
+    assert {tuple(r) for r in mlops.item_counts(df.where("false"), "mlflow").collect()} == {("experiments", 0), ("runs", 0), ("models", 0)}
+    manifest = payloads.write_collection(df, "bentoml", "http://x", "t", str(tmp_path / "c")).first()
+    assert manifest["items_collected"] == {"bentos": 2, "models": 2} and manifest["quarantined"] == len(BAD) + 2
+    items = spark.read.parquet(str(tmp_path / "c" / "items"))
+    assert {(r["kind"], r["copies"]) for r in items.where("kind = 'quarantine'").collect()} == {("quarantine", 1), ("quarantine", 2)}
+    assert {r["value"] for r in items.where("kind = 'models'").collect()} == {'{"name":"m","version":"2"}', '{"x":1}'}
+    assert spark.read.json(str(tmp_path / "c" / "manifest")).first()["quarantined"] == len(BAD) + 2
+
+
+def test_a_collection_reads_its_source_once(spark, tmp_path):
+    spark.createDataFrame([('{"items": [{"metadata": {"name": "d%d", "namespace": "n"}}]}' % i,) for i in range(40)], "payload string").write.parquet(
+        str(tmp_path / "in"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    source = spark.read.parquet(str(tmp_path / "in")).mapInArrow(counted, "payload string")
+    manifest = payloads.write_collection(source, "seldon", "http://x", "t", str(tmp_path / "out")).first()
+    assert manifest["items_collected"] == {"deployments": 40} and reads.value == 40
+    for df in (mlops.kubeflow_items(source), mlops.collected_items(source, "mlflow")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
 
 
 def test_result_sinks(spark, tmp_path):
