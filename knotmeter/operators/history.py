@@ -114,19 +114,30 @@ def churn_by_service(changes: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def churn_lines(commits: DataFrame, commit_files: DataFrame, as_of: str, days: int = 180) -> DataFrame:
-    """Added and deleted lines and commits by file, author, date, and in total."""
+    """Added and deleted lines and commits by file, author, date, and in total.
+
+    Grouping sets of one joined relation: by file, and by commit, from which the other levels follow.
+    """
     recent = commits.where(F.col("committed_at") >= since(as_of, days=days)).select(
         "project_id", "commit_id", "author", F.to_date("committed_at").cast("string").alias("date")
     )
-    keys = F.array(*[
-        F.struct(F.lit(level).alias("level"), key.alias("key"))
-        for level, key in (("file", F.col("path")), ("author", F.col("author")), ("date", F.col("date")), ("total", F.lit("all")))
-    ])
-    rows = commit_files.join(recent, ["project_id", "commit_id"]).withColumn("at", F.explode(keys))
+    rows = commit_files.join(recent, ["project_id", "commit_id"])
     sums = [F.sum("added").alias("added"), F.sum("deleted").alias("deleted")]
-    # one row per commit first, so that counting rows counts commits; the join leaves a commit in one task
-    per_commit = rows.groupBy("project_id", F.col("at.level").alias("level"), F.col("at.key").alias("key"), "commit_id").agg(*sums)
-    out = per_commit.groupBy("project_id", "level", "key").agg(*sums, F.count("*").alias("commits"))
+    # a path stands once in a commit, so rows count the commits of a file; those of a commit become one first
+    parts = rows.groupingSets(
+        [["project_id", "path"], ["project_id", "commit_id", "author", "date"]],
+        "project_id", "path", "commit_id", "author", "date",
+    ).agg(*sums, F.count("*").alias("rows"), F.grouping("path").alias("of_commit"))
+
+    def at(level: str, key: Column, commits: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), key.alias("key"), commits.alias("commits"))
+
+    one = F.lit(1).cast("bigint")
+    of_commit = F.array(at("author", F.col("author"), one), at("date", F.col("date"), one), at("total", F.lit("all"), one))
+    of_file = F.array(at("file", F.col("path"), F.col("rows")))
+    out = parts.select(
+        "project_id", "added", "deleted", F.inline(F.when(F.col("of_commit") == 1, of_commit).otherwise(of_file))
+    ).groupBy("project_id", "level", "key").agg(*sums, F.sum("commits").alias("commits"))
     return out.select("project_id", "key", "added", "deleted", "commits", "level")
 
 
