@@ -158,11 +158,13 @@ def detect_pipelines(
     code: list[str] = rules.PIPELINE_CODE,
     keep_empty: bool = False,
     max_files: int = 10,
+    list_files: bool = True,
 ) -> DataFrame:
     """Directories whose name, or a direct file's name, matches a pipeline glob.
 
     ``stages`` counts code files anywhere below; ``files`` names the first few by
-    path, as the definition has it, and :func:`pipeline_files` has them all.  Directories without code files are dropped unless ``keep_empty``.
+    path, as the definition has it, and :func:`pipeline_files` has them all; without ``list_files`` the column is left out.  Directories without
+    code files are dropped unless ``keep_empty``.
     """
     per_dir = inventory.groupBy("project_id", "dir").agg(
         F.bool_or(paths.name_matches(F.lower("name"), globs)).alias("by_file"),
@@ -182,6 +184,12 @@ def detect_pipelines(
         .groupBy("project_id", F.col("owner_path").alias("path"))
         .agg(F.sum("code_files").alias("stages"))
     )
+    joined = candidates.join(stages, ["project_id", "path"], "left" if keep_empty else "inner")
+    found = [
+        "project_id", own_name.alias("name"), "path", F.coalesce("stages", F.lit(0)).cast("bigint").alias("stages"),
+    ]
+    if not list_files:
+        return joined.select(*found)
     # only the first files of a directory can be among the first of a pipeline
     in_dir = Window.partitionBy("project_id", "dir").orderBy("path")
     in_pipeline = Window.partitionBy("project_id", "owner_path").orderBy("path")
@@ -198,13 +206,8 @@ def detect_pipelines(
         .groupBy("project_id", F.col("owner_path").alias("path"))
         .agg(F.array_sort(F.collect_list("path")).alias("files"))
     )
-    joined = candidates.join(stages, ["project_id", "path"], "left" if keep_empty else "inner")
     return joined.join(listed, ["project_id", "path"], "left").select(
-        "project_id",
-        own_name.alias("name"),
-        "path",
-        F.coalesce("stages", F.lit(0)).cast("bigint").alias("stages"),
-        F.coalesce("files", F.array().cast("array<string>")).alias("files"),
+        *found, F.coalesce("files", F.array().cast("array<string>")).alias("files")
     )
 
 

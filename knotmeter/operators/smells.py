@@ -16,6 +16,30 @@ def _named(services: DataFrame) -> DataFrame:
     return services.withColumnRenamed("name", "service")
 
 
+def _is_loop() -> Column:
+    stores = F.col("has_prediction") & F.col("has_storage")
+    return F.col("is_python") & (stores | (F.col("is_training") & F.col("has_db_read")))
+
+
+def service_facts(features: DataFrame, services: DataFrame) -> DataFrame:
+    """Hits, lines and loops below each service that has any: one pass of all files up to their owners.
+
+    What the whole-project figures need of :func:`direct_model_calls`, :func:`glue_code_by_service` and
+    :func:`feedback_loop_counts` at once.
+    """
+    numbers = ["loading_hits", "prediction_hits", "glue_lines", "total_lines", "loops"]
+    per_dir = (
+        features.withColumns({"total_lines": F.col("code_lines"), "loops": _is_loop().cast("bigint")})
+        .groupBy("project_id", "dir").agg(*[F.sum(n).alias(n) for n in numbers])
+        .where(F.greatest(*numbers) > 0)
+    )
+    return (
+        with_owners(per_dir, _named(services), "service")
+        .groupBy("project_id", "service", F.col("owner_path").alias("path"))
+        .agg(*[F.sum(n).alias(n) for n in numbers])
+    )
+
+
 def direct_model_calls(features: DataFrame, services: DataFrame) -> DataFrame:
     """Loading and prediction hits per service that has any."""
     per_dir = features.groupBy("project_id", "dir").agg(
@@ -192,6 +216,15 @@ def hidden_consumers(actual: DataFrame, declared: DataFrame) -> DataFrame:
     )
 
 
+def impact_of_consumers(actual: DataFrame, models: DataFrame) -> DataFrame:
+    """:func:`impact_radius` from the consumers that :func:`actual_consumers` has found."""
+    used = actual.groupBy("project_id", "model").agg(F.count("*").alias("services"))
+    names = models.select("project_id", F.col("name").alias("model")).distinct()
+    return names.join(used, ["project_id", "model"], "left").select(
+        "project_id", "model", F.coalesce("services", F.lit(0)).cast("bigint").alias("impact_radius")
+    )
+
+
 def impact_radius(mentions: DataFrame, services: DataFrame, models: DataFrame) -> DataFrame:
     """Distinct service names whose code mentions each model name; 0 if none."""
     per_dir = consumers_only(mentions).select("project_id", "dir", "model").distinct()
@@ -217,10 +250,7 @@ def retrain_events(features: DataFrame) -> DataFrame:
 
 def feedback_loops(features: DataFrame, services: DataFrame) -> DataFrame:
     """Python files that store predictions or train on stored data, per service."""
-    loop = (F.col("has_prediction") & F.col("has_storage")) | (
-        F.col("is_training") & F.col("has_db_read")
-    )
-    files = features.where(F.col("is_python") & loop).select(
+    files = features.where(_is_loop()).select(
         "project_id", "dir", "path",
         F.when(F.col("has_prediction"), F.lit("prediction_to_storage"))
         .otherwise(F.lit("training_from_prod")).alias("type"),
@@ -233,11 +263,8 @@ def feedback_loops(features: DataFrame, services: DataFrame) -> DataFrame:
 
 def feedback_loop_counts(features: DataFrame, services: DataFrame) -> DataFrame:
     """Loops per service without listing the files (reduced per directory first)."""
-    loop = (F.col("has_prediction") & F.col("has_storage")) | (
-        F.col("is_training") & F.col("has_db_read")
-    )
     per_dir = (
-        features.where(F.col("is_python") & loop)
+        features.where(_is_loop())
         .groupBy("project_id", "dir").agg(F.count("*").alias("loops"))
     )
     return (

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotmeter import rules
@@ -42,7 +42,16 @@ class Facts:
 
     @cached_property
     def pipelines(self) -> DataFrame:
-        return services.detect_pipelines(self.inventory)
+        # the stored features have the names of all files, and no content
+        return materialize(services.detect_pipelines(self.features, list_files=False))
+
+    @cached_property
+    def service_facts(self) -> DataFrame:
+        return materialize(smells.service_facts(self.features, self.services))
+
+    @cached_property
+    def consumers(self) -> DataFrame:
+        return materialize(smells.actual_consumers(self.mentions, self.services))
 
     @cached_property
     def endpoints(self) -> DataFrame:
@@ -116,46 +125,54 @@ def tier2(facts: Facts) -> DataFrame:
     )
 
 
-def tier3(facts: Facts) -> DataFrame:
-    """All smells, one row per project that has a service."""
-    calls = smells.direct_model_calls(facts.features, facts.services)
-    glue = smells.glue_code_ratio(smells.glue_code_by_service(facts.features, facts.services))
-    actual = smells.actual_consumers(facts.mentions, facts.services)
-    hidden = smells.hidden_consumers(actual, facts.declared)
+#: What is added up for a project.
+SUMS = [
+    "services_count", "direct_count", "glue_lines", "total_lines", "loops_count", "hidden_count", "complex_pipelines",
+    "retrain_count", "shared_count", "impact", "model_names", "models_count", "pipelines_count",
+]
+
+
+def _project_sums(facts: Facts) -> DataFrame:
+    """All SUMS of the projects that have a service: the rows of every measure in one relation, grouped once."""
+    one = F.lit(1)
+
+    def part(rows: DataFrame, **measures: Column) -> DataFrame:
+        return rows.select("project_id", *[measures.get(n, F.lit(0)).cast("bigint").alias(n) for n in SUMS])
+
+    hit = F.col("loading_hits") + F.col("prediction_hits") > 0
     complexity = services.pipeline_complexity(facts.pipelines, facts.features)
-    loops = smells.feedback_loop_counts(facts.features, facts.services)
-    impact = smells.impact_radius(facts.mentions, facts.services, facts.models)
     parts = [
-        glue.select("project_id", "glue_ratio"),
-        _counts(hidden, "hidden_count"),
-        complexity.groupBy("project_id").agg(F.count_if("is_complex").alias("complex_pipelines")),
-        _counts(smells.retrain_events(facts.features), "retrain_count"),
-        loops.groupBy("project_id").agg(F.sum("loops").alias("loops_count")),
-        _counts(smells.shared_features(facts.features, facts.services), "shared_count"),
-        impact.groupBy("project_id").agg(F.avg("impact_radius").alias("avg_impact")),
-    ]
-    out = smells.direct_model_call_summary(calls, facts.services)
-    for part in parts:
-        out = out.join(part, "project_id", "left")
-    numbers = [
-        "glue_ratio", "hidden_count", "complex_pipelines", "retrain_count", "loops_count",
-        "shared_count", "avg_impact",
+        part(facts.services, services_count=one),
+        part(
+            facts.service_facts, direct_count=hit.cast("bigint"), glue_lines=F.col("glue_lines"),
+            total_lines=F.col("total_lines"), loops_count=F.col("loops"),
+        ),
+        part(smells.hidden_consumers(facts.consumers, facts.declared), hidden_count=one),
+        part(facts.consumers, impact=one),
+        part(complexity, pipelines_count=one, complex_pipelines=F.col("is_complex").cast("bigint")),
+        part(smells.retrain_events(facts.features), retrain_count=one),
+        part(smells.shared_features(facts.features, facts.services), shared_count=one),
+        part(facts.models.select("project_id", "name").distinct(), model_names=one),
+        part(facts.models, models_count=one),
     ]
-    return out.fillna(0, numbers).withColumn(
-        "loop_strength", F.col("loops_count") / F.col("services_count")
-    )
+    sums = [F.sum(n).alias(n) for n in SUMS]
+    return reduce(DataFrame.unionByName, parts).groupBy("project_id").agg(*sums).where("services_count > 0")
+
+
+def tier3(facts: Facts) -> DataFrame:
+    """All smells, one row per project that has a service."""
+    none = F.lit(0.0)
+    return _project_sums(facts).withColumns({
+        "direct_ratio": F.col("direct_count") / F.col("services_count"),
+        "glue_ratio": F.coalesce(F.try_divide("glue_lines", "total_lines"), none),
+        "avg_impact": F.coalesce(F.try_divide("impact", "model_names"), none),
+        "loop_strength": F.col("loops_count") / F.col("services_count"),
+    }).drop("glue_lines", "total_lines", "impact", "model_names")
 
 
 def tier4(facts: Facts, smell_rows: DataFrame | None = None) -> DataFrame:
     """Model entanglement score per project."""
-    rows = smell_rows if smell_rows is not None else tier3(facts)
-    sizes = (
-        facts.services.select("project_id").distinct()
-        .join(_counts(facts.models, "models_count"), "project_id", "left")
-        .join(_counts(facts.pipelines, "pipelines_count"), "project_id", "left")
-        .fillna(0)
-    )
-    return scores.score_mes(rows.join(sizes, "project_id"))
+    return scores.score_mes(smell_rows if smell_rows is not None else tier3(facts))
 
 
 def tier5(
@@ -211,22 +228,17 @@ def tier5(
 def service_profile(facts: Facts, ml_libraries: DataFrame | None = None) -> DataFrame:
     """Per service the inputs of the isolation and violation scores."""
     key = ["project_id", "path"]
-    impact = smells.impact_radius(facts.mentions, facts.services, facts.models)
+    impact = smells.impact_of_consumers(facts.consumers, facts.models)
     average = impact.groupBy("project_id").agg(F.avg("impact_radius").alias("avg_impact"))
     # these three are known by service name; of equal names the last path counts
-    by_name = ["project_id", F.col("service").alias("name")]
-    direct = smells.direct_model_calls(facts.features, facts.services).groupBy(*by_name).agg(
-        F.lit(True).alias("is_direct")
-    )
-    glue = smells.glue_code_by_service(facts.features, facts.services).groupBy(*by_name).agg(
-        F.max_by("ratio", "path").alias("glue_ratio")
-    )
-    loops = smells.feedback_loop_counts(facts.features, facts.services).groupBy(*by_name).agg(
-        F.lit(True).alias("in_loop")
+    named = facts.service_facts.withColumnRenamed("service", "name")
+    of_service = named.groupBy("project_id", "name").agg(
+        F.when(F.bool_or(F.col("loading_hits") + F.col("prediction_hits") > 0), True).alias("is_direct"),
+        F.max_by(F.try_divide("glue_lines", "total_lines"), F.when(F.col("total_lines") > 0, F.col("path"))).alias("glue_ratio"),
+        F.when(F.bool_or(F.col("loops") > 0), True).alias("in_loop"),
     )
     rows = endpoints.endpoint_counts(facts.endpoints, facts.services)
-    for part in (direct, glue, loops):
-        rows = rows.join(part, ["project_id", "name"], "left")
+    rows = rows.join(of_service, ["project_id", "name"], "left")
     rows = rows.join(average, "project_id", "left")
     if ml_libraries is None:
         rows = rows.withColumn("ml_libraries", F.array().cast("array<string>"))
