@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,13 @@ class Facts:
         self.inventory = inventory.file_inventory(files)
         self.glue_mode = glue_mode
 
+    def prepare(self) -> None:
+        """Store what the smells start from. Relations that do not need each other are written side by side,
+        so that the short ones do not wait for the scan of the contents."""
+        with ThreadPoolExecutor(4) as pool:
+            for names in (("features", "services", "models"), ("pipelines", "service_facts", "consumers", "declared")):
+                list(pool.map(lambda name: getattr(self, name), names))
+
     @cached_property
     def features(self) -> DataFrame:
         return materialize(features.file_features(self.inventory, self.glue_mode))
@@ -94,7 +102,7 @@ class Facts:
 
     @cached_property
     def declared(self) -> DataFrame:
-        return smells.declared_consumers(self.inventory, self.services, self.models)
+        return materialize(smells.declared_consumers(self.inventory, self.services, self.models))
 
 
 def _counts(df: DataFrame, name: str) -> DataFrame:
@@ -134,6 +142,7 @@ SUMS = [
 
 def _project_sums(facts: Facts) -> DataFrame:
     """All SUMS of the projects that have a service: the rows of every measure in one relation, grouped once."""
+    facts.prepare()
     one = F.lit(1)
 
     def part(rows: DataFrame, **measures: Column) -> DataFrame:
