@@ -12,6 +12,7 @@ import re
 from knotmeter import rules
 from knotmeter.functions.matching import literal_of
 from knotmeter.functions.paths import globs_regex
+from knotmeter.operators import significance
 from knotmeter.plans import corpus, queries
 
 ORACLES: dict[str, str] = {}
@@ -904,6 +905,22 @@ oracle("smell_radar", " UNION ALL ".join(
 oracle("degradation_ratio", "SELECT project_id, avg_isolated_mes, avg_non_isolated_mes, degradation_ratio, hypothesis_confirmed FROM valid")
 oracle("mes_correlations", """SELECT project_id, mes_churn, mes_bug, mes_impact, combined, 0.05::DOUBLE AS p_value_degradation, 0.03::DOUBLE AS p_value_correlations,
   0.95::DOUBLE AS confidence_level, services_count AS sample_size, true AS is_significant, accuracy_rate FROM valid""")
+# twice the mean rank of each value, less the mean of all
+_RANKS = ", ".join(
+    f"2 * rank() OVER (ORDER BY {m}) + count(*) OVER (PARTITION BY {m}) - 1 - (count(*) OVER () + 1) AS {m}" for m in [significance.FIRST, *significance.OTHERS]
+)
+CTES["fleet"] = f"SELECT row_number() OVER (ORDER BY project_id) - 1 AS j, count(*) OVER () AS n, {_RANKS} FROM valid"
+CTES["fleet_rho"] = " UNION ALL ".join(
+    f"SELECT '{m}' AS measure, max(n) AS projects, corr({significance.FIRST}, {m}) AS rho, sum({significance.FIRST} * {m}) AS product FROM fleet" for m in significance.OTHERS
+)
+oracle("rank_correlations", "SELECT measure, projects, round(rho, 6) AS rho FROM fleet_rho")
+_MAPS = values([(i, a, c) for i, (a, c) in enumerate(significance.shuffles(significance.PERMUTATIONS, significance.SEED))])
+CTES["fleet_drawn"] = " UNION ALL ".join(
+    f"""SELECT '{m}' AS measure, i, sum(x.{significance.FIRST} * y.{m}) AS drawn FROM fleet x, {_MAPS} maps(i, a, c), fleet y
+    WHERE y.j = (CAST(a AS HUGEINT) * x.j + c) % x.n GROUP BY i""" for m in significance.OTHERS
+)
+oracle("permutation_p_values", f"""SELECT measure, projects, round(rho, 6) AS rho, (count(*) FILTER (WHERE abs(drawn) >= abs(product)) + 1) / {significance.PERMUTATIONS + 1}::DOUBLE AS p_value
+  FROM fleet_rho JOIN fleet_drawn USING (measure) GROUP BY measure, projects, rho""")
 ONE = "printf('%.1f', round_even({}, 1))"
 oracle("validation_interpretation", f"""SELECT project_id, CASE WHEN hypothesis_confirmed THEN '✓ HYPOTHESIS CONFIRMED: Systems with proper AI isolation show ' || degradation_ratio
     || 'x slower degradation, exceeding the 3x threshold.' ELSE '⚠ HYPOTHESIS NOT FULLY CONFIRMED: The degradation ratio of ' || degradation_ratio

@@ -14,7 +14,7 @@ from knotmeter import rules
 from knotmeter.functions import text
 from knotmeter.operators import (
     endpoints, features, frameworks, history, inventory, mlops, models, reports, repositories,
-    scores, services, smells,
+    scores, services, significance, smells,
 )
 from knotmeter.plans import corpus, tiers
 from knotmeter.session import materialize, scratch_path
@@ -1104,6 +1104,16 @@ def mes_correlations(spark, sf):
     )
 
 
+@query
+def rank_correlations(spark, sf):
+    return significance.rank_correlations(validated(spark, sf)).withColumn("rho", r6("rho"))
+
+
+@query
+def permutation_p_values(spark, sf):
+    return significance.permutation_p_values(validated(spark, sf)).withColumn("rho", r6("rho"))
+
+
 @query
 def validation_interpretation(spark, sf):
     return validated(spark, sf).select("project_id", "interpretation")
