@@ -860,6 +860,8 @@ oracle("scan_files", f"""SELECT project_id, path, octet_length(encode(text)) AS
   FROM (SELECT source AS project_id, {corpus.DOCUMENT_PATH} AS path, text FROM documents) WHERE NOT regexp_matches(path, {_PATH_IGNORED})""")
 oracle("expand_archives", """SELECT 'd' || doc_id AS project_id, 'repo/doc_' || doc_id || '.txt' AS path, octet_length(encode(text)) AS size,
   'd' || doc_id || '.zip' AS archive, md5(text) AS hash FROM documents""")
+oracle("normalize_project_root_scanner", """SELECT project_id, CASE WHEN length(project_id) % 2 = 0 THEN '' ELSE 'main/' END
+  || CASE WHEN path <> 'requirements.txt' THEN path WHEN length(project_id) % 2 = 0 THEN 'Dockerfile' ELSE 'setup.cfg' END AS path, size FROM files""")
 oracle("normalize_project_root", "SELECT project_id, path, size FROM files")
 oracle("read_text_safely", """SELECT project_id, path, coalesce(length(content), -1) AS chars,
   '' AS error FROM files""")
@@ -967,6 +969,14 @@ oracle("architecture_proposal", """SELECT project_id, CASE WHEN mes_score > 7 TH
   CASE WHEN mes_score > 0 THEN round_even(least(5.0::DOUBLE, mes_score * 0.6::DOUBLE), 1) ELSE 3.0::DOUBLE END AS expected_mes_reduction FROM mes""")
 oracle("proposed_services", """SELECT project_id, string_agg(name, '|' ORDER BY rn) AS names, string_agg(language, '|' ORDER BY rn) AS languages FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY name, path) AS rn FROM svc) WHERE rn <= 5 GROUP BY project_id""")
+CTES["first_svc"] = """SELECT project_id, string_agg(name, '|' ORDER BY rn) AS names, string_agg(language, '|' ORDER BY rn) AS languages FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY name, path) AS rn FROM svc) WHERE rn <= 5 GROUP BY project_id"""
+oracle("proposed_architecture", """SELECT project_id, CASE WHEN mes_score > 7 THEN 'Full Isolation Architecture' WHEN mes_score > 4 THEN 'Gradual Decoupling Architecture'
+    ELSE 'Well-Integrated Architecture' END AS architecture_name,
+  concat_ws('|', 'API Gateway', names, CASE WHEN models_count > 0 THEN 'Model Serving Layer' END, CASE WHEN glue_ratio > 0.2::DOUBLE THEN 'Feature Store' END, 'Observability Stack') AS components,
+  concat_ws('|', 'Kong|NGINX|Traefik', languages, CASE WHEN models_count > 0 THEN 'BentoML|Seldon Core|KServe' END,
+    CASE WHEN glue_ratio > 0.2::DOUBLE THEN 'Feast|Tecton|Hopsworks' END, 'Prometheus|Grafana|Jaeger') AS technologies
+  FROM project_mes LEFT JOIN first_svc USING (project_id)""")
 INSIGHTS = [
     ("direct_count > 0", "'Architectural Smell: Direct Model Coupling'", "'Detection of ' || direct_count || ' services with direct model dependencies'",
      "'High - Each model change requires coordinated updates across multiple services'", "'Implement dedicated model serving layer with versioned APIs'"),

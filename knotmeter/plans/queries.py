@@ -1022,6 +1022,16 @@ def normalize_project_root(spark, sf):
     return file_sources.normalize_project_root(raw).select("project_id", "path", "size")
 
 
+@query
+def normalize_project_root_scanner(spark, sf):
+    """Trees below one directory, whose only marker is a Dockerfile, in projects with names of even length."""
+    requirements = F.when(F.length("project_id") % 2 == 0, "main/Dockerfile").otherwise("main/setup.cfg")
+    raw = corpus.files(spark, sf, False).withColumn("path", F.concat(F.lit("main/"), "path")).withColumn(
+        "path", F.when(F.col("path") == "main/requirements.txt", requirements).otherwise(F.col("path"))
+    )
+    return file_sources.normalize_project_root(raw, rules.SCANNER_ROOT_MARKERS).select("project_id", "path", "size")
+
+
 @query
 def read_text_safely(spark, sf):
     grown = corpus.files(spark, sf).withColumn("size", F.col("size") * 8192)
@@ -1166,6 +1176,17 @@ def architecture_proposal(spark, sf):
     )
 
 
+@query
+def proposed_architecture(spark, sf):
+    """The proposal for each project of the corpus, with the services that were found in it."""
+    facts = tiers.Facts(file_table(spark, sf))
+    rows = tiers.tier4(facts).join(reports.first_services(facts.services), "project_id", "left")
+    return reports.architecture_proposal(rows).select(
+        "project_id", "architecture_name", joined("components.name").alias("components"),
+        joined(F.flatten("components.technologies")).alias("technologies"),
+    )
+
+
 @query
 def proposed_services(spark, sf):
     return reports.first_services(svcs(spark, sf)).select(

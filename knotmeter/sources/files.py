@@ -81,7 +81,11 @@ def scan_archives(spark, path: str) -> DataFrame:
 def normalize_project_root(
     files: DataFrame, markers: list[str] = rules.ROOT_MARKERS
 ) -> DataFrame:
-    """Make the only top directory the root when it holds a marker and is not hidden."""
+    """Make the only top directory the root when it holds a marker and is not hidden.
+
+    Only projects whose root moves are joined with their files, so that their list stays small enough to be sent out
+    and contents need no exchange.  ``rules.SCANNER_ROOT_MARKERS`` are the markers of uploaded archives.
+    """
     first = F.split_part("path", F.lit("/"), F.lit(1))
     second = F.split_part("path", F.lit("/"), F.lit(2))
     # two distinct entries already rule a prefix out, so keep the extremes only
@@ -94,10 +98,11 @@ def normalize_project_root(
         (F.col("lo") == F.col("hi")) & F.col("is_dir") & F.col("marked") & ~F.col("lo").startswith("."),
         F.concat("lo", F.lit("/")),
     ).otherwise(F.lit(""))
+    moved = tops.select("project_id", F.length(prefix).alias("_cut")).where(F.col("_cut") > 0)
     return (
-        files.join(tops.select("project_id", prefix.alias("prefix")), "project_id")
-        .withColumn("path", F.substring(F.col("path"), F.length("prefix") + 1, F.length("path")))
-        .drop("prefix")
+        files.join(moved, "project_id", "left")
+        .withColumn("path", F.substring(F.col("path"), F.coalesce("_cut", F.lit(0)) + 1, F.length("path")))
+        .drop("_cut")
     )
 
 
