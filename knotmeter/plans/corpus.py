@@ -68,17 +68,48 @@ END
 """
 
 
+# a second reading of the same documents: services in Go, Ruby, PHP and Java
+POLYGLOT_WORDS = [
+    (" on,", '\nr.GET("/items", list)\nrouter.POST("/items", add)\n'),
+    (" by,", "\ne.DELETE('/items', drop)\n"),
+    (" for,", "\nget '/home'\npost \"/orders\"\n"),
+    (" with,", "\nresources :orders\n"),
+    (" from,", "\nRoute::get('/users', 'UserController')\n"),
+    (" as,", "\nRoute::resource('photos', 'PhotoController')\n"),
+    (" at,", "\n@PostMapping('/pay')\n@GET @Path('/bill')\n"),
+    (" is,", "\n<artifactId>spring-boot</artifactId>\n"),
+    (" this,", "\nhttp.Get('http://svc1/score')\n"),
+]
+
+POLYGLOT_PATH = """
+CASE
+  WHEN k = 9 THEN 'pom.xml'
+  WHEN j = 0 AND g % 4 = 0 THEN 'svc' || g || '/go.mod'
+  WHEN j = 0 AND g % 4 = 1 THEN 'svc' || g || '/Gemfile'
+  WHEN j = 0 AND g % 4 = 2 THEN 'svc' || g || '/composer.json'
+  WHEN j = 0 THEN 'svc' || g || '/pom.xml'
+  WHEN j = 1 THEN 'svc' || g || '/Dockerfile'
+  WHEN g % 4 = 0 THEN 'svc' || g || '/cmd/f' || doc_id || '.go'
+  WHEN g % 4 = 1 THEN 'svc' || g || '/app/f' || doc_id || '.rb'
+  WHEN g % 4 = 2 THEN 'svc' || g || '/http/f' || doc_id || '.php'
+  ELSE 'svc' || g || '/src/F' || doc_id || '.java'
+END
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_code(column: str) -> str:
-    for word, code in CODE_WORDS:
+def as_code(column: str, words: list[tuple[str, str]] = CODE_WORDS) -> str:
+    for word, code in words:
         column = f"replace({column}, {quoted(word)}, {quoted(code)})"
     return column
 
 
-def files(spark: SparkSession, sf_dir: str, read_content: bool = True) -> DataFrame:
+def files(
+    spark: SparkSession, sf_dir: str, read_content: bool = True, path: str = PATH, words: list[tuple[str, str]] = CODE_WORDS
+) -> DataFrame:
     """project = source; ten documents in a row make one service directory.
 
     With ``read_content`` the text is rewritten in a generator, once per row;
@@ -93,10 +124,10 @@ def files(spark: SparkSession, sf_dir: str, read_content: bool = True) -> DataFr
         """'{"dependencies":{"express":"^' || k || '","react":"^' || n_chars || """
         """'"},"devDependencies":{"jest":"' || doc_id || '","express":"dev' || doc_id || """
         """'"},"readme":' || substring(to_json(struct(code AS t)), 6)"""
-    ).replace("code AS t", as_code("text") + " AS t")
+    ).replace("code AS t", as_code("text", words) + " AS t")
     content = (
         f"CASE WHEN j = 0 AND g % 2 = 1 AND k <> 9 THEN {package_json} "
-        f"ELSE {as_code('text')} END"
+        f"ELSE {as_code('text', words)} END"
     )
     return (
         documents
@@ -104,7 +135,7 @@ def files(spark: SparkSession, sf_dir: str, read_content: bool = True) -> DataFr
         .selectExpr("*", "floor(k / 10) AS g", "k % 10 AS j")
         .selectExpr(
             "source AS project_id",
-            f"{PATH} AS path",
+            f"{path} AS path",
             "n_chars AS size",
             "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, int(doc_id)) AS modified",
             f"explode(array({content})) AS content" if read_content else f"{content} AS content",
@@ -132,6 +163,10 @@ def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.selectExpr("source AS project_id", f"{DOCUMENT_PATH} AS path", "text AS content")
 
 
+def polyglot_files(spark: SparkSession, sf_dir: str, read_content: bool = True) -> DataFrame:
+    return files(spark, sf_dir, read_content, POLYGLOT_PATH, POLYGLOT_WORDS)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spread(
         table(spark, sf_dir, "orders").select(

@@ -56,8 +56,8 @@ def ends(extensions, column="name") -> str:
     return any_of(f"ends_with({column}, {q(e)})" for e in extensions)
 
 
-def code_sql(column: str) -> str:
-    for word, code in corpus.CODE_WORDS:
+def code_sql(column: str, words=corpus.CODE_WORDS) -> str:
+    for word, code in words:
         column = f"replace({column}, {q(word)}, {q(code)})"
     return column
 
@@ -710,6 +710,14 @@ oracle("dependency_manifests", """SELECT project_id, dir, type, file, entries FR
     (SELECT project_id, dir, path FROM tree WHERE name = 'requirements.txt') LEFT JOIN reqs USING (project_id, dir, path) GROUP BY ALL
   UNION ALL SELECT project_id, dir, 'npm', path, count(*), 2 FROM packages GROUP BY project_id, dir, path
   UNION ALL SELECT project_id, dir, 'maven', path, 0, 3 FROM tree WHERE name = 'pom.xml')) WHERE rn = 1""")
+POLYGLOT = {
+    "services": "detect_services", "endpoints": "detect_endpoints", "manifests": "dependency_manifests",
+    "frameworks": "detect_frameworks_from_dependencies",
+}
+for name, same in POLYGLOT.items():
+    ORACLES[f"polyglot_{name}"] = ORACLES[same].replace(corpus.PATH, corpus.POLYGLOT_PATH).replace(
+        code_sql("text"), code_sql("text", corpus.POLYGLOT_WORDS)
+    )
 # --- smells
 oracle("direct_model_calls", "SELECT * FROM calls")
 CTES["call_sum"] = """SELECT s.project_id, count(*) AS services_count, (SELECT count(*) FROM calls c WHERE c.project_id = s.project_id) AS direct_count

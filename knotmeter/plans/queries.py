@@ -448,6 +448,38 @@ def dependency_manifests(spark, sf):
     )
 
 
+# --- the same over services in Go, Ruby, PHP and Java ---------------------------------------------------------
+
+
+def polyglot_tree(spark, sf, read_content=True) -> DataFrame:
+    return inventory.file_inventory(corpus.polyglot_files(spark, sf, read_content))
+
+
+@query
+def polyglot_services(spark, sf):
+    found = services.detect_services(polyglot_tree(spark, sf, False))
+    return found.withColumn("indicators", joined("indicators"))
+
+
+@query
+def polyglot_endpoints(spark, sf):
+    return endpoints.detect_endpoints(
+        polyglot_tree(spark, sf), services.detect_services(polyglot_tree(spark, sf, False))
+    )
+
+
+@query
+def polyglot_manifests(spark, sf):
+    return manifests.dependency_manifests(polyglot_tree(spark, sf)).select(
+        "project_id", "dir", "type", "file", F.size("dependencies").cast("bigint").alias("entries")
+    )
+
+
+@query
+def polyglot_frameworks(spark, sf):
+    return _manifest_frameworks(polyglot_tree(spark, sf)).select("project_id", "framework", "file", "dependency")
+
+
 # --- smells ------------------------------------------------------------------------------
 
 
