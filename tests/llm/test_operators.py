@@ -621,6 +621,17 @@ def test_quality(spark, awkward, docs, nothing):
     assert quality.fit(docs, labels.where("false")) is None and quality.judged(docs, None).where("kept").count() > 0
 
 
+def test_labelled_ids_that_clash(spark, docs):
+    """Columns of the same names as inside, and documents that share a labelled id, give one forest whatever their order."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    plain = quality.fit(docs, labels)
+    clashing = docs.withColumns({"wanted": F.lit(1), "quality": F.lit("x"), "stats": F.lit(2), "n_words": F.lit(3)})
+    assert quality.fit(clashing, labels).threshold == plain.threshold
+    twice = docs.union(docs.withColumn("text", F.concat("text", F.lit(" and more"))))
+    thresholds = {quality.fit(twice.repartition(n), labels).threshold for n in (1, 3, 7)}
+    assert len(thresholds) == 1
+
+
 def test_forest_on_held_out_rows(spark):
     """Fitted on the labels of one data set, judged on those of a larger one."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
