@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+#: Bytes of text whose words are held at once.
+SLICE = 1 << 20
 #: The vocabulary file used when none is named.
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -100,6 +102,6 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str | None, end_id: int) ->
 
     encoder = Encoder(path)
     tail = np.array([end_id], "<u4").tobytes()
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
         yield batch, [np.frombuffer(ids + tail, "<u4") for ids in encoder.encode(texts)]
