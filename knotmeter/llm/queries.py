@@ -55,7 +55,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = sharding.sharded_documents(docs, sharding.regular_tree(SHARDS), sharding.regular_tree(SHARDS + 1))
+    tree = sharding.regular_tree(SHARDS)
+    out = sharding.sharded_documents(docs, tree, sharding.grown_tree(tree))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
