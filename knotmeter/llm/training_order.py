@@ -1,10 +1,12 @@
 """Training-order materialisation: every sequence gets a slot by a keyed permutation and a place in a shard.
 
-A sequence's number says which task read it and as its how manieth. A Feistel network permutes the smallest
+A sequence's number is a hash of its document's id and text and of its part, so the same rows have the same numbers however
+they are split into tasks. A Feistel network permutes the smallest
 domain of an even number of bits that holds all numbers there can be; numbers that leave the range
 are encrypted again until they are back in it, which makes it a permutation of the range. The range is cut
-into equal parts, one a shard, and a sequence's slot is its rank among all permuted numbers. Shards hold
-consecutive slots as records of one length, so slot t of a shard that begins with slot b is found at
+into equal parts, one a shard, and a sequence's slot is its rank among all permuted numbers; equal numbers stand in the
+order of id, part and ids. (Numbers without gaps would need the ids of all documents before the first is placed.)
+Shards hold consecutive slots as records of one length, so slot t of a shard that begins with slot b is found at
 byte ``(t - b) * stride``, and reading resumes anywhere.
 """
 
@@ -23,7 +25,7 @@ from knotmeter.llm.tokens import encoded
 from knotmeter.session import materialize, scratch_path
 
 ROUNDS = 6
-#: Numbers are below this: up to a hundred million tasks with 2^33 sequences each.
+#: Numbers are below this.
 RANGE = 10**18
 PLACED = "doc_id long, part int, n_tokens int, crc32 long, shard int, position int"
 #: Bytes of text that are taken for one id when the number of shards is chosen.
@@ -51,18 +53,14 @@ def permuted(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
 def token_sequences(docs: DataFrame, length: int, key: int, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """``code, doc_id, part, ids``: each document's ids and ``end_id`` in parts of at most ``length``.
 
-    ``code`` is the permuted number of the sequence; it depends on how the input is split into tasks, which is
-    the same whenever the same files are read with the same settings. Ids are little-endian unsigned
+    ``code`` is the permuted number of the sequence; id, text and part decide it. Ids are little-endian unsigned
     16-bit, so the vocabulary must have at most 65,536 of them. A null text counts as empty: one
     sequence with ``end_id``.
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 33
         for batch, texts in encoded(batches, tokenizer, end_id):
-            doc_ids, parts, data = [], [], []
+            doc_ids, parts, data, counts = [], [], [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
                 if ids.max() >= 1 << 16:
                     raise ValueError("the records hold 16-bit ids")
@@ -71,11 +69,14 @@ def token_sequences(docs: DataFrame, length: int, key: int, tokenizer: str | Non
                     doc_ids.append(doc_id)
                     parts.append(part)
                     data.append(raw[at:at + 2 * length])
-            codes = permuted(np.arange(number, number + len(parts)), RANGE, key)
-            number += len(parts)
+                counts.append(-(-len(raw) // (2 * length)))
+            rows = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64), counts)
+            numbers = mixed(rows + np.array(parts, np.uint64)) % np.uint64(RANGE)
+            codes = permuted(numbers, RANGE, key)
             yield pa.record_batch([pa.array(codes), pa.array(doc_ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["code", "doc_id", "part", "ids"])
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    narrow = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id.isNull(), doc_id, text).alias("number"))
     return narrow.mapInArrow(cut, "code long, doc_id long, part int, ids binary")
 
 
@@ -83,15 +84,18 @@ def shard_file(folder: str, shard: int) -> str:
     return f"{folder.rstrip('/')}/shard-{shard:08d}.bin"
 
 
+def _file_system(folder: str):
+    """The file system of a folder and its path there; a folder without a scheme is a shared mount."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+
+
 def _write(folder: str, name: str, data: bytes) -> None:
     """One write and a rename, so that a reader never sees half a shard and a retry replaces it."""
     from uuid import uuid4
 
-    from pyarrow import fs
-
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
-    system, path = fs.FileSystem.from_uri(folder)
+    system, path = _file_system(folder)
     system.create_dir(path, recursive=True)
     part = f"{path}/.{name}.{uuid4().hex}"
     with system.open_output_stream(part) as out:
@@ -118,7 +122,7 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = 512, s
     padding = np.array([end_id], "<u2").tobytes() * length
 
     def write(part: pa.Table) -> pa.Table:
-        part = part.sort_by("code")
+        part = part.sort_by([(name, "ascending") for name in ("code", "doc_id", "part", "ids")])
         shard, ids = part["shard"][0].as_py(), part["ids"].to_pylist()
         records = [x + padding[len(x):] for x in ids]
         _write(folder, shard_file("", shard).lstrip("/"), b"".join(records))
@@ -137,14 +141,20 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = 512, s
 
 
 def read_from(folder: str, first_slots: list[int], slot: int, count: int, length: int) -> Iterator[np.ndarray]:
-    """The ids of ``count`` records from a slot on, in sequence; ``first_slots`` has that of each shard."""
+    """The ids of ``count`` records from a slot on, in sequence; ``first_slots`` has that of each shard.
+
+    The folder is read through the file system that it was written through.
+    """
     stride = 2 * length
+    system, path = _file_system(folder)
     shard = int(np.searchsorted(first_slots, slot, side="right")) - 1
     position = slot - first_slots[shard]
     while count > 0 and shard < len(first_slots):
-        with open(shard_file(folder.removeprefix("file:"), shard), "rb") as file:
-            file.seek(position * stride)
-            while count > 0 and (record := file.read(stride)):
-                yield np.frombuffer(record, "<u2")
-                count -= 1
+        # a shard that no sequence fell into has no file
+        if first_slots[shard] < (first_slots[shard + 1] if shard + 1 < len(first_slots) else np.inf):
+            with system.open_input_file(shard_file(path, shard)) as file:
+                file.seek(position * stride)
+                while count > 0 and (record := file.read(stride)):
+                    yield np.frombuffer(record, "<u2")
+                    count -= 1
         shard, position = shard + 1, 0
