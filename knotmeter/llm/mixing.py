@@ -175,14 +175,15 @@ def mix(sized: DataFrame, shares: DataFrame, slot_size: int | None = None, seed:
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """Each document with its size, its source's size and target, and the words the mix takes of it.
 
-    ``doc_id, size, source_size, target, taken, source``. Documents without words take nothing. Equal rows
+    ``doc_id, size, source_size, target, taken, source, first_slot``; the last is the slot of the schedule that takes the
+    document's first words, null if none does, and puts the documents in the order of the mix. Documents without words take nothing. Equal rows
     are copies that stand in the mix on their own; of ``taken`` each gets its own part.
     """
     sized = materialize(sizes(docs))
     shares = materialize(targets(sized))
     pieces = mix(sized, shares, seed=seed)
-    taken = pieces.groupBy("k1", "k2", "source", "copy").agg(F.sum("length").alias("taken"))
-    taken = taken.select("k1", "k2", F.col("source").alias("t_source"), F.col("copy").alias("t_copy"), "taken")
+    taken = pieces.groupBy("k1", "k2", "source", "copy").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"))
+    taken = taken.select("k1", "k2", F.col("source").alias("t_source"), F.col("copy").alias("t_copy"), "taken", "first_slot")
     each = (
         sized.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .join(shares.select(F.col("source").alias("s_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s_source")))
@@ -192,7 +193,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
         (each["k1"] == taken["k1"]) & (each["k2"] == taken["k2"]) & (each["copy"] == taken["t_copy"]) & each["source"].eqNullSafe(taken["t_source"]),
         "left",
     )
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_slot")
 
 
 def mixed_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
