@@ -156,8 +156,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     Only the counts of at most ``capacity`` lengths come to the driver. The number of runs depends on
     the lengths, not on the number of pieces. Pieces of equal length are ranked in hash buckets,
-    so a length that a third of all documents share is spread. Equal rows get places of
-    their own. No pieces give no rows.
+    so a length that a third of all documents share is spread. Pieces of one id and number are
+    told apart by ``ids_crc32``, if there is such a column; equal rows get places of their own. No pieces give no rows.
     """
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
@@ -165,7 +165,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     plan = packing_plan(counts, capacity)
     spark = pieces.sparkSession
     runs = spark.createDataFrame(plan.runs, RUNS)
-    numbered = ranked(pieces, ["length"], ["doc_id", "piece"], "_rank", sum(counts.values()))
+    numbered = ranked(pieces, ["length"], [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns], "_rank", sum(counts.values()))
     at = F.col("_rank") - F.col("first_rank")
     return (
         numbered.join(F.broadcast(runs), "length")
