@@ -27,6 +27,8 @@ LEAST_PERCENT = 80
 AGREE = 77
 #: Pairs a member that a bucket may list for its open components; the members of others go through prefixes.
 PAIRS_A_MEMBER = 4
+#: Keys that a node or bucket with very many rows is dealt into, and the rows of a bucket that fill a key.
+SALTS, SALT_ROWS = 64, 256
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,27 +127,47 @@ def _full_set(text: bytes, width: int) -> set:
     return set(zip(*[words[k:] for k in range(width)], strict=False))
 
 
+def _looked_up(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` with the columns that ``about`` has for each ``a``.
+
+    An ``a`` may stand in a third of all pairs: its row goes once to each of at most ``SALTS`` keys.
+    """
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    wanted = dealt.select("a", "salt").distinct().join(about, "a")
+    return dealt.join(wanted, ["a", "salt"]).drop("salt")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the similarity, as ``(u, v)``."""
+    """The pairs ``(a, b)`` whose full sets reach the similarity, as ``(u, v)``.
+
+    The text of ``b`` is sent to the pair's ``a``, and that of ``a`` once to each of at most ``SALTS`` keys, where it
+    stands before those that it is compared with. One set is held at a time, and the texts of one slice.
+    """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, set()
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
+            a, salt, b, own, texts_ = (batch.column(i).to_pylist() for i in range(5))
             for i in range(batch.num_rows):
-                if a[i] != last:
-                    last, mine = a[i], _full_set(left[i].encode(), width)
-                other = _full_set(right[i].encode(), width)
+                other = _full_set(texts_[i].encode(), width)
+                if own[i]:
+                    last, mine = (a[i], salt[i]), other
+                    continue
+                if (a[i], salt[i]) != last:
+                    raise ValueError("a text came before the one that it is compared with")
                 common = len(mine & other)
                 union = len(mine) + len(other) - common
                 if union and 100 * common >= percent * union:
                     keep.append(i)
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["u", "v"])
+            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64()))], ["u", "v"])
 
-    left = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long")
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    hubs = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("cid"), F.lit(True).alias("own"))
+    asked = hubs.unionByName(dealt.select("a", "salt", F.col("b").alias("cid"), F.lit(False).alias("own")))
+    sent = asked.join(texts, "cid").select("a", "salt", F.col("cid").alias("b"), "own", "text")
+    met = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
+    return met.mapInArrow(compare, "u long, v long")
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -172,14 +194,16 @@ class _Groups:
     def link(self, pairs: DataFrame) -> None:
         """Adds the pairs ``(a, b)`` that hold, after a look at sizes and signatures, to the links."""
         about = self.classes.select("cid", "n", "sketch")
+        left = about.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         close = (
-            pairs.distinct()
-            .join(about.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+            _looked_up(pairs.distinct(), left)
             .join(about.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
             .where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
             .where(_agreeing(F.col("sa"), F.col("sb")) >= AGREE)
             .select("a", "b")
         )
+        # stored, as both sides of each pair are asked for
+        close = materialize(close)
         found = materialize(_verify(close, self.texts, self.width, self.percent))
         if self.labels is not None:
             found = found.unionByName(self.labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
@@ -190,36 +214,63 @@ class _Groups:
         return members.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """Rows ``(bucket, cid)`` of buckets with two members or more, stored."""
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    return materialize(rows.join(shared, "bucket").select("bucket", "cid"))
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows ``(bucket, cid, ...)`` of buckets with two or more, with their number ``m`` and the bucket's smallest ``first``.
+
+    A bucket may hold a third of all rows, so its rows are dealt by (bucket, salt), and the totals are sent to the salts it has.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
+    parts = dealt.groupBy("bucket", "salt").agg(F.count("*").alias("m"), F.min("cid").alias("first"))
+    totals = parts.groupBy("bucket").agg(F.sum("m").alias("m"), F.min("first").alias("first"), F.collect_set("salt").alias("salts"))
+    totals = totals.where("m > 1").select("bucket", "m", "first", F.explode("salts").alias("salt"))
+    return dealt.join(totals, ["bucket", "salt"]).drop("salt")
+
+
+def _salts(m: Column) -> Column:
+    """Keys that a bucket of so many rows is dealt into."""
+    return F.least(F.ceil(m / SALT_ROWS), F.lit(SALTS))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of buckets, each with one salt of its bucket."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cid"), _salts(F.col("m"))))
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """Rows of buckets, each with all salts of its bucket."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts(F.col("m")) - 1)))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member paired with its bucket's first one."""
+    return members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
 
 
-def _stars(members: DataFrame, order: Column | None = None) -> DataFrame:
-    """Each member paired with its bucket's first one, in an order or by number."""
-    first = members.groupBy("bucket").agg(F.min(F.struct("cid") if order is None else F.struct(order, "cid"))["cid"].alias("a"))
-    pairs = members.join(first, "bucket").where("cid <> a")
-    return pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"))
+def _first(members: DataFrame, order: Column) -> DataFrame:
+    """Members with their bucket's first one in an order, then by number."""
+    first = members.groupBy("bucket").agg(F.max("m").alias("m"), F.min(F.struct(order, "cid"))["cid"].alias("first"))
+    return _dealt(members).join(_sent(first).drop("m"), ["bucket", "salt"]).drop("salt")
 
 
 def _across(labelled: DataFrame, parts: DataFrame, condition: Column | bool = True) -> DataFrame:
     """Pairs of members of different components of a bucket: those outside its largest one with all others."""
-    open_ = labelled.join(parts.select("bucket", "largest"), "bucket")
-    outside = open_.where("component <> largest").select("bucket", *[F.col(c).alias(f"x_{c}") for c in labelled.columns if c != "bucket"])
+    open_ = _dealt(labelled).join(_sent(parts.select("bucket", "m", "largest")).drop("m"), ["bucket", "salt"])
+    outside = _sent(open_.where("component <> largest").drop("salt"))
+    outside = outside.select([F.col(c).alias(f"x_{c}") for c in outside.columns])
+    met = (F.col("x_bucket") == F.col("bucket")) & (F.col("x_salt") == F.col("salt"))
     different = (F.col("x_component") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("x_cid") < F.col("cid")))
-    pairs = outside.join(open_.withColumnRenamed("bucket", "o_bucket"), (F.col("bucket") == F.col("o_bucket")) & different & F.lit(condition))
-    return pairs.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b"))
+    pairs = outside.join(open_, met & different & F.lit(condition))
+    return pairs.select(F.col("x_cid").alias("a"), F.col("cid").alias("b"))
 
 
 def _parts(labelled: DataFrame) -> DataFrame:
-    """Buckets that span several components: members, pairs across components and the largest component."""
-    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    """Buckets that span several components: rows ``m``, rows and pairs across components that are left, the largest component."""
+    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.max("m").alias("m"))
     return (
         sizes.groupBy("bucket").agg(
-            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("parts"),
+            F.max("m").alias("m"), F.sum("c").alias("left"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("parts"),
             F.max(F.struct("c", "component"))["component"].alias("largest"),
-        ).where("parts > 1").withColumn("across", (F.col("m") * F.col("m") - F.col("squares")) / 2)
+        ).where("parts > 1").withColumn("across", (F.col("left") * F.col("left") - F.col("squares")) / 2)
     )
 
 
@@ -240,16 +291,16 @@ def _prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.record_batch([batch.column(0).take(owner), pa.array(np.repeat(n, n)), pa.array(_signed(elements))], ["cid", "n", "bucket"])
 
     rows = texts.mapInArrow(cut, "cid long, n long, bucket long")
-    frequent = rows.groupBy("bucket").agg(F.count("*").alias("frequency"))
-    order = Window.partitionBy("cid").orderBy("frequency", "bucket")
-    placed = rows.join(frequent, "bucket").withColumn("p", F.row_number().over(order) - 1)
-    placed = placed.where((F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & (F.col("frequency") > 1))
-    placed = materialize(placed.select("bucket", "cid", "n", "p"))
-    least = placed.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1")
+    # a shingle of one set alone is rarer than all others, so it only moves their places
+    order = Window.partitionBy("cid").orderBy("m", "bucket")
+    shared = _counted(rows).drop("first")
+    placed = shared.withColumn("p", F.col("n") - F.count("*").over(Window.partitionBy("cid")) + F.row_number().over(order) - 1)
+    placed = materialize(placed.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
+    least = placed.groupBy("bucket").agg(F.max("m").alias("m"), F.min("n").alias("least"), F.count("*").alias("left")).where("left > 1")
     common = F.col("n") - F.col("p")
     return (
-        placed.join(least, "bucket")
-        .where(100 * common >= percent * (F.col("n") + F.greatest("least", common) - common)).select("bucket", "cid", "n", "p")
+        _dealt(placed).join(_sent(least).drop("m"), ["bucket", "salt"])
+        .where(100 * common >= percent * (F.col("n") + F.greatest("least", common) - common)).select("bucket", "cid", "n", "p", "m")
     )
 
 
@@ -264,7 +315,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "key.k1", "key.k2", "least_id", "n", "s.bands", "s.sketch")
     )
     classes = materialize(classes)
-    members = _buckets(classes.select("cid", F.explode("bands").alias("bucket")))
+    members = materialize(_counted(classes.select("cid", F.explode("bands").alias("bucket"))))
     groups = _Groups(classes, docs, width, percent)
     groups.fetch(members)
     groups.link(_stars(members))
@@ -272,9 +323,9 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     parts = materialize(_parts(labelled))
     few = F.col("across") <= PAIRS_A_MEMBER * F.col("m")
     pairs = _across(labelled, parts.where(few))
-    wide = labelled.join(parts.where(~few), "bucket", "left_semi").select("cid").distinct()
+    wide = _dealt(labelled).join(_sent(parts.where(~few)), ["bucket", "salt"], "left_semi").select("cid").distinct()
     prefixes = materialize(_prefixes(groups.texts.join(wide, "cid"), width, percent))
-    groups.link(pairs.unionByName(_stars(prefixes, F.col("p") / F.col("n"))))
+    groups.link(pairs.unionByName(_stars(_first(prefixes, F.col("p") / F.col("n")))))
     labelled = materialize(groups.labelled(prefixes))
     common = F.least(F.col("n") - F.col("p"), F.col("x_n") - F.col("x_p"))
     reachable = 100 * common >= percent * (F.col("n") + F.col("x_n") - common)

@@ -284,6 +284,36 @@ def test_many_variants_of_a_text(spark):
     check_groups(near_dups.near_duplicates(table, 2).collect(), table.collect(), 2)
 
 
+@pytest.mark.parametrize(("salts", "rows"), [(64, 256), (4, 3), (1, 1)])
+def test_a_hub_with_a_third_of_all_rows(spark, monkeypatch, salts, rows):
+    """A text with 150 near copies, variants that reach each other only through others, and texts that share a passage."""
+    monkeypatch.setattr(near_dups, "SALTS", salts)
+    monkeypatch.setattr(near_dups, "SALT_ROWS", rows)
+    rng = np.random.default_rng(5)
+    base, passage = [f"h{i}" for i in range(80)], [f"p{i}" for i in range(40)]
+    table = []
+    for i in range(450):
+        w = list(base)
+        if i % 3 == 0:
+            w[int(rng.integers(80))] = f"n{i}"
+        elif i % 3 == 1:
+            for k in rng.choice(80, int(rng.integers(3, 9)), replace=False):
+                w[k] = f"v{i}_{k}"
+        else:
+            w = [*passage, *[f"o{i}_{k}" for k in range(int(rng.integers(5, 60)))]]
+        table.append((i, " ".join(w)))
+    table = spark.createDataFrame(table, "doc_id long, text string")
+    check_groups(near_dups.near_duplicates(table, 2).collect(), table.collect(), 2)
+
+
+def test_verification_of_very_long_texts(spark):
+    """Pairs of texts that fill many slices, with the hub's text in an earlier one."""
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(0, long), (1, long + " end"), (2, "start " + long), (3, long[: len(long) // 2]), (4, "")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
 def test_one_of_a_group_stays(awkward):
     kept = near_dups.kept_documents(awkward)
     rows = kept.collect()
