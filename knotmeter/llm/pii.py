@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,22 +32,72 @@ PATTERNS = {
 #: A text without this has no candidate of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None}
 
-#: Gazetteers: endings of mail hosts, first digits of card issuers, words before each kind.
-MAIL_ENDINGS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info")
+# Endings of mail hosts that are in use, and those that never are; country calling codes;
+# address ranges that belong to nobody; first digits of card issuers; prefixes of keys.
+MAIL_ENDINGS = (
+    "com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel cat tel asia post xyz online site shop store app dev "
+    "io ai co me tv cc ws eu ac ad ae ag al am ar at au az ba be bg bo br by ca ch cl cn cr cu cy cz de dk do dz ec ee eg es fi fr ge gr gt hk "
+    "hn hr hu id ie il in iq ir is it jm jo jp ke kr kw kz lb li lk lt lu lv ly ma mc md mk mt mx my ng ni nl no np nz om pa pe ph pk pl pr "
+    "pt py qa ro rs ru sa se sg si sk sn sv sy th tn tr tw tz ua ug uk us uy uz ve vn za"
+).split()
+UNUSED_ENDINGS = "example invalid test local localhost localdomain internal lan".split()
+CALLING_CODES = (
+    r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[0578][0-9]"
+    r"|9[679][0-9])"
+)
+UNASSIGNED = r"^(0|127|22[4-9]|23[0-9]|24[0-9]|25[0-9])\."
+ISSUERS = "^(3[0-689]|4|5[0-8]|2[2-7]|6)"
+KEYS = "^(sk|pk|rk|ghp|gho|ghs|glpat|xox[abp]|AKIA|ASIA|AIza|eyJ)"
+
+# Words that stand before each kind, in English, French, German and Spanish.
 CUES = {
-    "email": ("mail", "email", "e-mail", "contact", "write", "from", "to"),
-    "ip": ("ip", "host", "address", "server", "from", "client"),
-    "card": ("card", "visa", "mastercard", "amex", "pan", "number", "credit"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp"),
-    "secret": ("token", "key", "secret", "password", "passwd", "apikey", "api_key", "bearer"),
+    "email": (
+        "mail email e-mail mailto contact reach write courriel mél adresse contacter écrire écrivez mailadresse schreiben kontakt "
+        "erreichbar correo electrónico contacto escribir escriba dirección"
+    ).split(),
+    "ip": (
+        "ip ipv4 host server client login address remote serveur hôte connexion adresse rechner anmeldung zugriff servidor cliente "
+        "conexión equipo dirección"
+    ).split(),
+    "card": (
+        "card cards visa mastercard amex maestro credit debit cvv carte bancaire crédit kreditkarte karte kartennummer "
+        "debitkarte tarjeta crédito débito"
+    ).split(),
+    "phone": (
+        "phone telephone tel call calls mobile cell fax whatsapp sms téléphone tél portable appeler appelez télécopie telefon handy "
+        "mobil rufnummer anrufen durchwahl teléfono móvil celular llamar llame"
+    ).split(),
+    "secret": (
+        "token key secret password passwd pwd apikey api_key api-key access_key secret_key bearer auth authorization credential "
+        "jeton clé mot-de-passe schlüssel passwort kennwort geheimnis clave contraseña secreto"
+    ).split(),
 }
+#: Words before numbers that belong to nobody, in the same languages.
+OTHER_CUES = (
+    "order orders invoice version release isbn issn sku serial item article ticket tracking reference ref page volume build commit checksum "
+    "commande facture référence numéro-de-série colis bestellung rechnung artikel seriennummer sendung aktenzeichen "
+    "pedido factura referencia serie paquete versión"
+).split()
 LABELERS = ("rule", "gazetteer", "cue", "shape", "edges")
+#: Labelers that may abstain, by place: most spans have no cue beside them, and no gazetteer knows all endings.
+ABSTAINING = (1, 2)
 
 #: Features of the final classifier and the number of values of each.
-FEATURES = {"votes": 2 ** len(LABELERS), "size": 16, "before": 8, "after": 8}
+FEATURES = {"votes": 2 ** (len(LABELERS) + len(ABSTAINING)), "size": 16, "before": 8, "after": 8}
+#: Chances of a yes with which each labeler begins, and how many votes that is worth: among personal spans, among those that
+#: look like them and are not, and among pieces of something else.
+EXPECTED = {
+    "rule": (0.98, 0.03, 0.03), "gazetteer": (0.8, 0.3, 0.3), "cue": (0.9, 0.02, 0.02), "shape": (0.9, 0.9, 0.1), "edges": (0.9, 0.9, 0.3),
+}
+WORTH = 20.0
+#: The rule labeler says what the first class is: its chances stay above and below these, whatever the other votes have in common.
+TIE = (0.95, 0.05)
 #: Rounds of expectation-maximisation, and what counts add to every cell.
 ROUNDS, SMOOTHING = 25, 1.0
 
+#: Characters before a match in which cues are looked for.
+CONTEXT = 32
+
 SPAN = "struct<kind:int,start:int,end:int>"
 
 
@@ -80,15 +131,20 @@ def base_valid(kind: str, x: Column) -> Column:
 
 
 def _votes(kind: str, x: Column, before: Column, after: Column) -> list[Column]:
-    """A yes or no of each labeler about a match ``x`` between two pieces of text."""
-    digits, cue = _digits(x), F.lower(F.regexp_extract(before, r"([A-Za-z_-]+)[^A-Za-z_-]{0,4}$", 1))
-    rule = base_valid(kind, x) if kind in BASE_KINDS else (x.rlike("[0-9]") & x.rlike("[a-z]"))
+    """The vote of each labeler about a match ``x`` between two pieces of text: 1 is yes, 0 no, null none.
+
+    The cue labeler looks at all words before the match: one that goes with the kind is a yes, one that goes with
+    another kind or with numbers of things a no. A word that the piece cuts is no word.
+    """
+    digits = _digits(x)
+    rule = base_valid(kind, x) if kind in BASE_KINDS else (x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+    ending = F.lower(F.regexp_extract(x, r"([A-Za-z]+)$", 1))
     known = {
-        "email": F.regexp_extract(x, r"([A-Za-z]+)$", 1).isin(*MAIL_ENDINGS),
-        "ip": ~x.rlike(r"^0|^127\.|^255\."),
-        "card": x.rlike("^(3[47]|4|5[1-5]|2[2-7]|6)"),
-        "phone": x.rlike(r"^\+[1-9]"),
-        "secret": x.rlike("^[0-9a-f]+$") | x.rlike("^(sk|pk|ghp|AKIA)"),
+        "email": F.when(ending.isin(*MAIL_ENDINGS), 1).when(ending.isin(*UNUSED_ENDINGS), 0),
+        "ip": F.when(x.rlike(UNASSIGNED), 0),
+        "card": digits.rlike(ISSUERS).cast("int"),
+        "phone": x.rlike(CALLING_CODES).cast("int"),
+        "secret": F.when(x.rlike("^([0-9a-f]+|[0-9A-F]+)$") | x.rlike(KEYS), 1),
     }[kind]
     shape = {
         "email": F.length(x).between(6, 64),
@@ -98,7 +154,27 @@ def _votes(kind: str, x: Column, before: Column, after: Column) -> list[Column]:
         "secret": F.length(x).between(24, 128),
     }[kind]
     edges = before.rlike(r"(^|[\s(\[\"'<:=])$") & after.rlike(r"^([\s)\]\"'>,.;:!?#$%&*]|$)")
-    return [rule, known, cue.isin(*CUES[kind]), shape, edges]
+    whole = F.when(F.length(before) > CONTEXT, F.regexp_replace(before, r"^[\p{L}\p{N}_-]+", "")).otherwise(before)
+    words = F.split(F.lower(whole), r"[^\p{L}\p{N}_-]+")
+    others = {w for other, cues in CUES.items() if other != kind for w in cues} | set(OTHER_CUES)
+    beside = F.when(F.arrays_overlap(words, _words(CUES[kind])), 1).when(F.arrays_overlap(words, _words(others - set(CUES[kind]))), 0)
+    return [rule.cast("int"), known, beside, shape.cast("int"), edges.cast("int")]
+
+
+def _words(words: Iterable[str]) -> Column:
+    return F.array(*[F.lit(w) for w in sorted(words)])
+
+
+def votes_code(votes: list[Column]) -> Column:
+    """One number for the votes: a bit for each yes, then a bit for each labeler that abstains."""
+    yes = sum((F.coalesce(vote, F.lit(0)) * 2 ** k for k, vote in enumerate(votes)), F.lit(0))
+    return yes + sum((votes[k].isNull().cast("int") * 2 ** (len(LABELERS) + i) for i, k in enumerate(ABSTAINING)), F.lit(0))
+
+
+def ballots(code: int) -> list[int | None]:
+    """The votes behind a number of :func:`votes_code`."""
+    silent = {k for i, k in enumerate(ABSTAINING) if code >> (len(LABELERS) + i) & 1}
+    return [None if k in silent else code >> k & 1 for k in range(len(LABELERS))]
 
 
 def _edge(x: Column) -> Column:
@@ -146,9 +222,9 @@ def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
     def describe(kind: str, number: int):
         def candidate(hit: Column, i: Column) -> Column:
             gap, tail = F.element_at(f"_gap_{kind}", i + 1), F.element_at(f"_gap_{kind}", i + 2)
-            before, after = F.right(gap, F.lit(24)), F.left(tail, F.lit(1))
+            before, after = F.right(gap, F.lit(CONTEXT + 1)), F.left(tail, F.lit(1))
             start = F.element_at(f"_at_{kind}", i + 1) + F.length(gap)
-            code = sum((vote.cast("int") * 2 ** k for k, vote in enumerate(_votes(kind, hit, before, after))), F.lit(0))
+            code = votes_code(_votes(kind, hit, before, after))
             return F.struct(
                 F.lit(number).alias("kind"), start.cast("int").alias("start"), (start + F.length(hit)).cast("int").alias("end"),
                 base_valid(kind, hit).alias("base"), code.cast("int").alias("votes"),
@@ -193,10 +269,13 @@ def vote_counts(found: DataFrame) -> list[tuple[int, int, str, int, int]]:
 def fit(counts: list[tuple[int, int, str, int, int]]) -> Model:
     """Estimates how reliable each labeler is without labels, then fits the classifier to the outcome.
 
-    For each kind, candidates are of one of two hidden classes in which labelers vote yes with unknown
-    chances, independently; expectation and maximisation alternate from a majority vote. The chance of being
-    personal that this gives to each pattern of votes is the soft label on which the classifier, a naive
-    Bayes model on votes, size and neighbours, is trained. Kinds without candidates never decide.
+    For each kind, candidates are of one of three hidden classes (personal, alike, something else) in which labelers
+    vote yes with unknown chances, independently; who abstains says nothing. Expectation and maximisation alternate, from
+    the chances in ``EXPECTED``, which also count as ``WORTH`` votes each. The chances of the rule labeler stay beyond ``TIE``,
+    as the other votes could else agree on some other class, such as that of all long numbers in running text; those
+    have a class of their own, so that the many short numbers do not make them look personal.
+    The chance of being personal that this gives to each pattern of votes is the soft label on which the classifier, a
+    naive Bayes model on votes, size and neighbours, is trained. Kinds without candidates stay with what is expected.
     """
     prior, odds = [], {name: [] for name in FEATURES}
     reliability = {}
@@ -206,35 +285,54 @@ def fit(counts: list[tuple[int, int, str, int, int]]) -> Model:
         for _, votes, name, _, n in own:
             if name == "votes":
                 patterns[votes] += n
-        bits = {v: [v >> k & 1 for k in range(len(LABELERS))] for v in patterns}
-        belief = {v: 0.9 if sum(b) * 2 > len(b) else 0.1 for v, b in bits.items()}
-        share, yes = 0.5, []
+        shares, yes = [1 / 3] * 3, [EXPECTED[x] for x in LABELERS]
+        chances = _chances(shares, yes)
         for _ in range(ROUNDS if patterns else 0):
-            weights = [{v: n * belief[v] for v, n in patterns.items()}, {v: n * (1 - belief[v]) for v, n in patterns.items()}]
-            sums = [sum(w.values()) for w in weights]
-            yes = [
-                [(sum(n * bits[v][k] for v, n in w.items()) + SMOOTHING) / (total + 2 * SMOOTHING) for k in range(len(LABELERS))]
-                for w, total in zip(weights, sums, strict=True)
-            ]
-            share = (sums[0] + SMOOTHING) / (sum(sums) + 2 * SMOOTHING)
-            for v, b in bits.items():
-                chance = [p * math.prod(y if bit else 1 - y for y, bit in zip(row, b, strict=True)) for p, row in zip((share, 1 - share), yes, strict=True)]
-                belief[v] = chance[0] / sum(chance)
-        reliability[name_of] = [y / (y + z) for y, z in zip(*yes, strict=True)] if yes else []
-        prior.append(math.log(share / (1 - share)))
+            weights = [{v: n * chances[v][side] for v, n in patterns.items()} for side in range(3)]
+            yes = [tuple(_rate(w, k, EXPECTED[x][side]) for side, w in enumerate(weights)) for k, x in enumerate(LABELERS)]
+            yes[0] = (max(yes[0][0], TIE[0]), *(min(z, TIE[1]) for z in yes[0][1:]))
+            shares = [(sum(w.values()) + SMOOTHING) / (sum(patterns.values()) + 3 * SMOOTHING) for w in weights]
+            chances = _chances(shares, yes)
+        belief = [min(max(c[0], 1e-12), 1 - 1e-12) for c in chances]
+        others = [(shares[1] * z[1] + shares[2] * z[2]) / (shares[1] + shares[2]) for z in yes]
+        reliability[name_of] = [y[0] / (y[0] + z) for y, z in zip(yes, others, strict=True)] if patterns else []
+        prior.append(math.log(shares[0] / (1 - shares[0])))
         for name, values in FEATURES.items():
-            table = [[SMOOTHING, SMOOTHING] for _ in range(values)]
+            # a cell that was never seen says what its votes do, or nothing
+            table = [[belief[v], 1 - belief[v]] if name == "votes" else [SMOOTHING, SMOOTHING] for v in range(values)]
             for _, votes, own_name, value, n in own:
                 if own_name == name:
                     table[value][0] += n * belief[votes]
                     table[value][1] += n * (1 - belief[votes])
-            totals = [sum(cell[i] for cell in table) for i in (0, 1)]
-            # a pattern of votes counts in full, what stands around it by a fraction
-            weight = 1.0 if name == "votes" else 0.25
-            odds[name].append([weight * math.log(cell[0] / totals[0] / (cell[1] / totals[1])) for cell in table])
+            if name == "votes":
+                # a pattern of votes counts in full: with the prior, the odds of its belief
+                odds[name].append([math.log(cell[0] / cell[1]) - prior[-1] for cell in table])
+            else:
+                # what stands around it counts by a fraction
+                totals = [sum(cell[i] for cell in table) for i in (0, 1)]
+                odds[name].append([0.25 * math.log(cell[0] / totals[0] / (cell[1] / totals[1])) for cell in table])
     return Model(prior, odds, reliability)
 
 
+def _chances(shares: list[float], yes: list[tuple[float, ...]]) -> list[list[float]]:
+    """The chances of the classes, for each pattern of votes."""
+    found = []
+    for code in range(FEATURES["votes"]):
+        both = list(zip(ballots(code), yes, strict=True))
+        joint = [
+            share * math.prod(y[side] if vote else 1 - y[side] for vote, y in both if vote is not None) for side, share in enumerate(shares)
+        ]
+        found.append([x / sum(joint) for x in joint])
+    return found
+
+
+def _rate(weights: dict[int, float], labeler: int, expected: float) -> float:
+    """The share of yes among the votes that a labeler gives, with what is expected as ``WORTH`` votes."""
+    votes = [(ballots(v)[labeler], n) for v, n in weights.items()]
+    yes, all_ = (sum(n for vote, n in votes if vote), sum(n for vote, n in votes if vote is not None))
+    return (yes + WORTH * expected) / (all_ + WORTH)
+
+
 def spans(candidates: Column, model: Model) -> Column:
     """Base spans, and the others that the classifier takes, ordered by kind and start.
 

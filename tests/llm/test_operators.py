@@ -586,6 +586,48 @@ def test_reliable_labelers_are_found():
     assert np.argmin(model.reliability["email"]) == 4
 
 
+CUED = [
+    # cues of the kind, in four languages, before numbers that fail their rule
+    ("card 4111 1111 1111 1112.", ["card_like"]), ("numéro de carte bancaire : 4111111111111112", ["card_like"]),
+    ("Kreditkarte 4111111111111112 und", ["card_like"]), ("su tarjeta 4111111111111112 es", ["card_like"]),
+    ("das Passwort 0a1b2c3d4e5f60718293a4b5c6d7", ["secret"]), ("la clave 0A1B2C3D4E5F60718293A4B5C6D7", ["secret"]),
+    ("adresse 999.1.2.3 ici", ["ip_like"]), ("CARD 4111111111111112", ["card_like"]),
+    # no cue, a cue of something else, a word that only ends like one, and a cue too far away
+    ("the 4111111111111112 of", []), ("order 4111111111111112 shipped", []), ("facture 4111111111111112", []),
+    ("Bestellung 4111111111111112", []), ("version 999.1.2.3", []), ("wildcard 4111111111111112", []),
+    ("card " + "x" * 40 + " 4111111111111112", []), ("x" * 40 + "card 4111111111111112", []),
+    # base spans stay whatever stands before them
+    ("order 4111111111111111 shipped", ["card"]), ("version 1.2.3.4", ["ip"]),
+]
+
+
+def test_added_spans_on_held_out_rows(spark):
+    """Fitted on one half of the documents: in the other, secrets are found and no number that fails its rule is added without a cue."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8).select("doc_id", "text")
+    half = F.col("doc_id") % 2 == 0
+    model = pii.fit(pii.vote_counts(materialize(pii.with_candidates(docs.where(half), F.coalesce("text", F.lit(""))).select("_candidates"))))
+    held = materialize(pii.with_candidates(docs.where(~half), F.coalesce("text", F.lit(""))).select("doc_id", pii.spans(F.col("_candidates"), model).alias("spans")))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.where(~half).collect()}
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in held.collect()}
+    secrets = {(d, m.start(1), m.end(1)) for d, t in texts.items() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', t)}
+    long_numbers = sum(not luhn(m.group()) for t in texts.values() for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", t))
+    added = {(d, a, b) for d, spans in found.items() for k, a, b in spans if k >= len(pii.BASE_KINDS)}
+    assert len(secrets) > 50 and long_numbers > 50
+    assert secrets == added
+    table = spark.createDataFrame(list(enumerate(t for t, _ in CUED)), "doc_id int, text string")
+    got = pii.with_candidates(table, F.col("text")).select("doc_id", pii.joined(pii.spans(F.col("_candidates"), model)).alias("s")).collect()
+    assert {r["doc_id"]: [x.split(":")[0] for x in r["s"].split(",") if x] for r in got} == dict(enumerate(k for _, k in CUED))
+
+
+def test_votes_and_abstentions():
+    assert pii.ballots(0b0011111) == [1, 1, 1, 1, 1] and pii.ballots(0b1000001) == [1, 0, None, 0, 0]
+    assert pii.ballots(0b0100000) == [0, None, 0, 0, 0]
+    model = pii.fit([])
+    # nothing seen: the rule decides, or a cue beside the right shape
+    score = {v: model.prior[2] + model.odds["votes"][2][v] for v in range(pii.FEATURES["votes"])}
+    assert score[0b1011011] > 0 and score[0b0011110] > 0 > score[0b1011010]
+
+
 # --- op8 ---------------------------------------------------------------------------------------
 
 
