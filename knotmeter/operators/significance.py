@@ -11,7 +11,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotmeter.session import materialize
+from knotmeter.session import materialize, spread
 
 #: The measure that is compared, and the ones that it is compared with.
 FIRST, OTHERS = "mes_score", ["commit_count", "bug_rate", "avg_change_impact"]
@@ -21,7 +21,8 @@ PERMUTATIONS, SEED = 199, 11
 def running_totals(df: DataFrame, by: list[str], weight: Column, name: str, group: list[str] | None = None) -> DataFrame:
     """Adds the sum of ``weight`` over the rows up to and with this one in the order of ``by``, in each group.
 
-    Ranges of the order are dealt to tasks; each adds up its own, on top of the totals of the ranges before.
+    Ranges of the order are dealt to tasks; each adds up its own, on top of the totals of the ranges before.  The join
+    deals the rows as the sums need them, so nothing has to pass the driver.
     """
     group = group or []
     dealt = materialize(df.withColumn("_weight", weight).repartitionByRange(*group, *by).withColumn("_part", F.spark_partition_id()))
@@ -31,7 +32,7 @@ def running_totals(df: DataFrame, by: list[str], weight: Column, name: str, grou
     )
     inside = Window.partitionBy(*group, "_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        dealt.join(parts.drop("_own"), [*group, "_part"])
+        dealt.join(parts.drop("_own").hint("merge"), [*group, "_part"])
         .withColumn(name, F.col("_before") + F.sum("_weight").over(inside)).drop("_weight", "_part", "_before")
     )
 
@@ -50,12 +51,13 @@ def centred_ranks(rows: DataFrame, measures: list[str]) -> tuple[DataFrame, int]
         "measure", "value", (2 * F.col("upto") - F.col("n") - n).alias("rank")
     )
     wide = [F.max(F.when(F.col("measure") == m, F.col("rank"))).alias(m) for m in measures]
-    return materialize(long.join(ranks, ["measure", "value"]).groupBy("number").agg(*wide)), n
+    return materialize(long.join(ranks.hint("merge"), ["measure", "value"]).groupBy("number").agg(*wide)), n
 
 
 def _whole(product: Column) -> Column:
-    """Sums that stay exact for any number of projects."""
-    return F.sum(product.cast("decimal(38,0)"))
+    """Sums that stay exact for any number of projects: of the high and the low bits, each of which fit a long."""
+    high, low = F.sum(F.shiftright(product, 31)), F.sum(product.bitwiseAND(F.lit((1 << 31) - 1)))
+    return (high.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + low.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def rank_correlations(rows: DataFrame, first: str = FIRST, others: list[str] = OTHERS) -> DataFrame:
@@ -99,23 +101,23 @@ def permutation_p_values(
     """``measure, projects, rho, p_value``: the share of permutations, this one included, that correlate at least as much.
 
     The permutations are drawn from a group of maps of the project numbers, which gives a valid test; they are
-    ``permutations`` literals in the plan.  Every project meets its partner of each permutation in a join on the number.
-    A fleet of 2^31 projects or more is refused.
+    ``permutations`` literals in the plan.  Every project meets its partner of each permutation in a join on the number,
+    for which both sides are shuffled: a table of the fleet is never sent to the driver.  A fleet of 2^31 projects or more is refused.
     """
     ranks, n = centred_ranks(rows, [first, *others])
     if n >= 1 << 31:
         raise ValueError("too many projects for the permutations")
     maps = F.array(*[F.struct(F.lit(i).alias("map"), F.lit(a % max(n, 1)).alias("a"), F.lit(c % max(n, 1)).alias("c")) for i, (a, c) in enumerate(shuffles(permutations, seed))])
     partner = F.pmod(F.col("a") * F.col("own_number") + F.col("c"), F.lit(n))
-    moved = ranks.select(F.col("number").alias("own_number"), F.col(first).alias("own"), F.inline(maps)).select(
+    moved = spread(ranks).select(F.col("number").alias("own_number"), F.col(first).alias("own"), F.inline(maps)).select(
         "map", "own", partner.cast("bigint").alias("number")
     )
-    products = moved.join(ranks.drop(first), "number").groupBy("map").agg(
+    products = moved.join(ranks.drop(first).hint("shuffle_hash"), "number").groupBy("map").agg(
         *[_whole(F.col("own") * F.col(m)).alias(m) for m in others]
     )
     drawn = products.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("drawn")) for m in others])))
     found = _correlations(ranks, n, first, others)
     reached = F.count_if(F.abs("drawn") >= F.abs("product"))
-    return found.join(drawn, "measure", "left").groupBy("measure", "projects", "rho").agg(
+    return found.join(drawn.hint("merge"), "measure", "left").groupBy("measure", "projects", "rho").agg(
         ((reached + 1) / (permutations + 1)).alias("p_value")
     )

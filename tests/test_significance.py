@@ -74,6 +74,19 @@ def test_nulls_and_small_fleets(spark):
         assert {(r["measure"], r["projects"], r["rho"], r["p_value"]) for r in found} == {(m, len(few), None, 1.0 if few else 0.1) for m in OTHERS}
 
 
+def test_no_table_of_the_fleet_is_sent_to_the_driver(spark):
+    out = significance.permutation_p_values(frame(spark, fleet(200, 6)), "mes", OTHERS, 9, 5)
+    out.collect()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_are_exact(spark):
+    products = [(1 << 62) - 3, (1 << 62) - 5, (1 << 62) - 7, -(1 << 62) + 1, -1, 0]
+    df = spark.createDataFrame([(x,) for x in products], "x bigint")
+    assert int(df.agg(significance._whole(df["x"]).alias("x")).first()["x"]) == sum(products)
+    assert df.where("x is null").agg(significance._whole(df["x"]).alias("x")).first()["x"] is None
+
+
 def test_shuffles_are_permutations():
     for n in (1, 2, 10, 97, 1000):
         for a, c in significance.shuffles(9, 3):
