@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotmeter.llm.common import Words, _BLANK_BYTE, sequence_hashes, slices
+from knotmeter.operators.significance import running_totals
+from knotmeter.session import materialize, spread
 
 #: Base rules: at least so many words, at most this share of repeated ones (in percent).
 MIN_WORDS, MAX_REPEAT = 20, 30
@@ -24,13 +26,13 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"!\"'()+-/:;=?@[\\]^_`{}~"
 
-#: Labelled rows that a forest is fitted and calibrated on, at most.
-SAMPLE = 4096
 #: Good labelled rows may lie above the threshold in this share only.
 MAX_GOOD_LOST = 0.001
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_same"]
 STATS_DDL = ", ".join(f"{name} long" for name in STATS)
+#: The columns of :func:`features`.
+FEATURES = [f"f{i}" for i in range(7)]
 
 
 def _is_in(chars: bytes) -> np.ndarray:
@@ -152,22 +154,17 @@ def _expected_path(n: int) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649 if n > 2 else 0.5) - 2.0 * (n - 1) / n
 
 
-def fit_forest(x: np.ndarray, trees: int = 200, rows: int = 256, seed: int = 7) -> Forest:
-    """Each tree cuts ``rows`` random rows until they are alone, wide features more often than narrow ones.
-
-    A feature's unit is the spread of the rows in it without their outer hundredths.
-    """
+def fit_forest(parts: list[np.ndarray], unit: np.ndarray, seed: int = 7) -> Forest:
+    """Each tree cuts its rows, one of ``parts``, until they are alone, wide features more often than narrow ones."""
     rng = np.random.default_rng(seed)
-    outer = np.quantile(x, [0.01, 0.99], axis=0)
-    unit = np.maximum(outer[1] - outer[0], LEAST_SPREAD)
-    x = x / unit
-    depth = math.ceil(math.log2(max(2, min(rows, len(x)))))
+    trees, most = len(parts), max(len(part) for part in parts)
+    depth = math.ceil(math.log2(max(2, most)))
     size = 2 ** (depth + 1)
     feature, left = np.full((trees, size), -1), np.zeros((trees, size), int)
     cut, length = np.zeros((trees, size)), np.zeros((trees, size))
-    lows, highs = np.zeros((trees, size, x.shape[1])), np.zeros((trees, size, x.shape[1]))
+    lows, highs = np.zeros((trees, size, len(unit))), np.zeros((trees, size, len(unit)))
     for t in range(trees):
-        nodes, used = [(0, x[rng.choice(len(x), min(rows, len(x)), replace=False)], 0)], 1
+        nodes, used = [(0, parts[t] / unit, 0)], 1
         while nodes:
             at, part, deep = nodes.pop()
             low, high = part.min(axis=0), part.max(axis=0)
@@ -182,24 +179,7 @@ def fit_forest(x: np.ndarray, trees: int = 200, rows: int = 256, seed: int = 7)
             right = part[:, f] >= cut[t, at]
             nodes += [(used, part[~right], deep + 1), (used + 1, part[right], deep + 1)]
             used += 2
-    return Forest(feature, cut, left, length, lows, highs, unit, max(_expected_path(min(rows, len(x))), 1e-9))
-
-
-def calibrate(forest: Forest, x: np.ndarray, good: np.ndarray) -> Forest:
-    """Sets the score above which documents go.
-
-    Of the scores that lose at most :data:`MAX_GOOD_LOST` of the good rows, it takes the middle between
-    the last good row that stays and the next row above. Without bad rows nothing goes.
-    """
-    forest.threshold = math.inf
-    scores = forest.scores(x)
-    if good.all() or not good.any():
-        return forest
-    kept = np.quantile(scores[good], 1 - MAX_GOOD_LOST, method="higher")
-    above = scores[~good & (scores > kept)]
-    if len(above):
-        forest.threshold = (kept + above.min()) / 2
-    return forest
+    return Forest(feature, cut, left, length, lows, highs, unit, max(_expected_path(most), 1e-9))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -214,34 +194,93 @@ def statistics(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(measure, f"doc_id long, {STATS_DDL}")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
-    """A forest of the good and calibrated on all of at most ``sample`` labelled documents, chosen by a hash of their ids.
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, good`` and the features ``f0, f1, ...`` of every labelled document that passes the base rules, stored.
 
     Rows without id or quality are no labels; a document labelled twice counts by its lowest label, and of
     documents that share a labelled id the one with the least statistics, in their order, counts.
-    None if no labelled document passes the base rules: then these alone decide.
     """
     chosen = (
         labels.where("doc_id is not null and quality is not null")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        .groupBy(F.col("doc_id").cast("long").alias("labelled")).agg((F.min("quality") > 0).alias("good"))
     )
-    rows = chosen.collect()
-    if not rows:
-        return None
-    wanted = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in rows], "wanted long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"))
+    found = texts.join(chosen.select("labelled"), F.col("doc_id") == F.col("labelled"), "left_semi")
     least = F.min(F.struct(*STATS)).alias("stats")
-    measured = statistics(found).groupBy("doc_id").agg(least).orderBy("doc_id").collect()
-    stats = np.array([list(r["stats"]) for r in measured], np.int64).reshape(-1, len(STATS))
-    quality = {r["doc_id"]: r["quality"] for r in rows}
-    good = np.array([quality[r["doc_id"]] > 0 for r in measured], bool)
-    passed = ~base_failed(stats)
-    if not passed.any():
+    measured = statistics(found).groupBy("doc_id").agg(least).join(chosen, F.col("doc_id") == F.col("labelled")).select("doc_id", "good", "stats.*")
+
+    def passed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = np.column_stack([c.to_numpy() for c in batch.columns[2:]])
+            out = pa.record_batch([*batch.columns[:2], *[pa.array(c) for c in features(stats).T]], ["doc_id", "good", *FEATURES])
+            yield out.filter(pa.array(~base_failed(stats)))
+
+    return materialize(measured.mapInArrow(passed, "doc_id long, good boolean, " + ", ".join(f"{f} double" for f in FEATURES)))
+
+
+def order_statistics(values: DataFrame, places: list[int]) -> dict[str, list[float]]:
+    """For each ``measure`` the values at these places, from 0, in the order of ``value``; no task holds a measure."""
+    counts = values.groupBy("measure", "value").agg(F.count("*").alias("n"))
+    upto = running_totals(counts, ["value"], F.col("n"), "upto", ["measure"])
+    found = upto.groupBy("measure").agg(F.array(*[F.min(F.when(F.col("upto") > p, F.col("value"))) for p in places]).alias("found"))
+    return {r["measure"]: r["found"] for r in found.collect()}
+
+
+def _draws(rows: DataFrame, n: int, trees: int, size: int, seed: int) -> list[np.ndarray]:
+    """The rows of each tree, drawn from all ``n`` without repeats; at most ``trees * size`` rows reach the driver."""
+    rng = np.random.default_rng(seed)
+    drawn = [rng.choice(n, min(size, n), replace=False) for _ in range(trees)]
+    places = np.unique(np.concatenate(drawn))
+    numbered = running_totals(rows.drop("good"), ["doc_id"], F.lit(1).cast("long"), "upto")
+    wanted = rows.sparkSession.createDataFrame([(int(p) + 1,) for p in places], "upto long")
+    found = numbered.join(F.broadcast(wanted), "upto").select("upto", *FEATURES).orderBy("upto").collect()
+    x = np.array([list(r)[1:] for r in found])
+    return [x[np.searchsorted(places, d)] for d in drawn]
+
+
+def _threshold(forest: Forest, rows: DataFrame, n_good: int) -> float:
+    """The score above which documents go.
+
+    Of the scores that lose at most :data:`MAX_GOOD_LOST` of the good rows, it takes the middle between
+    the last good row that stays and the next row above. Without bad rows nothing goes.
+    """
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy() for c in batch.columns[2:]])
+            yield pa.record_batch([batch.column(1), pa.array(forest.scores(x))], ["good", "value"])
+
+    scores = materialize(spread(rows).mapInArrow(score, "good boolean, value double"))
+    place = math.ceil((n_good - 1) * (1 - MAX_GOOD_LOST))
+    kept = order_statistics(scores.where("good").select(F.lit("score").alias("measure"), "value"), [place])["score"][0]
+    above = scores.where(~F.col("good") & (F.col("value") > kept)).agg(F.min("value")).first()[0]
+    return math.inf if above is None else (kept + above) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, trees: int = 200, size: int = 256, seed: int = 7) -> Forest | None:
+    """A forest whose trees draw their rows from all good labelled documents, calibrated on all labelled ones.
+
+    A feature's unit is the spread of all good rows in it without their outer hundredths. Only the rows that the
+    trees draw, ``trees`` times ``size`` at most, reach the driver.
+    None if no labelled document passes the base rules: then these alone decide.
+    """
+    rows = labelled_features(docs, labels)
+    n, n_good = rows.agg(F.count("*"), F.count_if("good")).first()
+    if not n:
         return None
-    x, good = features(stats[passed]), good[passed]
-    return calibrate(fit_forest(x[good] if good.any() else x), x, good)
+    ordinary = rows.where("good") if n_good else rows
+    m = n_good or n
+    measured = ordinary.select(F.inline(F.array(*[F.struct(F.lit(f).alias("measure"), F.col(f).alias("value")) for f in FEATURES])))
+    places = [q * (m - 1) for q in (0.01, 0.99)]
+    at = order_statistics(measured, [p for place in places for p in (math.floor(place), math.ceil(place))])
+    unit = []
+    for f in FEATURES:
+        low, high = (at[f][2 * i] + (at[f][2 * i + 1] - at[f][2 * i]) * (place % 1) for i, place in enumerate(places))
+        unit.append(max(high - low, LEAST_SPREAD))
+    forest = fit_forest(_draws(ordinary, m, trees, size, seed), np.array(unit), seed)
+    if 0 < n_good < n:
+        forest.threshold = _threshold(forest, rows, n_good)
+    return forest
 
 
 def _verdicts(stats: np.ndarray, forest: Forest | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

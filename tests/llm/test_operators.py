@@ -1,6 +1,7 @@
 """The operators against brute force, on awkward rows and on the smallest data set."""
 
 import hashlib
+import random
 import re
 import sys
 import zlib
@@ -676,6 +677,26 @@ def statistics(text):
     return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeated)]
 
 
+def test_forest_is_fitted_on_all_labels(spark):
+    """More labels than were once taken: units and threshold are those of all of them."""
+    rng = random.Random(5)
+    n = 5000
+    texts = [" ".join(rng.choice(["one", "two", "three#", "FOUR", "five,", "six", "s" * (1 + i % 9)]) for _ in range(20 + i % 7)) for i in range(n)]
+    marks = [int(i % 9 > 0) for i in range(n)]
+    texts = [t + (" ## $$ !!" * (i % 4) if not m else "") for i, (t, m) in enumerate(zip(texts, marks, strict=True))]
+    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    forest = quality.fit(found, spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int"), 20, 64)
+    stats = quality.text_statistics(pa.array(texts))
+    passed = ~quality.base_failed(stats)
+    x, good = quality.features(stats)[passed], np.array(marks, bool)[passed]
+    low, high = np.quantile(x[good], [0.01, 0.99], axis=0)
+    np.testing.assert_allclose(forest.unit, np.maximum(high - low, quality.LEAST_SPREAD))
+    scores = forest.scores(x)
+    kept = np.quantile(scores[good], 1 - quality.MAX_GOOD_LOST, method="higher")
+    above = scores[~good & (scores > kept)]
+    assert good.sum() > 4096 and len(above) and forest.threshold == pytest.approx((kept + above.min()) / 2, rel=1e-12)
+
+
 def test_quality(spark, awkward, docs, nothing):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     odd = labels.unionByName(spark.createDataFrame([(None, 1, 0), (5, None, 0), (4242, 1, 0)], "doc_id long, quality int, toxic int"))
