@@ -243,17 +243,16 @@ def pipeline_files_scanner(spark, sf):
 
 @query
 def pipeline_complexity(spark, sf):
-    t = tree(spark, sf)
+    # names are enough to find pipelines: the contents are rewritten for the features alone
     return services.pipeline_complexity(
-        services.detect_pipelines(t), features.file_features(t)
+        services.detect_pipelines(listing(spark, sf), list_files=False), feats(spark, sf)
     ).withColumns({"complexity": r6("complexity"), "branching_factor": r6("branching_factor")})
 
 
 @query
 def pipeline_complexity_scanner(spark, sf):
-    t = tree(spark, sf)
     return services.pipeline_complexity_scanner(
-        services.detect_pipelines_scanner(t), features.file_features(t)
+        services.detect_pipelines_scanner(listing(spark, sf)), feats(spark, sf)
     )
 
 

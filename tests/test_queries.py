@@ -82,3 +82,11 @@ def test_texts_stay_out_of_shuffles_and_metadata_scans(spark, tmp_path, corpus):
     calls = smells.direct_model_calls(features.file_features(tree), found)
     exchanges = [line for line in final_plan(calls).splitlines() if "Exchange" in line]
     assert exchanges and not any("content" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("name", ["pipeline_complexity", "pipeline_complexity_scanner"])
+def test_contents_are_rewritten_once(spark, name):
+    """Pipelines are found by name; only the features need the contents, which a generator rewrites."""
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    # the rewriting stands in the generator twice: for package.json and for all else
+    assert plan.count("import joblib") == 2
