@@ -4,9 +4,10 @@ A page is cut into blocks. What stands in its articles and its main element is i
 that tags, classes and roles name as menus, adverts, forms, comments and the like. If these elements hold no first
 heading, the last one before them and what follows it are the title and lead, unless the host's pages share them. A page
 that marks no such element, or whose marked ones hold little of its text (teasers), has its text among the
-other blocks, between boilerplate. There the token streams of the host's
+other blocks, between boilerplate. The token streams of the host's
 pages are dealt into groups and sorted by suffix; substrings are counted by their different pages over all groups of
-the host. Blocks that repeated ones cover go, and the unique runs stay.
+the host. Blocks that repeated ones cover go, and the unique runs stay. Of marked text only the host's template goes:
+lines in its articles that no name tells from them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotmeter.llm.common import Words, mixed, sequence_hashes, slices
@@ -229,6 +230,20 @@ DEALS = 32
 GROUP_BYTES = 4 << 20
 
 
+#: Bytes of a word's number in the streams of marked text.
+WORD_BYTES = 3
+
+
+def _pages_of_runs(run: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs, and on how many pages each stands."""
+    order = np.lexsort((page, run))
+    run, page = run[order], page[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (page[1:] != page[:-1])
+    run, n = np.unique(run[new], return_counts=True)
+    return run, n.astype(np.int64)
+
+
 def _suffixes(host: str, streams: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words of the pages, the places of suffixes with :data:`RUN` words at least, and a number for these words on the host."""
     words = Words(pa.array(streams, pa.string()))
@@ -256,16 +271,11 @@ def _counted_runs(part: pa.Table) -> pa.Table:
     """
     rows = part.to_pylist()
     words, start, run = _suffixes(rows[0]["host"], [stream for stream, _ in {_page(r) for r in rows}])
-    page = words.row[start]
-    order = np.lexsort((page, run))
-    run, page = run[order], page[order]
-    new = np.ones(len(run), bool)
-    new[1:] = (run[1:] != run[:-1]) | (page[1:] != page[:-1])
-    run, n = np.unique(run[new], return_counts=True)
+    run, n = _pages_of_runs(run, words.row[start])
     if rows[0]["groups"] == 1:
         run, n = run[n >= PAGES], n[n >= PAGES]
     keys = [pa.array([rows[0][name]] * len(run), kind) for name, kind in (("host", pa.string()), ("group", pa.int64()))]
-    return pa.table({"host": keys[0], "group": keys[1], "run": pa.array(run), "n": pa.array(n.astype(np.int64))})
+    return pa.table({"host": keys[0], "group": keys[1], "run": pa.array(run), "n": pa.array(n)})
 
 
 def unique_blocks(blocks: list[dict], pages: np.ndarray) -> list[str]:
@@ -312,38 +322,166 @@ def _unique_runs(part: pa.Table, repeated: pa.Table) -> pa.Table:
     })
 
 
+def _word_numbers(texts: pa.Array) -> list[bytes]:
+    """The words of each text as numbers of :data:`WORD_BYTES`."""
+    words = Words(texts)
+    data = words.hashes().view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+    return [data[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+
+
+def _runs(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first word of each stream, and the places, streams and numbers of all runs."""
+    counts = [len(x) // WORD_BYTES for x in streams]
+    first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    raw = np.zeros((first[-1], 8), np.uint8)
+    raw[:, :WORD_BYTES] = np.frombuffer(b"".join(streams), np.uint8).reshape(-1, WORD_BYTES)
+    runs = sequence_hashes(mixed(raw.view("<u8")[:, 0]), RUN)
+    row = np.repeat(np.arange(len(streams)), counts)[:len(runs)]
+    start = np.arange(len(runs))
+    start = start[start + RUN <= first[row + 1]]
+    return first, start, row[start], runs[start].view(np.int64)
+
+
+def _marked_streams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host, groups, stream``, equal ones of a batch once."""
+    for batch in slices(batches, "text"):
+        rows = dict.fromkeys(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _word_numbers(batch.column(2)), strict=True))
+        columns = zip(*rows, strict=True)
+        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["host", "groups", "stream"])
+
+
+def _frequent_runs(part: pa.Table) -> pa.Table:
+    """The runs on :data:`TEMPLATE` of the group's different pages, and a row without run that has the number of these pages.
+
+    A run on such a share of the host's pages is on that share in one of its groups at least.
+    """
+    streams = list(set(part["stream"].to_pylist()))
+    _, _, page, run = _runs(streams)
+    run, n = _pages_of_runs(run, page)
+    frequent = n >= TEMPLATE * len(streams)
+    run, n = run[frequent], n[frequent]
+    size = len(run) + 1
+    return pa.table({
+        "host": pa.array([part["host"][0].as_py()] * size, pa.string()), "groups": pa.array([part["groups"][0].as_py()] * size, pa.int64()),
+        "run": pa.array([None, *run.tolist()], pa.int64()), "n": pa.array([len(streams), *n.tolist()], pa.int64()),
+    })
+
+
+def _counted_again(part: pa.Table, wanted: pa.Table) -> pa.Table:
+    """On how many different pages of the group the wanted runs stand."""
+    _, _, page, run = _runs(list(set(part["stream"].to_pylist())))
+    asked = np.isin(run, wanted["run"].to_numpy())
+    run, n = _pages_of_runs(run[asked], page[asked])
+    host = part["host"][0].as_py() if len(part) else None
+    return pa.table({"host": pa.array([host] * len(run), pa.string()), "run": pa.array(run), "n": pa.array(n)})
+
+
+def host_templates(parsed: DataFrame) -> DataFrame:
+    """``host, template``: the runs on :data:`TEMPLATE` of the different marked texts of a host, and on :data:`PAGES` at least; stored.
+
+    Streams are shuffled once; those of a host of many groups once more if it has runs that may be frequent.
+    """
+    groups = F.ceil((F.sum("size") + 1) / GROUP_BYTES).alias("groups")
+    # at most one a group of blocks
+    large = F.broadcast(parsed.groupBy("host").agg(groups).where("groups > 1"))
+    marked = (
+        parsed.join(large, "host", "left").select("host", F.coalesce("groups", F.lit(1)).cast("long").alias("groups"), _texts(TEXT, " ").alias("text"))
+        .where("text <> ''")
+    )
+    kind = "host string, groups long, stream binary"
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(_marked_streams, kind).withColumn("group", F.pmod(F.xxhash64("stream"), F.col("groups")))
+
+    found = materialize(dealt(marked).groupBy("host", "group").applyInArrow(_frequent_runs, "host string, groups long, run long, n long"))
+    pages = found.where("run is null").groupBy("host").agg(F.sum("n").alias("pages"))
+    wanted = found.where("run is not null and groups > 1").select("host", "groups", "run").distinct()
+    spread_out = wanted.select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+    again = (
+        dealt(marked.where("groups > 1").join(wanted.select("host").distinct(), "host", "left_semi")).groupBy("host", "group")
+        .cogroup(spread_out.groupBy("host", "group")).applyInArrow(_counted_again, "host string, run long, n long")
+    )
+    counted = found.where("run is not null and groups = 1").select("host", "run", "n").unionByName(again)
+    total = counted.groupBy("host", "run").agg(F.sum("n").alias("n")).join(pages, "host")
+    return materialize(
+        total.where((F.col("n") >= PAGES) & (F.col("n") >= TEMPLATE * F.col("pages"))).groupBy("host").agg(F.collect_list("run").alias("template"))
+    )
+
+
+def _without_template(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marked blocks of which half the words stand in runs of the template are boilerplate, unless these have more than
+    half of the page's marked words: then the host copies articles."""
+    for batch in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
+        at = batch.schema.get_field_index("blocks")
+        pages = batch.column(at).to_pylist()
+        marked = [[b for b in blocks if b["state"] == TEXT] for blocks in pages]
+        first, start, row, run = _runs(_word_numbers(pa.array([" ".join(b["text"] for b in blocks) for blocks in marked], pa.string())))
+        hit = np.zeros(len(run), bool)
+        edges = np.searchsorted(row, np.arange(len(pages) + 1))
+        for i, template in enumerate(batch.column(at + 1).to_pylist()):
+            hit[edges[i]:edges[i + 1]] = np.isin(run[edges[i]:edges[i + 1]], np.array(template, np.int64))
+        covered = np.zeros(first[-1] + RUN, bool)
+        for k in range(RUN):
+            covered[start[hit] + k] = True
+        for i, blocks in enumerate(marked):
+            place, gone = first[i], []
+            for b in blocks:
+                n = len(b["text"].split())
+                if n and 2 * int(covered[place:place + n].sum()) >= n:
+                    gone.append((b, n))
+                place += n
+            if 2 * sum(n for _, n in gone) <= first[i + 1] - first[i]:
+                for b, _ in gone:
+                    b["state"] = BOILERPLATE
+        columns = [pa.array(pages, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns[:at + 1])]
+        yield pa.record_batch(columns, batch.schema.names[:at + 1])
+
+
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html"):
-        texts, others = [], []
+        found = []
         for page in batch.column(2).to_pylist():
             blocks = _blocks(page or "")
-            state = states(blocks)
-            searched = OPEN in state
-            texts.append(None if searched else "\n".join(b[0] for b, x in zip(blocks, state, strict=True) if x == TEXT))
-            others.append([{"text": b[0], "state": x} for b, x in zip(blocks, state, strict=True) if searched or x != TEXT])
+            found.append([{"text": b[0], "state": x} for b, x in zip(blocks, states(blocks), strict=True)])
         kind = pa.list_(pa.struct([("text", pa.string()), ("state", pa.int32())]))
-        yield pa.record_batch([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(others, kind)], ["page_id", "url", "text", "blocks"])
+        yield pa.record_batch([*batch.columns[:2], pa.array(found, kind)], ["page_id", "url", "blocks"])
+
+
+def _texts(state: int, mark: str) -> Column:
+    return F.array_join(F.transform(F.filter("blocks", lambda b: b["state"] == state), lambda b: b["text"]), mark)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text``: the main text of each page, its blocks joined by line feeds; empty if there is none.
 
     Null html counts as empty. Rows are kept apart even if they are equal. A host's pages are sorted in
-    groups of about :data:`GROUP_BYTES` of blocks outside the main elements, so that a host with a
-    third of all pages is many groups; main texts are not shuffled, unless their title is in doubt. Equal pages are searched once and
+    groups of about :data:`GROUP_BYTES` of blocks, so that a host with a
+    third of all pages is many groups. Marked texts are shuffled as word numbers, to count their runs; pages of hosts without a template
+    are not shuffled further, unless their title is in doubt. Equal pages are searched once and
     equal streams of pages without marked text are dealt to one group, so the pages of a run add up over the groups, and the result does not depend on
     how many there are. A host without a name is one like any other.
     """
     narrow = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    kind = "page_id long, url string, text string, blocks array<struct<text:string,state:int>>"
-    parsed = narrow.mapInArrow(_parse, kind)
+    parsed = narrow.mapInArrow(_parse, "page_id long, url string, blocks array<struct<text:string,state:int>>")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     size = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + F.length(b["text"]))
-    parsed = materialize(parsed.select("*", host.alias("host"), F.xxhash64("blocks", "text").alias("kind"), size.alias("size")))
-    searched = F.col("text").isNull()
+    parsed = materialize(parsed.select("page_id", "url", host.alias("host"), size.alias("size"), "blocks"), "zstd")
+    templates = host_templates(parsed)
+    shared = parsed.join(templates, "host").select(*parsed.columns, "template")
+    shared = shared.mapInArrow(_without_template, parsed.schema)
+    judged = parsed.join(templates, "host", "left_anti").select(*parsed.columns).unionByName(shared)
+    searched = F.exists("blocks", lambda b: b["state"] == OPEN)
+    marked = judged.where(~searched).select("page_id", "url", _texts(TEXT, "\n").alias("text"))
+    return marked.unionByName(_searched_texts(judged, searched))
+
+
+def _searched_texts(judged: DataFrame, searched: Column) -> DataFrame:
+    """``page_id, url, text`` of the pages with blocks that their host's search judges."""
+    blocks = F.when(searched, F.col("blocks")).otherwise(F.filter("blocks", lambda b: b["state"] != TEXT))
+    parsed = judged.select("page_id", "url", "host", "size", blocks.alias("blocks"), F.xxhash64("blocks").alias("kind"), searched.alias("searched"))
     # only hosts with a page that has to be searched
     groups = (
-        parsed.groupBy("host").agg(F.sum("size").alias("bytes"), F.count_if(searched).alias("n")).where("n > 0")
+        parsed.groupBy("host").agg(F.sum("size").alias("bytes"), F.count_if("searched").alias("n")).where("n > 0")
         .select("host", F.ceil((F.col("bytes") + 1) / GROUP_BYTES).alias("groups"), F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
     )
     stream = F.array_join(F.transform(F.filter("blocks", lambda b: b["state"] != TEXT), lambda b: b["text"]), " ")
@@ -360,6 +498,5 @@ def main_texts(pages: DataFrame) -> DataFrame:
         dealt.groupBy("host", "group").cogroup(known.groupBy("host", "group"))
         .applyInArrow(_unique_runs, "host string, kind long, found string")
     )
-    open_ = parsed.where(searched).select("host", "kind", "page_id", "url").join(found, ["host", "kind"], "left")
-    marked = parsed.where(~searched).select("page_id", "url", "text")
-    return marked.unionByName(open_.select("page_id", "url", F.coalesce("found", F.lit("")).alias("text")))
+    open_ = parsed.where("searched").select("host", "kind", "page_id", "url").join(found, ["host", "kind"], "left")
+    return open_.select("page_id", "url", F.coalesce("found", F.lit("")).alias("text"))

@@ -44,14 +44,15 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write a reused relation as a table in the shared folder and read it back.
 
     Unlike an RDD checkpoint the table keeps column pruning, filter pushdown and a
-    known size, from which Spark decides by itself whether it can be broadcast.
+    known size, from which Spark decides by itself whether it can be broadcast. Tables of whole texts are
+    smaller with another ``codec`` than Spark's own.
     """
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

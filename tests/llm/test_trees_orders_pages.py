@@ -201,3 +201,28 @@ def test_search_on_pages_without_articles(spark):
     precision = right / sum(sum(x.values()) for x in got.values())
     print(f"recall {recall:.4f} precision {precision:.4f}")
     assert recall > 0.95 and precision > 0.95
+
+
+@pytest.mark.parametrize("group_bytes", [4 << 20, 1500])
+def test_what_a_host_repeats_in_its_articles_goes(spark, monkeypatch, group_bytes):
+    """A line in most articles of a host that no class names is boilerplate; articles that a host copies and lines on few of its pages stay."""
+    def body(i):
+        return " ".join(f"w{(i * 7919 + k * k * 31 + k) % 50021}" for k in range(30))
+
+    line, quote = "Write to our paper for more stories of this kind", "a sentence that three of the many articles have in common"
+    def page(*blocks):
+        return "<nav>Menu of the paper</nav><article><h1>Story</h1>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+
+    want = {i: ["Story", body(i), *([quote] if i < 3 else [])] for i in range(40)}
+    rows = [(i, f"http://h/{i}", page(*want[i][1:], line)) for i in range(40)]
+    # equal pages count once, so their text is not on most of the host's pages
+    rows += [(100 + i, "http://h/copy", page(body(999), line)) for i in range(100)]
+    want |= {100 + i: ["Story", body(999)] for i in range(100)}
+    rows += [(300 + i, f"http://g/{i}", page(body(77), f"issue {i}")) for i in range(4)]
+    want |= {300 + i: ["Story", body(77), f"issue {i}"] for i in range(4)}
+    rows += [(400 + i, f"http://f/{i}", page(body(i + 500), line)) for i in range(2)]
+    want |= {400 + i: ["Story", body(i + 500), line] for i in range(2)}
+    monkeypatch.setattr(html_text, "GROUP_BYTES", group_bytes)
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    assert {r["page_id"]: r["text"].split("\n") for r in got} == want
