@@ -17,7 +17,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from knotmeter.llm import html_text, mixing, sharding, training_order  # noqa: E402
+from knotmeter.llm import html_text, mixing, quality, sharding, training_order  # noqa: E402
+from knotmeter.session import materialize  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -226,3 +227,22 @@ def test_what_a_host_repeats_in_its_articles_goes(spark, monkeypatch, group_byte
     got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows)
     assert {r["page_id"]: r["text"].split("\n") for r in got} == want
+
+
+# --- op9 ---------------------------------------------------------------------------------------
+
+
+def test_labels_meet_statistics_and_no_texts(spark, monkeypatch):
+    """However many labels there are: between the scan of the texts and their statistics nothing is shuffled."""
+    plans = []
+    monkeypatch.setattr(quality, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert quality.labelled_features(quality.statistics(spark.read.parquet(f"{SF}/documents.parquet")), spark.read.parquet(f"{SF}/labels.parquet")).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = plans[0].splitlines()
+    begin = max(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    end = next(i for i in range(begin, len(lines)) if "Scan" in lines[i])
+    assert "text" in lines[end] and not any("Exchange" in line or "Join" in line for line in lines[begin:end])
