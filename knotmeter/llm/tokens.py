@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ class Encoder:
 
     A byte-level vocabulary cuts a text before a blank that stands between two other characters, and
     around a line feed that does; what lies between has the same ids in every text. Such words are
-    looked up in a bounded table. A text with any other white space is encoded as a whole.
+    looked up in a bounded table; a full one keeps the words of the texts at hand. A text with any other white space is encoded as a whole.
     Ids come as little-endian unsigned 32-bit numbers.
     """
 
@@ -71,10 +72,11 @@ class Encoder:
                     self.known.update(zip(group, own, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [text.replace("\n", " \n").split(" ") for text in texts]
         if len(self.known) > self.limit:
-            self.known.clear()
+            full = self.known
+            self.known = {word: full[word] for words in parts for word in words if word in full}
         known = self.known
-        parts = [text.replace("\n", " \n").split(" ") for text in texts]
         heads = self.whole([words[0] for words in parts])
         found, missing = [], []
         for words, head in zip(parts, heads, strict=True):
@@ -96,11 +98,17 @@ class Encoder:
         return [b"".join(ids) for ids in found]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str | None) -> Encoder:
+    """The encoder of this Python worker: a task takes over the words that those before it looked up."""
+    return Encoder(path)
+
+
 def encoded(batches: Iterable[pa.RecordBatch], path: str | None, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches with a text column, and the ids of each text followed by ``end_id``; null is empty."""
     from knotmeter.llm.common import slices
 
-    encoder = Encoder(path)
+    encoder = _encoder(path)
     tail = np.array([end_id], "<u4").tobytes()
     for batch in slices(batches, limit=SLICE):
         texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -17,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from knotmeter.llm import html_text, mixing, quality, sharding, training_order  # noqa: E402
+from knotmeter.llm import html_text, mixing, quality, sharding, tokens, training_order  # noqa: E402
 from knotmeter.session import materialize  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +29,32 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+# --- tokens ------------------------------------------------------------------------------------
+
+
+def test_tasks_of_a_worker_share_one_table(monkeypatch):
+    made, plain = [], tokens.Encoder
+    monkeypatch.setattr(tokens, "Encoder", lambda path: made.append(path) or plain(path))
+    tokens._encoder.cache_clear()
+    texts = ["the same words again and again", "and other words\nof one line", None, " a  b "]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    first, second = ([x.tolist() for _, found in tokens.encoded([batch], None, 0) for x in found] for _ in range(2))
+    assert first == second == [[*plain().library.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+    assert len(made) == 1
+    tokens._encoder.cache_clear()
+
+
+def test_a_full_table_keeps_the_words_at_hand():
+    encoder = tokens.Encoder(limit=3)
+    encoder.encode(["x one two three four", "x five six"])
+    learned = []
+    learn = encoder._learn
+    encoder._learn = lambda words: learned.extend(words := list(words)) or learn(words)
+    texts = ["y one two seven", "y two eight"]
+    assert encoder.encode(texts) == encoder.whole(texts)
+    assert sorted(learned) == ["eight", "seven"] and set(encoder.known) == {"one", "two", "seven", "eight"}
+
+
 # --- op5 ---------------------------------------------------------------------------------------
 
 
