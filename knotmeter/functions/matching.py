@@ -81,17 +81,39 @@ def alternation(patterns: list[str]) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-def matching_lines(lower_text: str, patterns: list[str]) -> str:
+def matching_lines(lower_text: str, patterns: list[str], lower_heads: str | None = None) -> str:
     """Number of lines of a lower-cased text with at least one match, in one scan.
 
     A match takes the rest of its line with it, so a line counts once.  Where all
-    patterns are literals, a substring test first spares most texts the regex.
+    patterns are literals, they are looked for behind their last characters only, and a substring test
+    first spares most texts the regex; ``lower_heads`` are the :func:`call_heads` of the text.
     """
     lowered = [p.lower() for p in patterns]
-    count = f"regexp_count({lower_text}, {quoted(alternation(lowered) + '[^\\n]*')})"
-    if all(literal_of(p) is not None for p in lowered):
-        count = f"CASE WHEN {any_match(lower_text, lowered)} THEN {count} ELSE 0 END"
-    return f"cast({count} as bigint)"
+    literals = [literal_of(p) for p in lowered]
+    if not lowered or not all(literals):
+        return f"cast(regexp_count({lower_text}, {quoted(alternation(lowered) + '[^\\n]*')}) as bigint)"
+    last = "".join(sorted({re.escape(v[-1]) for v in literals}))
+    behind = alternation([f"(?<={p})" for p in lowered])
+    count = f"regexp_count({lower_text}, {quoted(f'[{last}]{behind}[^\\n]*')})"
+    found = any_of([
+        f"contains({lower_heads if lower_heads and is_call(v) else lower_text}, {quoted(v)})" for v in literals
+    ])
+    return f"cast(CASE WHEN {found} THEN {count} ELSE 0 END as bigint)"
+
+
+def is_call(literal: str | None) -> bool:
+    """Whether a literal ends with its only bracket and stays on a line, so that heads show all of its places."""
+    return literal is not None and len(literal) > 1 and literal.find("(") == len(literal) - 1 and "\n" not in literal
+
+
+def call_heads(text: str, patterns: list[str]) -> str:
+    """What stands before each opening bracket, as far back as the longest pattern reaches, a line each.
+
+    A literal that ends with its only bracket occurs in the heads as often as in the text, and heads are short:
+    counting many such literals reads the text once.
+    """
+    width = max((len(v) for p in patterns if is_call(v := literal_of(p))), default=1)
+    return f"array_join(transform(split({text}, {quoted(r'\(')}), p -> right(p, {width})), '(\\n')"
 
 
 def has_match_any_case(lower_text: str, pattern: str) -> str:

@@ -83,12 +83,15 @@ def commits_by_date(commits: DataFrame) -> DataFrame:
 def window_changes(
     commits: DataFrame, commit_files: DataFrame, as_of: str, months: int = 6
 ) -> DataFrame:
-    """Changes per path in the window (commit_files holds a path once per commit)."""
+    """Changes per path in the window (commit_files holds a path once per commit).
+
+    The commit comes first in the join: a sort by project first would compare whole rows, as most have the same project.
+    """
     recent = commits.where(F.col("committed_at") >= since(as_of, months=months)).select(
         "project_id", "commit_id"
     )
     return (
-        commit_files.join(recent, ["project_id", "commit_id"])
+        commit_files.join(recent, ["commit_id", "project_id"])
         .groupBy("project_id", "path").agg(F.count("*").alias("changes"))
     )
 

@@ -8,6 +8,8 @@ grows with its table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,9 +104,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_code(column: str, words: list[tuple[str, str]] = CODE_WORDS) -> str:
+    """The text with every word replaced by its code, all but a few words in one scan.
+
+    The text is cut at the last characters of the words, so each piece but the last ends with a word, which the map
+    turns into its code. Words that differ in their last character only are replaced one by one. A word is a blank,
+    letters and a mark, and no code makes a new one, so the order of the replacements does not matter.
+    """
+    codes: dict[str, str] = {}
+    ends = []
     for word, code in words:
-        column = f"replace({column}, {quoted(word)}, {quoted(code)})"
-    return column
+        if word[1:-1] in codes:
+            column = f"replace({column}, {quoted(word)}, {quoted(code)})"
+        else:
+            codes[word[1:-1]] = code
+            ends.append(word)
+    marks = "".join(sorted({re.escape(word[-1]) for word in ends}))
+    behind = "|".join(f"(?<={re.escape(word)})" for word in ends)
+    table = ", ".join(f"{quoted(word)}, {quoted(code)}" for word, code in codes.items())
+    word = "substring_index(p, ' ', -1)"
+    coded = f"left(p, length(p) - length({word}) - 1) || map({table})[{word}]"
+    pieces = f"transform(ps, (p, i) -> CASE WHEN i < size(ps) - 1 THEN {coded} ELSE p END)"
+    # the array around the pieces gives them a name
+    cut = f"array(split({column}, {quoted(f'[{marks}](?:{behind})')}))"
+    return f"element_at(transform({cut}, ps -> array_join({pieces}, '')), 1)"
 
 
 def files(
@@ -211,7 +233,9 @@ def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commit_lines(spark, sf_dir).groupBy("project_id", "commit_id", "path").agg(
+    # dealt by commit, so that the join with the commits needs no second shuffle
+    lines = commit_lines(spark, sf_dir).repartition("commit_id", "project_id")
+    return lines.groupBy("project_id", "commit_id", "path").agg(
         F.sum("added").alias("added"), F.sum("deleted").alias("deleted")
     )
 
