@@ -55,6 +55,17 @@ def any_of(conditions: list[str]) -> str:
     return "(" + " OR ".join(conditions) + ")" if conditions else "false"
 
 
+def starts_of(pattern: str) -> list[str]:
+    """Literals of which one starts every match: the leading literal, with each branch of a group of plain words behind it
+    and the bracket after that; the empty text, which starts all, for a pattern of alternatives."""
+    if "|" in re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)", "", pattern):
+        return [""]
+    head = re.match(r"(?:(?:\\[^\w\s]|[^\\.^$*+?{}\[\]|()])(?![*?+{]))*", pattern).group()
+    group = re.match(r"\(([\w|]+)\)((?:\\\()?)(?![*?+{])", pattern[len(head):])
+    branches, after = (group[1].split("|"), group[2]) if group else ([""], "")
+    return [re.sub(r"\\(.)", r"\1", head + branch + after) for branch in branches]
+
+
 def sum_of(terms: list[str]) -> str:
     return "(" + " + ".join(terms) + ")" if terms else "0L"
 
@@ -106,13 +117,13 @@ def is_call(literal: str | None) -> bool:
     return literal is not None and len(literal) > 1 and literal.find("(") == len(literal) - 1 and "\n" not in literal
 
 
-def call_heads(text: str, patterns: list[str]) -> str:
-    """What stands before each opening bracket, as far back as the longest pattern reaches, a line each.
+def call_heads(text: str, literals: list[str | None]) -> str:
+    """What stands before each opening bracket, as far back as the longest literal that is a call reaches, a line each.
 
     A literal that ends with its only bracket occurs in the heads as often as in the text, and heads are short:
     counting many such literals reads the text once.
     """
-    width = max((len(v) for p in patterns if is_call(v := literal_of(p))), default=1)
+    width = max((len(v) for v in literals if is_call(v)), default=1)
     return f"array_join(transform(split({text}, {quoted(r'\(')}), p -> right(p, {width})), '(\\n')"
 
 

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from knotmeter import rules
 from knotmeter.functions import paths
-from knotmeter.functions.matching import quoted
+from knotmeter.functions.matching import any_of, call_heads, is_call, quoted, starts_of
 from knotmeter.operators.mentions import contains_pairs
 from knotmeter.operators.services import relative_path, with_owners
 
 
 def endpoint_hits(inventory: DataFrame, catalogue: dict = rules.ENDPOINT_PATTERNS) -> DataFrame:
-    """Endpoint matches of every language's rules per code file, content dropped."""
+    """Endpoint matches of every language's rules per code file, content dropped.
+
+    A pattern is run on texts that hold one of its starts, which is looked up in the heads of the calls where it can be.
+    """
     users: dict[str, list[tuple[str, str]]] = {}
     for language, frameworks in catalogue.items():
         for framework, patterns in frameworks.items():
@@ -27,15 +30,19 @@ def endpoint_hits(inventory: DataFrame, catalogue: dict = rules.ENDPOINT_PATTERN
             f"struct('{lang}' AS rule_language, '{fw}' AS framework)" for lang, fw in users[pattern]
         )
         method = f"upper(regexp_extract(m, {p}, 1))" if groups == 2 else "'GET'"
+        held = [f"contains({'heads' if is_call(v) else 'content'}, {quoted(v)})" for v in starts_of(pattern)]
+        text = f"CASE WHEN {any_of(held)} THEN content ELSE '' END"
         return (
-            f"transform(regexp_extract_all(content, {p}, 0), m -> struct(array({owners}) AS owners, "
+            f"transform(regexp_extract_all({text}, {p}, 0), m -> struct(array({owners}) AS owners, "
             f"{method} AS method, regexp_extract(m, {p}, {groups}) AS endpoint))"
         )
 
     capturing = [p for p in users if p.count("(") > p.count(r"\(")]
     found = F.expr("explode(concat(" + ", ".join(hits(p) for p in capturing) + "))")
+    heads = F.expr(call_heads("content", [v for p in capturing for v in starts_of(p)]))
     return (
         inventory.where(paths.has_extension(F.col("name"), rules.ENDPOINT_CODE))
+        .select("project_id", "dir", "path", "content", heads.alias("heads"))
         .select("project_id", "dir", "path", found.alias("e"))
         .select("project_id", "dir", "path", "e.method", "e.endpoint", F.inline("e.owners"))
     )

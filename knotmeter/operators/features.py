@@ -97,7 +97,7 @@ def file_features(inventory: DataFrame, glue_mode: str = "intended") -> DataFram
         "bug_marker": f"{commented} AND {any_literal(text, ['TODO', 'FIXME', 'BUG'])}",
     }
     names = ["project_id", "path", "dir", "name", "extension", "size", "ignored"]
-    called = [p for g in (rules.LOADING_PATTERNS, rules.PREDICTION_PATTERNS, *groups) for p in g]
+    called = [literal_of(p) for g in (rules.LOADING_PATTERNS, rules.PREDICTION_PATTERNS, *groups) for p in g]
     calling = code([*rules.MODEL_CALL_CODE, *rules.GLUE_CODE, ".py"])
     return (
         inventory.selectExpr(*names, "coalesce(content, '') AS text")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from knotmeter import rules
 from knotmeter.functions import paths
 from knotmeter.functions.matching import (
-    alternation, any_match, count_matches, has_match, lookup, quoted,
+    alternation, any_match, call_heads, count_matches, has_match, is_call, literal_of, lookup, quoted,
 )
 from knotmeter.operators.inventory import kept
 from knotmeter.operators.mentions import contains_pairs
@@ -101,13 +101,16 @@ def detect_model_code_refs(
         )
         windows = f"zip_with(zip_with({left}, {hit}, (a, b) -> a || b), {right}, (a, b) -> a || b)"
         rows = f"transform({windows}, (w, i) -> struct({ordinal} AS ordinal, i, w AS context))"
-        return f"CASE WHEN {has_match('content', pattern)} THEN {rows} END"
+        source = "heads" if is_call(literal_of(pattern)) else "content"
+        return f"CASE WHEN {has_match(source, pattern)} THEN {rows} END"
 
     tables = ", ".join(hits(i, p) for i, p in enumerate(patterns))
     found = F.expr(f"inline(flatten(filter(array({tables}), a -> a IS NOT NULL)))")
     code = F.col("extension").isin(".py", ".js", ".java", ".r", ".ipynb")
+    heads = F.expr(call_heads("content", [literal_of(p) for p in patterns]))
     return (
-        kept(inventory).where(code & F.expr(any_match("content", patterns)))
+        kept(inventory).where(code)
+        .select("project_id", "path", "content", heads.alias("heads"))
         .select("project_id", "path", found)
         .withColumn("name", model_reference(F.col("context")))
         .where(F.col("name").isNotNull())

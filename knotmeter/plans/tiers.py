@@ -29,11 +29,11 @@ class Facts:
         self.inventory = inventory.file_inventory(files)
         self.glue_mode = glue_mode
 
-    def prepare(self) -> None:
-        """Store what the smells start from. Relations that do not need each other are written side by side,
-        so that the short ones do not wait for the scan of the contents."""
-        with ThreadPoolExecutor(4) as pool:
-            for names in (("features", "services", "models"), ("pipelines", "service_facts", "consumers", "declared")):
+    def prepare(self, *more: str) -> None:
+        """Store what the smells start from, and ``more`` relations. Those that do not need each other are written side
+        by side, so that the short ones do not wait for the scan of the contents."""
+        with ThreadPoolExecutor(5) as pool:
+            for names in (("features", "services", "models"), ("pipelines", "service_facts", "consumers", "declared", *more)):
                 list(pool.map(lambda name: getattr(self, name), names))
 
     @cached_property
@@ -270,6 +270,7 @@ def analyze(
 ) -> DataFrame:
     """Everything: one wide row per project through all six tiers."""
     facts = Facts(files, glue_mode)
+    facts.prepare("endpoints")
     first = tier1(facts).drop("services_count", "models_count", "pipelines_count")
     rows = (
         tier4(facts).join(tier5(facts, commits, commit_files, as_of), "project_id")
