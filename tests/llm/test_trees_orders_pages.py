@@ -55,6 +55,37 @@ def test_a_full_table_keeps_the_words_at_hand():
     assert sorted(learned) == ["eight", "seven"] and set(encoder.known) == {"one", "two", "seven", "eight"}
 
 
+def test_words_before_different_marks_are_learned_once():
+    encoder = tokens.Encoder()
+    learned = []
+    learn = encoder._learn
+    encoder._learn = lambda words: learned.extend(words := list(words)) or learn(words)
+    texts = ["x word word, word. word!? \u00e9t\u00e9; \u00e9t\u00e9\nline: 7% it's it's.", "<|endoftext|>. \u4e2d. a\u00a0 b,\u3000 c.\n\n\nd", "", "\n", "word,"]
+    assert encoder.encode(texts) == encoder.whole(texts)
+    assert learned.count("word") == 1 and not {"word,", "word.", "word!?", "\u00e9t\u00e9;"} & set(learned)
+
+
+def test_a_full_table_keeps_words_met_again_in_other_texts():
+    encoder = tokens.Encoder(limit=4)
+    for texts in (["x one two"], ["x one two three"], ["x four five"], ["x six"]):
+        assert encoder.encode(texts) == encoder.whole(texts)
+    assert set(encoder.known) == {"one", "two", "six"}
+
+
+def test_a_word_of_the_table_takes_few_bytes():
+    import tracemalloc
+
+    encoder = tokens.Encoder()
+    text = pa.array([" ".join(f"w{chr(97 + i % 26)}{i:x}" for i in range(100_000))])
+    encoder.encode(["warm up"])
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    encoder.encode(text.to_pylist())
+    taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(encoder.known) > 99_000 and taken < 60 * 100_000
+
+
 # --- op5 ---------------------------------------------------------------------------------------
 
 
