@@ -23,6 +23,8 @@ from knotmeter.session import materialize, spread
 #: Base rules: at least so many words, at most this share of repeated ones (in percent).
 MIN_WORDS, MAX_REPEAT = 20, 30
 WINDOW = 8
+#: Bytes of text that are measured at once; the scratch for it is many times as large.
+SLICE = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"!\"'()+-/:;=?@[\\]^_`{}~"
 
@@ -186,7 +188,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the statistics of each whole text; a pass over the texts without a shuffle."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             stats = text_statistics(batch.column(1))
             yield pa.record_batch([batch.column(0), *[pa.array(c) for c in stats.T]], ["doc_id", *STATS])
 
@@ -322,7 +324,7 @@ def kept_documents(docs: DataFrame, forest: Forest | None) -> DataFrame:
     at = docs.columns.index("text")
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             keep = _verdicts(text_statistics(batch.column(at)), forest)[1]
             yield batch.filter(pa.array(keep))
 

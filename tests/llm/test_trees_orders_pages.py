@@ -86,6 +86,21 @@ def test_a_word_of_the_table_takes_few_bytes():
     assert len(encoder.known) > 99_000 and taken < 60 * 100_000
 
 
+# --- op9 ---------------------------------------------------------------------------------------
+
+
+def test_statistics_are_taken_of_little_text_at_once(monkeypatch):
+    """Their scratch is many times the text, and a worker keeps it."""
+    from types import SimpleNamespace
+
+    sizes, plain = [], quality.text_statistics
+    monkeypatch.setattr(quality, "text_statistics", lambda texts: sizes.append(sum(len(x) for x in texts.to_pylist())) or plain(texts))
+    batch = pa.record_batch([pa.array(range(600)), pa.array(["some words of a text " * 500] * 600)], ["doc_id", "text"])
+    docs = SimpleNamespace(columns=["doc_id", "text"], schema=None, mapInArrow=lambda task, schema: task)
+    assert sum(x.num_rows for x in quality.kept_documents(docs, None)([batch])) == 0
+    assert sum(sizes) == 600 * 10_500 and max(sizes) <= 1 << 20
+
+
 # --- op5 ---------------------------------------------------------------------------------------
 
 
